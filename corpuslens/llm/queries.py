@@ -87,7 +87,7 @@ known AS (SELECT md5({whole(form('text'))}) AS digest, min(license) AS license F
 notices AS (SELECT list(DISTINCT {whole(form('text'))}) AS forms FROM listed WHERE {one_line}),
 formed AS (SELECT doc_id, {form('text')} AS lines FROM documents)
 SELECT doc_id, md5({whole('lines')}) AS digest, license,
-       CAST(len(list_filter(string_split(lines, chr(10)), x -> list_contains(forms, trim(x)))) AS BIGINT) AS n_notice_lines
+       CAST(len(list_filter(string_split(lines, chr(10)), lambda x: list_contains(forms, trim(x)))) AS BIGINT) AS n_notice_lines
 FROM formed CROSS JOIN notices LEFT JOIN known ON known.digest = md5({whole('lines')})"""
 
 
@@ -106,8 +106,8 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM best"""
 
 TOP_K_SQL = """
 WITH usable AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
   FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
