@@ -8,8 +8,8 @@ make a band; the number of bands makes a pair at the threshold be missed with a
 1. Texts with equal sets become classes; one representative of each goes on.
 2. In each band bucket the smallest class is the pivot; all others are compared with it on full sets.
 3. Connected components join what is linked. Only buckets that still hold several components can hide a link
-   between two of their members; there, members are compared in blocks by their bands and sizes, and what may
-   be near is verified on full sets and joined too. No bucket is cut off, and no bucket meets in one task.
+   between two of their members; there, full sets are compared in blocks of members, and the links that join
+   two components are added. No bucket is cut off, and no bucket meets in one task.
 
 Texts without words (null, empty, only spaces) have an empty set, link with nothing and stay their own component.
 Rows with a null id take part in no link and are kept. Repeated rows are copies. An empty table gives none.
@@ -29,7 +29,7 @@ from corpuslens.llm.components import connected_components
 
 ROWS = 5
 #: Members of an unresolved bucket that are compared at once.
-BLOCK = 512
+BLOCK = 256
 _WORD = np.ones(256, bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -146,27 +146,48 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, key: s
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _near_in_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members (bucket, id, n, component, bands) of a bucket that lie in two components and may be near."""
+def _linked_in_blocks(members: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between members (bucket, id, n, component, bands, text) of a bucket that lie in two components.
+
+    Full sets are compared inside a block of the bucket; what leaves it are links that join two components, at most
+    one for each member, so the rows stay in proportion to the members however large a bucket is.
+    """
     counted = members.join(members.groupBy("bucket").agg(F.count("*").alias("many")), "bucket")
     parts = F.ceil(F.col("many") / F.lit(BLOCK))
     placed = counted.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    blocks = placed.withColumn("other", other).select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "id", "n", "component", "bands")
+    blocks = placed.withColumn("other", other).select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "id", "n", "component", "bands", "text")
 
     def run(group: pa.Table) -> pa.Table:
         ids, n, comp = (group[x].to_numpy() for x in ("id", "n", "component"))
-        part = group["part"].to_numpy()
         bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        p, q = group["p"][0].as_py(), group["q"][0].as_py()
-        left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
+        far = (comp[:, None] != comp[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+        # Sharing this one bucket by chance is common; at the threshold two equal bands are all but certain.
+        for k in np.flatnonzero(far.any(axis=1)).tolist():
+            far[k] &= (bands == bands[k]).sum(axis=1) >= 2
         found = []
-        for k in left.tolist():
-            fits = (comp[right] != comp[k]) & (100 * np.minimum(n[right], n[k]) >= percent * np.maximum(n[right], n[k])) & (ids[right] > ids[k] if p == q else True)
-            near = right[fits]
-            # Sharing this one bucket by chance is common, at the threshold two equal bands are all but certain.
-            near = near[(bands[near] == bands[k]).sum(axis=1) >= 2]
-            found += [(min(ids[k], ids[j]), max(ids[k], ids[j])) for j in near.tolist()]
+        if far.any():
+            data, offsets = column_bytes(group["text"])
+            sets = []
+            for a, b in slices(offsets):
+                sets += shingle_sets(data, offsets, a, b, width)
+            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            _, element = np.unique(np.concatenate(sets), return_inverse=True)
+            edge = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+            mark = np.zeros(int(element.max()) + 1, bool)
+            comp = comp.copy()
+            for k in np.flatnonzero(far.any(axis=1)).tolist():
+                if not (far[k] & (comp != comp[k])).any():
+                    continue
+                mine = element[edge[k] : edge[k + 1]]
+                mark[mine] = True
+                shared = np.bincount(owner[mark[element]], minlength=len(sets))
+                mark[mine] = False
+                linked = np.flatnonzero((100 * shared >= percent * (n[k] + n - shared)) & (comp != comp[k]))
+                for j in linked.tolist():
+                    if comp[j] != comp[k]:
+                        found.append((min(ids[k], ids[j]), max(ids[k], ids[j])))
+                        comp[comp == comp[j]] = comp[k]
         cells = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": cells[:, 0], "b": cells[:, 1]})
 
@@ -194,9 +215,10 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id"
     labelled = materialize(labelled)
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
     members = labelled.join(mixed, "bucket").join(reps.select("id", "bands"), "id")
-    more = materialize(_near_in_blocks(members, percent).join(pairs, ["a", "b"], "left_anti"))
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
+    more = materialize(_linked_in_blocks(members.join(texts, "id"), width, percent))
     if not more.isEmpty():
-        joined_classes = materialize(connected_components(edges.unionByName(verified(more, docs, width, percent, key, text))))
+        joined_classes = materialize(connected_components(edges.unionByName(more)))
     discard(labelled)
     by_class = classes.join(joined_classes.withColumnRenamed("node", "class"), "class", "left").select("sig_a", "sig_b", "n", F.coalesce("component", "class").alias("found"))
     out = records.select(key, "sig_a", "sig_b", "n").join(by_class, ["sig_a", "sig_b", "n"], "left")
