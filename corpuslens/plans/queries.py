@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.operators import bodytext as B
 from corpuslens.operators import corpus as C
+from corpuslens.operators import entities as M
 from corpuslens.operators import recommend as R
 from corpuslens.operators import rhythm as H
 from corpuslens.operators import tagstructure as G
@@ -174,6 +175,17 @@ add("windowed_activity", lambda spark, sf: S.windowed_activity(X.table(spark, sf
 add("session_activity", lambda spark, sf: S.session_activity(X.table(spark, sf, "events")), "WITH l AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 DAY THEN 0 ELSE 1 END AS f FROM events), s AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 1 DAY AS session_end, count(*) AS events FROM s GROUP BY user_id, k")
 
 
+def q_names(f):
+    return lambda spark, sf: rounded(f(M.mentions(X.notes(spark, sf))))
+
+
+add("entity_candidates", q_names(M.candidates))
+add("entity_pairs", q_names(lambda found: M.pairs(found).orderBy(F.desc("strength"), "left_key", "right_key").limit(25)))
+add("deep_text_years", q_texts(M.deep_years))
+add("deep_period_signature", q_texts(lambda r: M.deep_signature(r, 2021, 2023, 2018, 2020)))
+add("shift_examples", lambda spark, sf: M.shift_examples(X.notes(spark, sf), H.regime_shifts(X.entries(spark, sf)).select((F.col("from_year") + 22).alias("from_year"), (F.col("to_year") + 22).alias("to_year"))))
+
+
 def export_all(spark, sf):
     """The long export table of the tag structures."""
     return N.export_rows(G.all_tag_structures(X.entries(spark, sf)))

@@ -13,7 +13,7 @@ SAMPLES = 20
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """S1. path (below root), content, ctime (unknown to Spark: null), mtime, size of every .md file."""
+    """S1. path (below root), content, ctime (unknown to Spark: null), mtime, size of every .md file. Spark's readers skip folders whose name begins with . or _."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(root)
     below = F.regexp_replace("path", "^.*?" + root.rstrip("/").split("://")[-1].lstrip("/").replace(".", r"\.") + "/", "")
     return files.select(below.alias("path"), F.col("content").cast("string").alias("content"), F.lit(None).cast("timestamp").alias("ctime"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
