@@ -31,7 +31,7 @@ LICENSES = {
 }
 # Spellings that count as equal, left as found, right as kept.
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("behaviour", "behavior"), ("favour", "favor"), ("organisation", "organization"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("per cent", "percent"), ("copyright owner", "copyright holder")]
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|all rights reserved)[^\n]*"
+COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright[ \t]*(\(c\)|©|[0-9:])|\(c\)[ \t]*[0-9]|©|all rights reserved)[^\n]*"
 
 
 def canonical_lines(text: Column) -> Column:

@@ -227,7 +227,8 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(stretch, pa.int64()), batch.column(0).take(who), batch.column(1).take(who), *(pa.array(x.astype(np.int32)) for x in (low, windows, at))], ["a", "e", "doc", "th", "low", "windows", "at"])
 
     found = docs.mapInArrow(find, f"a long, e long, {_PLACE}")
-    often = found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    # Written, so that the join has plain exchanges on both sides, whose hot anchors can be split.
+    often = materialize(found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
     shared = materialize(found.join(often, "a"))
     stretches = shared.groupBy("a", "e").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "th", "low", "windows", "at")).alias("one"))
     stretches = materialize(stretches)
