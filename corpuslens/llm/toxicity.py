@@ -43,6 +43,17 @@ def read_words(data: np.ndarray, offsets: np.ndarray, first: int, last: int) ->
     return words, number, np.searchsorted(a, starts)
 
 
+def read_words_by_slice(data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """read_words() of all texts, a slice at a time: its work arrays take 40 bytes for every byte of text."""
+    known: dict[bytes, int] = {}
+    numbers, edges = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+    for first, last in slices(offsets, 250_000):
+        words, number, by_text = read_words(data, offsets, first, last)
+        numbers.append(np.array([known.setdefault(w, len(known)) for w in words], np.int32)[number])
+        edges.append(by_text[1:] + edges[-1][-1])
+    return list(known), np.concatenate(numbers), np.concatenate(edges)
+
+
 def gram_codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the 3- to 5-grams of <word>, grouped by word, the n + 1 offsets, and the words' own hashes."""
     flat = np.frombuffer(b"".join([b"<" + w + b">" for w in words]), np.uint8).astype(np.uint64)
@@ -301,7 +312,7 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
         return Model(None, None)
     column = pc.utf8_lower(pa.array([t or "" for t in texts], pa.string()))
     data, offsets = column_bytes(column)
-    words, number, by_text = read_words(data, offsets, 0, len(texts))
+    words, number, by_text = read_words_by_slice(data, offsets)
     if not words:
         return Model(None, None)
     codes = gram_codes(words)
@@ -315,12 +326,12 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
         evidence.add(int(labels[k]), np.unique(word_bucket[mine]), np.unique(gram_bucket[cells]))
     net, rng = Network(), np.random.default_rng(11)
     text, begin, count = windows(by_text)
-    numbers = window_numbers(number, begin, count).astype(np.int64)
+    numbers = window_numbers(number, begin, count)
     own_tables = [evidence.tables(0), evidence.tables(1)]
     window_label = labels[text]
     n_words = len(words)
     # A word has other inputs in toxic than in clean texts, since a text's own label must not tell.
-    numbers = numbers + (window_label * n_words)[:, None]
+    numbers += (window_label * n_words).astype(np.int32)[:, None]
     both = lambda: np.concatenate([net.word_inputs(codes, own_tables[k]) for k in (0, 1)])
     inputs = both()
     strength = np.maximum(inputs[:, 0], inputs[:, 1])
