@@ -85,6 +85,19 @@ def first_by(rows: DataFrame, score: Column, order: Column, where: Column | None
     return (rows if where is None else rows.where(where)).orderBy(score.desc_nulls_last(), order.asc()).limit(1)
 
 
+def extremes(points: DataFrame, order: str, score: str) -> DataFrame:
+    """A22. The highest and the lowest point that has entries; of equal ones the first. points: one row a month or an hour."""
+    used = points.where("entries > 0")
+    top = first_by(used, F.col(score), F.col(order)).withColumn("which", F.lit("highest"))
+    return top.unionByName(first_by(used, -F.col(score), F.col(order)).withColumn("which", F.lit("lowest")))
+
+
+def tag_summary(entries: DataFrame) -> DataFrame:
+    """A10. Entries, entries with a tag, mean and median number of tags."""
+    n = F.size("tags")
+    return entries.agg(F.count("*").alias("entries"), F.count_if(n > 0).alias("tagged"), F.avg(n).alias("mean_tags"), F.median(n).alias("median_tags"))
+
+
 def tag_coverage(entries: DataFrame) -> DataFrame:
     """A17. By year: entries, tagged entries, their share, mean and median number of tags."""
     n = F.size("tags")

@@ -88,6 +88,10 @@ add("word_histogram", q_entries(lambda e: C.histogram(e, "word_count")), _HIST.f
 add("lag_histogram", q_entries(lambda e: C.histogram(e.where("lag_days > 0"), "lag_days")), _HIST.format(prefix=E, values="SELECT lag_days AS v FROM e WHERE lag_days > 0"))
 add("month_length_profile", q_entries(C.month_profile), f"{E} SELECT CAST(m AS INT) AS month, count(path) AS entries, {R6('coalesce(avg(word_count), 0)', 'mean_words')}, {R6('coalesce(median(word_count), 0)', 'median_words')} FROM generate_series(1, 12) AS s(m) LEFT JOIN e ON month = m GROUP BY m")
 add("hour_activity", lambda spark, sf: C.hourly_activity(X.table(spark, sf, "events"), "ts"), "SELECT CAST(h AS INT) AS hour, count(event_id) AS entries FROM generate_series(0, 23) AS s(h) LEFT JOIN events ON hour(ts) = h GROUP BY h")
+_MONTHS = f"{E}, m AS (SELECT month, count(*) AS entries, avg(word_count) AS a, median(word_count) AS d FROM e GROUP BY month)"
+add("month_extremes", q_entries(lambda e: C.extremes(C.month_profile(e), "month", "mean_words")), f"{_MONTHS} SELECT month, entries, {R6('a', 'mean_words')}, {R6('d', 'median_words')}, which FROM (SELECT * FROM (SELECT *, 'highest' AS which FROM m ORDER BY a DESC, month LIMIT 1) UNION ALL SELECT * FROM (SELECT *, 'lowest' AS which FROM m ORDER BY a, month LIMIT 1))")
+add("hour_extremes", lambda spark, sf: C.extremes(C.hourly_activity(X.table(spark, sf, "events"), "ts"), "hour", "entries"), "WITH h AS (SELECT CAST(hour(ts) AS INT) AS hour, count(*) AS entries FROM events WHERE ts IS NOT NULL GROUP BY 1) SELECT * FROM (SELECT *, 'highest' AS which FROM h ORDER BY entries DESC, hour LIMIT 1) UNION ALL SELECT * FROM (SELECT *, 'lowest' AS which FROM h ORDER BY entries, hour LIMIT 1)")
+add("tag_summary", q_entries(C.tag_summary), f"{E} SELECT count(*) AS entries, count(*) FILTER (len(tags) > 0) AS tagged, {R6('avg(len(tags))', 'mean_tags')}, {R6('median(len(tags))', 'median_tags')} FROM e")
 add("tag_coverage", q_entries(C.tag_coverage), f"{E} SELECT year, count(*) AS entries, count(*) FILTER (len(tags) > 0) AS tagged, {R6('avg(CAST(len(tags) > 0 AS INT))', 'share')}, {R6('avg(len(tags))', 'mean_tags')}, {R6('median(len(tags))', 'median_tags')} FROM e GROUP BY year")
 add("tag_year_heatmap", q_entries(C.tag_year_heatmap), f"{E}, b AS (SELECT tag, count(*) AS total FROM et GROUP BY tag ORDER BY total DESC, tag LIMIT 10), c AS (SELECT year, tag, count(*) AS n FROM et GROUP BY ALL) SELECT b.tag, y.year, total, coalesce(n, 0) AS entries FROM b CROSS JOIN (SELECT DISTINCT year FROM e) AS y LEFT JOIN c ON c.tag = b.tag AND c.year = y.year")
 
