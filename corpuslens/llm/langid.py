@@ -6,7 +6,7 @@ is approximated from a few landmark texts (Nystroem): with K the landmarks' kern
 its kernels with the landmarks times K**-1/2. One ridge regression against the rest is fitted for each language.
 Batches of texts are scored by matrix products: presence x landmarks, then x coefficients.
 
-Learned on the driver from a bounded sample (`MOST_ROWS` texts, alike for each language, of at most `MOST_BYTES`
+Learned in one task from a bounded sample (`MOST_ROWS` texts, alike for each language, of at most `MOST_BYTES`
 bytes; `LANDMARKS` of them landmarks). Null texts and texts without a letter give `und` and score 0. An empty
 training sample gives `und` throughout. Repeated rows are treated alike; an empty table gives an empty result.
 """
@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import column_bytes, joined, slices
+from corpuslens.llm.common import column_bytes, fit_in_task, joined, slices
 
 LONGEST = 4
 WIDTH = 1 << 15
@@ -111,9 +111,8 @@ def sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
-    """Train on the sample."""
-    rows = sorted({(r[0], r[1], r[2]) for r in sample(docs, text, lang, key).collect()})
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    """Train on the sample, in a task."""
+    return fit_in_task(sample(docs, text, lang, key), lambda rows: train([r[1] for r in rows], [r[2] for r in rows]))
 
 
 def _has_letter(lowered: pa.Array) -> np.ndarray:

@@ -5,7 +5,7 @@ embedding of its hash) and character inputs (the largest, mean and smallest log-
 the mean of their learned embeddings). Windows of `WINDOW` words, one every `STRIDE` words, cover every whole
 text with overlaps. Two gated recurrent layers read a window forwards and backwards (gates in softsign form),
 attention pools their states, and a text's score is its highest window score. All of it is trained in numpy
-on the driver, from a bounded sample (`MOST_TOXIC`, `MOST_CLEAN`, `MOST_BYTES`) of labelled rows.
+in one task, from a bounded sample (`MOST_TOXIC`, `MOST_CLEAN`, `MOST_BYTES`) of labelled rows.
 
 Null texts and texts without a word score 0. Rows with a null or repeated doc_id are scored like any other.
 Without a toxic and a clean row to learn from, every score is 0. An empty table gives an empty result.
@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import column_bytes, distinct_spans, joined, mix, slices, word_spans
+from corpuslens.llm.common import column_bytes, distinct_spans, fit_in_task, joined, mix, slices, word_spans
 
 WINDOW, STRIDE = 40, 32
 #: The training sample: at most so many toxic and clean rows, none of a text of more bytes.
@@ -143,6 +143,7 @@ class Network:
             "att": rng.normal(0, 0.3, 2 * h), "out": rng.normal(0, 0.3, 2 * h), "bias": np.array([-2.0]),
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
+        self._sides = ()
 
     def word_inputs(self, codes, tables) -> np.ndarray:
         """The input vector of each distinct word."""
@@ -370,6 +371,7 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
                 m += 0.1 * (g[k] - m)
                 s += 0.01 * (g[k] ** 2 - s)
                 v -= (pace * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6) + rate * 1e-3 * v).astype(np.float32)
+    net._sides = ()  # of the sample's words; scoring projects its own
     return Model(net, evidence.tables())
 
 
@@ -384,17 +386,20 @@ def sample(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", steps: int = STEPS) -> Model:
-    """Train on the sample."""
-    rows = sorted({(r[0], r[1], r[2]) for r in sample(docs, labels, text, key).collect()}, key=lambda r: (r[2], r[0], r[1]))
-    toxic, clean = [r for r in rows if r[2] == 1][:MOST_TOXIC], [r for r in rows if r[2] == 0][:MOST_CLEAN]
-    return train([r[1] for r in toxic + clean], [r[2] for r in toxic + clean], steps)
+    """Train on the sample, in a task."""
+
+    def learn(rows: list[tuple]) -> Model:
+        toxic, clean = [r for r in rows if r[0] == 1][:MOST_TOXIC], [r for r in rows if r[0] == 0][:MOST_CLEAN]
+        return train([r[2] for r in toxic + clean], [r[0] for r in toxic + clean], steps)
+
+    return fit_in_task(sample(docs, labels, text, key).select("toxic", key, "text"), learn)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs and score."""
     names = keep if keep is not None else docs.columns
     taken = docs.select(*names, F.col(text).alias("__text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed: about 5 MB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed: about 2 MB
 
     def run(batches):
         model = shared.value
