@@ -10,6 +10,10 @@
    finds its place from its rank among the pieces of its length; ranks come from per-task counts, so no
    length (and no hot group of one length) meets in one task.
 
+The plan's size has a bound that no corpus changes: at most three rows a pattern (87,894 patterns at 1024), and
+best fit opens at most two new groups of sequences a length, each with a row for each of its distinct lengths
+(44 at most, as they sum to 1024): 353,794 rows of five longs, 14 MB.
+
 Null texts count as empty (one end id). Ties and repeated rows need no care: every row is packed on its own.
 An empty table gives an empty result.
 """
@@ -17,6 +21,7 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
 
 import numpy as np
@@ -141,26 +146,28 @@ def pack_histogram(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tupl
 
 
 def plan_ranges(chosen: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
-    """Ranges of ranks by length: length, first rank, first sequence, offset; sorted, one sequence a rank."""
+    """Ranges of ranks by length: length, first rank, first sequence, offset, and how many ranks each sequence takes side by side; sorted."""
     used: dict[int, int] = {}
     rows, sequence = [], 0
     for lengths, n in chosen:
         offset = 0
-        for length in lengths:
-            rows.append((length, used.get(length, 0), sequence, offset))
-            used[length] = used.get(length, 0) + n
-            offset += length
+        for length, run in itertools.groupby(lengths):
+            each = len(list(run))
+            rows.append((length, used.get(length, 0), sequence, offset, each))
+            used[length] = used.get(length, 0) + n * each
+            offset += length * each
         sequence += n
     rows.sort()
-    cells = np.array(rows, np.int64).reshape(-1, 4)
-    return {"length": cells[:, 0], "rank": cells[:, 1], "sequence": cells[:, 2], "offset": cells[:, 3]}
+    cells = np.array(rows, np.int64).reshape(-1, 5)
+    return {"length": cells[:, 0], "rank": cells[:, 1], "sequence": cells[:, 2], "offset": cells[:, 3], "each": cells[:, 4]}
 
 
 def place(plan: dict[str, np.ndarray], length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sequence and offset of the pieces with these lengths and ranks."""
     key = (plan["length"] << np.int64(44)) | plan["rank"]
     at = np.searchsorted(key, (length << np.int64(44)) | rank, side="right") - 1
-    return plan["sequence"][at] + rank - plan["rank"][at], plan["offset"][at]
+    sequence, beside = np.divmod(rank - plan["rank"][at], plan["each"][at])
+    return plan["sequence"][at] + sequence, plan["offset"][at] + beside * length
 
 
 # --- pieces ---------------------------------------------------------------------------------------------
@@ -259,8 +266,6 @@ def pack(df: DataFrame, text: str = "text", key: str = "doc_id", capacity: int =
     for row in by_task.groupBy("length").agg(F.sum("count").alias("n")).collect():  # capacity rows at most
         histogram[row["length"]] = row["n"]
     plan = plan_ranges(pack_histogram(histogram, capacity))
-    if len(plan["length"]) > 200 * capacity:
-        raise ValueError("the plan is larger than its bound")
     shared = spark.sparkContext.broadcast(plan)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_task.select("task", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("task_start"))

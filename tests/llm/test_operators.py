@@ -93,6 +93,32 @@ def test_plan_uses_every_piece(lengths):
     assert (used == histogram).all()
 
 
+def test_packing_of_a_large_corpus(docs, monkeypatch):
+    lengths = np.arange(1025)
+    many = (1e5 * np.exp(-lengths / 500) * (1 + 0.05 * np.random.default_rng(1).normal(size=1025))).astype(np.int64)
+    many[0], many[1024] = 0, 10_000_000
+    chosen = packing.pack_histogram(many)
+    plan, used = packing.plan_ranges(chosen), np.zeros(1025, np.int64)
+    assert many.sum() > 50_000_000 and 204_800 < len(plan["length"]) < 353_794
+    ends = np.cumsum([n for _, n in chosen])
+    for own, n in chosen:
+        for x in own:
+            used[x] += n
+    assert (used == many).all()
+    taken = []
+    for x in (1, 5, 340, 512, 700, 1024):  # all places of these lengths: in their sequences, at offsets of such a piece, none twice
+        sequence, offset = packing.place(plan, np.full(many[x], x), np.arange(many[x]))
+        taken.append(sequence * 1024 + offset)
+        first = np.searchsorted(ends, sequence, side="right")
+        for k, at in set(zip(first[::997].tolist(), offset[::997].tolist(), strict=True)):
+            assert at in {sum(chosen[k][0][:j]) for j, y in enumerate(chosen[k][0]) if y == x}
+    taken = np.concatenate(taken)
+    assert len(np.unique(taken)) == len(taken)
+    monkeypatch.setattr(packing, "pack_histogram", lambda own, capacity, real=packing.pack_histogram: real(own + many, capacity))
+    rows = packing.pack(docs).collect()
+    assert {r.doc_id for r in rows} == set(range(len(TEXTS))) and len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+
+
 def test_suffix_array():
     for _ in range(300):
         s = [rng.randint(1, rng.choice([1, 2, 8])) for _ in range(rng.randint(0, 30))] + [0]
