@@ -46,7 +46,7 @@ def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, cut and packed into sequences of 1024 tokens."""
-    return packing.pack(docs)
+    return packing.pack(docs, added=packing.added_tokens())
 
 
 STAGES = [("toxicity", toxic_out), ("language ID", unknown_language_out), ("MinHash near-dedup", near_duplicates_out), ("suffix-array dedup", repeats_out), ("best-fit packing", packed)]

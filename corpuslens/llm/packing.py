@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
+import re
 import zlib
 
 import numpy as np
@@ -201,11 +203,34 @@ def _word_ids(words: list[bytes], ranks_path: str) -> list[bytes]:
     return out
 
 
-def token_pieces(df: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, ranks_path: str | None = None, tokens: bool = False) -> DataFrame:
+def added_tokens(json_path: str | None = None) -> dict[str, int]:
+    """Added tokens of a tokenizers file and their ids: the library cuts texts at them before anything else."""
+    with open(json_path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
+def _cut_at(added: dict[str, int], data: np.ndarray, offsets: np.ndarray, first: int, last: int) -> tuple[np.ndarray, list[int], dict[int, bytes]]:
+    """Texts first..last-1 cut at added tokens: offsets of the parts, first part of each text (n + 1), ids of parts that are an added token."""
+    find = re.compile(b"|".join(re.escape(t.encode()) for t in sorted(added, key=len, reverse=True)))
+    if not added or not find.search(data[offsets[first] : offsets[last]]):
+        return offsets[first : last + 1], list(range(last - first + 1)), {}
+    cuts, parts, ids = [], [0], {}
+    for a, b in zip(offsets[first:last].tolist(), offsets[first + 1 : last + 1].tolist(), strict=True):
+        cuts.append(a)
+        for m in find.finditer(data[a:b].tobytes()):
+            ids[len(cuts)] = np.array([added[m[0].decode()]], "<u4").tobytes()
+            cuts += [a + m.start(), a + m.end()]
+        parts.append(len(cuts))
+    return np.array([*cuts, offsets[last]], np.int64), parts, ids
+
+
+def token_pieces(df: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, ranks_path: str | None = None, tokens: bool = False, added: dict[str, int] | None = None) -> DataFrame:
     """Cut documents into pieces: key, piece, start, length, ids_crc32, task, task_rank (and the ids, if asked for).
 
     task_rank counts the pieces of this length that the task has made before. The ids are those of the
     `tokenizers` file of the same vocabulary (checked in the tests), made from the rank file word by word.
+    With added_tokens() as `added` they are the library's by default, where the text of an added token is that
+    token; without, those with encode_special_tokens set, where it is plain text.
     """
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     kind = df.schema[key].dataType.simpleString()
@@ -219,11 +244,15 @@ def token_pieces(df: DataFrame, text: str = "text", key: str = "doc_id", capacit
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
             for a, b in slices(offsets):
-                words, number, by_text = split_texts(data, offsets, a, b)
-                ids, number, by = _word_ids(words, path), number.tolist(), by_text.tolist()
+                cuts, parts, special = _cut_at(added or {}, data, offsets, a, b)
+                words, number, by_part = split_texts(data, cuts, 0, len(cuts) - 1)
+                ids, number, by = _word_ids(words, path), number.tolist(), by_part.tolist()
                 row, piece, start, length, crc, own = [], [], [], [], [], []
                 for k in range(b - a):
-                    whole = b"".join([ids[x] for x in number[by[k] : by[k + 1]]]) + end
+                    if special:
+                        whole = b"".join([special.get(p) or b"".join([ids[x] for x in number[by[p] : by[p + 1]]]) for p in range(parts[k], parts[k + 1])]) + end
+                    else:
+                        whole = b"".join([ids[x] for x in number[by[k] : by[k + 1]]]) + end
                     total = len(whole) // 4
                     at, size, j = 0, (total - 1) % capacity + 1, 0
                     while at < total:
@@ -254,13 +283,13 @@ def token_pieces(df: DataFrame, text: str = "text", key: str = "doc_id", capacit
     return df.select(key, text).mapInArrow(run, schema)
 
 
-def pack(df: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, ranks_path: str | None = None, tokens: bool = False) -> DataFrame:
+def pack(df: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, ranks_path: str | None = None, tokens: bool = False, added: dict[str, int] | None = None) -> DataFrame:
     """Pack every document: the columns of token_pieces() and sequence_id, offset.
 
     The pieces are written once, since a rank must stay what it was when its task is run again.
     """
     spark = df.sparkSession
-    pieces = materialize(token_pieces(df, text, key, capacity, ranks_path, tokens))
+    pieces = materialize(token_pieces(df, text, key, capacity, ranks_path, tokens, added))
     by_task = materialize(pieces.groupBy("task", "length").count())
     histogram = np.zeros(capacity + 1, np.int64)
     for row in by_task.groupBy("length").agg(F.sum("count").alias("n")).collect():  # capacity rows at most

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from corpuslens.llm import bpe, forest, langid, licenses, neardup, packing, suffix, topk, toxicity, urlfilter
+from corpuslens.llm import bpe, forest, langid, licenses, neardup, packing, queries, suffix, topk, toxicity, urlfilter
 from corpuslens.llm.components import connected_components
 
 rng = random.Random(4)
@@ -93,6 +93,23 @@ def test_plan_uses_every_piece(lengths):
     assert (used == histogram).all()
 
 
+def test_packing_added_tokens(spark, tmp_path):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [*TEXTS, f"ab {end} cd", end, f"{end}{end} ", f"a{end}", f" 's{end}'s  {end}\n中{end} ½", "<|endof", "text|>", "<|endoftext|", (f"w {end}" * 3000)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for rows in (queries.op1_best_fit_packing(spark, str(tmp_path)).collect(), corpus_pipeline.packed(spark, df, str(tmp_path)).collect()):
+        by_doc = collections.defaultdict(list)
+        for r in rows:
+            by_doc[r.doc_id].append(r)
+        for k, t in enumerate(texts):
+            ids = library.encode(t or "", add_special_tokens=False).ids + [2]
+            assert sum(r.length for r in by_doc[k]) == len(ids)
+            for r in by_doc[k]:
+                assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+
+
 def test_packing_of_a_large_corpus(docs, monkeypatch):
     lengths = np.arange(1025)
     many = (1e5 * np.exp(-lengths / 500) * (1 + 0.05 * np.random.default_rng(1).normal(size=1025))).astype(np.int64)
