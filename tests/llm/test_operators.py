@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import pathlib
 import random
 import re
 import zlib
@@ -256,6 +257,32 @@ def test_licences(spark, docs, nothing):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(nothing).count() == 0
 
 
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+%s Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+%s Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+%s
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def test_common_licences(spark, tmp_path):
+    third = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    texts = [
+        ("BSD-2-Clause", 0, "Copyright (c) 2020, Someone\n\n" + BSD % ("1.", "2.", "")), ("BSD-3-Clause", 0, "BSD 3-Clause License\n\nCopyright (c) 2020\nAll rights reserved.\n" + BSD % ("*", "*", "* " + third)),
+        ("MIT", 0, "The MIT License (MIT)\n\nCopyright (c) 2020 Someone\n\n" + licenses.MIT), ("MIT (titled)", 0, "MIT License\n" + licenses.MIT), (None, 0, BSD % ("1.", "2.", "3. Pay.")),
+        (None, 5, "Licensed under the Mozilla Public License, version 2.0\nx\nSPDX-License-Identifier: Apache-2.0\nThis software is licensed under the GNU Affero General Public License, version 3 or later.\nReleased under CC BY-SA 4.0\nReleased under the MIT License."),
+        (None, 0, "Licensed under my own terms"),
+    ]
+    folder = pathlib.Path("/usr/share/common-licenses")
+    found = [(n, 0, (folder / f).read_text()) for f, n in {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}.items() if (folder / f).exists()]
+    texts += found + [(n, k, re.sub(r"END OF TERMS AND CONDITIONS[\s\S]*", "END OF TERMS AND CONDITIONS\n", t)) for n, k, t in found]
+    spark.createDataFrame([(k, t) for k, (_, _, t) in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.license, r.n_notice_lines) for r in queries.op8_license_scans(spark, str(tmp_path)).collect()}
+    assert got == {k: (name, n) for k, (name, n, _) in enumerate(texts)}
+    every = [d for own in licenses.DIGESTS.values() for d in own]
+    assert len(every) == len(set(every))
+
+
 def test_toxicity(spark, docs, nothing):
     bad = ["grob", "schnark"]
     texts = [" ".join(f"w{rng.randint(0, 300)}" for _ in range(60)) for _ in range(240)]
