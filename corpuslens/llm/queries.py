@@ -114,5 +114,5 @@ scored AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM scored QUALIFY rank <= 5"""
 
-#: URL_SQL has no alias edges: it holds where the pages have no absolute canonical or refresh link, as in the given tables.
+#: URL_SQL has no alias edges: it holds where the pages have no canonical or refresh link, as in the given tables.
 ORACLE_SQL = {"op5_url_filters": URL_SQL, "op8_license_scans": _license_sql(), "op9_exact_top_k": TOP_K_SQL}

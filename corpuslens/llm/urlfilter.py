@@ -1,7 +1,7 @@
 """URL verdicts by redirect equivalence (operator 5), with DataFrame functions only.
 
 A url's longest fitting rule decides. Urls without a rule take the method's verdict: redirect and canonical links
-of the pages are edges between urls (host, path and query, without scheme and fragment); in a connected component
+of the pages, relative ones too, are edges between urls (host, path and query, without scheme and fragment); in a connected component
 a block decision reaches every alias without a rule, unless a member has an explicit allow, which takes precedence.
 Everything else is allowed.
 
@@ -27,6 +27,9 @@ HOST = r"(?s)^.*?://([^/?#]*)"
 PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
 QUERY = r"(?s)^.*?://[^?#]*(\?[^#]*)"
 CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
+BASE_TAG = r"(?is)<base\b[^>]*\bhref\s*=[^>]*>"
+HREF = r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
+GOES_TO = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)"
 REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 
 
@@ -44,11 +47,51 @@ def node_of(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(host_of(url), path_of(url), F.coalesce(F.regexp_extract(url, QUERY, 1), F.lit(""))))
 
 
-def links_of(html: Column) -> Column:
-    """Absolute targets of canonical links and of refreshes."""
-    canonical = F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, REFRESH, 0), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1)
-    return F.filter(F.array(canonical, refresh), lambda x: x.contains("://"))
+def resolve(base: Column, target: Column) -> Column:
+    """The absolute url that a target on the page `base` means (RFC 3986); null for other schemes and without a base."""
+    scheme, root = F.regexp_extract(base, r"(?s)^(.*?:)//", 1), F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = path_of(base)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
+    rest = F.regexp_extract(target, r"(?s)([?#].*)$", 1)
+    own = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    joined = F.when(own.startswith("/"), own).otherwise(F.concat(folder, own))
+    relative = (
+        F.when(target.startswith("?"), F.concat(root, path, target))
+        .when(own == "", F.concat(F.regexp_extract(base, r"(?s)^([^#]*)", 1), target))
+        .otherwise(F.concat(root, without_dots(joined), rest))
+    )
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(F.instr(base, "://") == 0, F.lit(None).cast("string"))
+        .when(target.startswith("//"), F.concat(scheme, target))
+        .when(~target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), relative)
+    )
+
+
+def without_dots(path: Column) -> Column:
+    """A path that begins with `/`, its `.` and `..` segments carried out."""
+    parts = F.split(path, "/")
+
+    def step(kept: Column, x: Column) -> Column:
+        return F.when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).when(x == ".", kept).otherwise(F.concat(kept, F.array(x)))
+
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step)
+    open_end = F.element_at(parts, -1).isin(".", "..")
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(F.when(open_end, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")).otherwise(path)
+
+
+def links_of(html: Column, url: Column) -> Column:
+    """Targets of all canonical links and refreshes of a page, resolved against its url (or its base tag's)."""
+    canonical = F.transform(F.regexp_extract_all(html, F.lit(CANONICAL), 0), lambda x: _attribute(x, HREF))
+    refresh = F.transform(F.regexp_extract_all(html, F.lit(REFRESH), 0), lambda x: _attribute(x, GOES_TO))
+    found = F.filter(F.concat(canonical, refresh), lambda x: x != "")
+    tag = _attribute(F.regexp_extract(html, BASE_TAG, 0), HREF)
+    base = F.when(tag != "", F.coalesce(resolve(url, tag), url)).otherwise(url)
+    return F.filter(F.transform(found, lambda x: resolve(base, x)), lambda x: x.isNotNull())
+
+
+def _attribute(tag: Column, pattern: str) -> Column:
+    return F.replace(F.trim(F.regexp_extract(tag, pattern, 1)), F.lit("&amp;"), F.lit("&"))
 
 
 def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -78,7 +121,7 @@ def with_rules(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """key, host, path, rule, verdict of every page."""
     seen = with_rules(pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), node_of(F.col(url)).alias("node")), rules)
-    links = pages.select(node_of(F.col(url)).alias("a"), F.explode(links_of(F.col(html))).alias("target")).where("a is not null")
+    links = pages.select(node_of(F.col(url)).alias("a"), F.explode(links_of(F.col(html), F.col(url))).alias("target")).where("a is not null")
     edges = materialize(links.select("a", node_of(F.col("target")).alias("b"), F.col("target").alias("b_url")).distinct())
     aliases = connected_components(edges)
     ends = edges.select(F.col("a").alias("node"), F.concat(F.lit("://"), "a").alias("u")).unionByName(edges.select(F.col("b").alias("node"), F.col("b_url").alias("u")))

@@ -243,6 +243,26 @@ def test_urls(spark):
     assert {r.page_id: r.verdict for r in urlfilter.judge(df, many).collect()} == {k: v[3] for k, v in got.items()}
 
 
+def test_relative_links(spark):
+    def link(*targets):
+        return "".join(f'<LINK href="{t}" rel=canonical>' for t in targets)
+
+    def go(*targets):
+        return "".join(f"<meta http-equiv='refresh' content='0; URL={t}'>" for t in targets)
+
+    rows = [
+        (1, "http://a.org/es/1", ""), (2, "http://a.org/de/2", link("/es/1")), (3, "http://a.org/x/y.html?q=1", go("../es/./1")), (4, "http://b.io/q", link("//a.org/es/1")),
+        (5, "https://b.io/two", link("http://other.io/", "http://a.org/es/1")), (6, "https://b.io/three", go("two#f", "nowhere")), (7, "http://b.io", go("three")), (8, "http://b.io/d/", "<base href='/'>" + link("q")),
+        (9, "http://c.io/a/b?x=1", link("?x=2")), (10, "http://c.io/a/b?x=2", link("http://a.org/es/1")), (11, "http://c.io/a/c", link("javascript:void(0)", "#top", "mailto:a@b.org")), (12, None, link("/es/1")), (13, "no scheme", link("/es/1", "http://a.org/es/1")),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in urlfilter.judge(df).collect()} == {**{k: "block" for k in range(1, 11)}, 11: "allow", 12: "allow", 13: "allow"}
+    g = "http://a/b/c/d?q"
+    cases = {"g": "b/c/g", "./g": "b/c/g", "g/": "b/c/g/", "/g": "g", "?y": "b/c/d?y", "g?y": "b/c/g?y", "#s": "b/c/d?q#s", "g#s": "b/c/g#s", ".": "b/c/", "./": "b/c/", "..": "b/", "../g": "b/g", "../..": "", "../../g": "g", "../../../g": "g", "/../g": "g", "g..": "b/c/g..", "./g/.": "b/c/g/", "g/../h": "b/c/h", "g?y/../x": "b/c/g?y/../x"}
+    got = spark.createDataFrame([(g, t) for t in [*cases, "//g", "ftp://z/1", "mailto:x"]], "b string, t string").select("t", urlfilter.resolve(F.col("b"), F.col("t"))).collect()
+    assert dict(map(tuple, got)) == {**{t: f"http://a/{w}" for t, w in cases.items()}, "//g": "http://g", "ftp://z/1": "ftp://z/1", "mailto:x": None}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(50, k) for k in range(60, 90)] + [(None, 1), (7, 7)], "a long, b long")
     got = dict(connected_components(edges).collect())
