@@ -1,10 +1,10 @@
 """Byte-level BPE by corpus-level merge replay (operator 3).
 
-The distinct words of a chunk of the corpus are encoded together. An inverted index, from the rank of a
-token pair to the word positions where that pair is the next to merge, is read in rank order; each merge is
-applied to all its positions at once, and only the two neighbours of a merged position are looked up again
-and enter the index of the next wave. A word takes one merge in a wave, its lowest rank, leftmost first, so
-every word sees its merges in rank order, as when one merge after another is replayed over the whole corpus.
+The distinct words of a chunk of the corpus are encoded together, in waves. There is no inverted index from
+pairs to positions: a wave scans all cells of every unfinished word for its lowest rank, leftmost first, and
+merges there; only the two neighbours of a merged position are looked up again. So every word sees its merges
+in rank order, as when one merge after another is replayed over the whole corpus. A match of n bytes takes up
+to n waves of n cells.
 
 Null texts count as empty: no tokens. Any number of extra columns may stand beside the text.
 """
