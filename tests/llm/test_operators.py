@@ -356,6 +356,72 @@ def test_pipeline(spark):
     assert 0 < out.select("doc_id").distinct().count() <= docs.count()
 
 
+def test_pipeline_rows(spark, tmp_path):
+    own, library = random.Random(9), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    vocabulary = {"en": [f"th{a}{b}" for a in "bdfglmnprst" for b in ("ow", "ing", "ess", "ound")], "fr": [f"é{a}{b}" for a in "bdfglmnprst" for b in ("que", "oir", "eau", "ille")]}
+
+    def words(lang, n=120):
+        return [own.choice(vocabulary[lang]) for _ in range(n)]
+
+    rows = {k: (" ".join(words("en" if k % 2 else "fr")), "en" if k % 2 else "fr") for k in range(200)}
+    toxic = {k for k in range(200) if k % 8 in (0, 3)}  # as often in both languages
+    for k in toxic:
+        w = rows[k][0].split()
+        w[own.randrange(120)] = own.choice(["grob", "schnark"])
+        rows[k] = (" ".join(w), rows[k][1])
+    unknown = {300: ("12 34 , 56", "en"), 301: ("", "fr"), 302: (None, "en")}
+    for k, base in ((310, 1), (311, 1), (312, 2)):  # near copies: one word differs
+        w = rows[base][0].split()
+        w[60] = "zzz"
+        rows[k] = (" ".join(w), rows[base][1])
+    shared = " ".join(words("en", 50))
+    for k in (320, 321):
+        rows[k] = (" ".join([*words("en"), shared, *words("en")]), "en")
+    rows[322] = (shared, "en")
+    rows[323] = (" ".join(words("en", 3000)), "en")
+    table = [(k, t, lang, "s", len(t or "")) for k, (t, lang) in {**rows, **unknown}.items()]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k in toxic)) for k in range(200)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    want = [{r[0]: r for r in table}]
+    want.append({k: r for k, r in want[-1].items() if k not in toxic})
+    want.append({k: r for k, r in want[-1].items() if k not in unknown})
+    groups = brute_groups([(k, r[1]) for k, r in want[-1].items()], 5, 80)
+    want.append({k: r for k, r in want[-1].items() if groups[k][1] == k})
+    seen, after = collections.Counter(r[1].encode()[i : i + 200] for r in want[-1].values() for i in range(len(r[1].encode()) - 199)), {}
+    for k, r in want[-1].items():
+        b = r[1].encode()
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 199):
+            if seen[b[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        if not gone.all():
+            text = np.frombuffer(b, np.uint8)[~gone].tobytes().decode()
+            after[k] = (k, text, *r[2:4], len(text))
+    want.append(after)
+    assert [len(x) for x in want] == [210, 160, 157, 154, 153] and len(after[320][1]) < len(rows[320][0]) - 200
+
+    for (name, stage), before, kept in zip(corpus_pipeline.STAGES, want, want[1:]):
+        given = spark.createDataFrame(list(before.values()), docs.schema)
+        got = sorted(map(tuple, stage(spark, given, str(tmp_path)).collect()))
+        assert ([r[0] for r in got], name) == (sorted(kept), name) and got == sorted(kept.values())
+    pieces = set()
+    for k, r in after.items():
+        ids, at, j = library.encode(r[1], add_special_tokens=False).ids + [2], 0, 0
+        while at < len(ids):
+            part = ids[at : at + (1024 if at else (len(ids) - 1) % 1024 + 1)]
+            pieces.add((k, j, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+            at, j = at + len(part), j + 1
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(out) == len(pieces) and {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out} == pieces
+    ends = collections.Counter()
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends[r.sequence_id]
+        ends[r.sequence_id] += r.length
+    assert max(ends.values()) <= 1024
+
+
 def test_slow_texts_match_fast():
     from corpuslens.llm.common import column_bytes
     from corpuslens.llm.pretokens import slow_split, split_texts
