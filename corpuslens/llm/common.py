@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once; a single longer text is a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
+#: Bytes of a batch that Spark hands to Python, at most (a longer row is a batch of its own).
+BATCH_BYTES = 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; a local one only where that is unset in local mode (tests)."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = f"file://{tempfile.gettempdir()}/corpuslens-shared"
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
@@ -51,6 +55,23 @@ def discard(df: DataFrame) -> None:
         jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow with batches of bounded size: the session's bound on their bytes is lowered where it is higher."""
+    conf = df.sparkSession.conf
+    known = conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")
+    if not known.isdigit() or not 0 < int(known) <= BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it as long as a column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fit_in_task(rows: DataFrame, fit: Callable[[list[tuple]], Any]) -> Any:
     """fit(sorted distinct rows) in one task: the sample, whose bound the caller states, never enters the driver."""
 
@@ -58,7 +79,7 @@ def fit_in_task(rows: DataFrame, fit: Callable[[list[tuple]], Any]) -> Any:
         found = {row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)}
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sorted(found)))], pa.binary())], ["model"])
 
-    made = rows.repartition(1).mapInArrow(run, "model binary").first()
+    made = map_arrow(rows.repartition(1), run, "model binary").first()
     return pickle.loads(made[0]) if made else fit([])
 
 
