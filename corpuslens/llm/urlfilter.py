@@ -5,8 +5,10 @@ of the pages, relative ones too, are edges between urls (host, path and query, w
 a block decision reaches every alias without a rule, unless a member has an explicit allow, which takes precedence.
 Everything else is allowed.
 
-Null urls and urls without `://` have an empty host and path, and no links in or out. Repeated urls are one node.
-Pages keep their number and order of columns is page_id, host, path, rule, verdict. An empty table gives none.
+Null urls and urls without `://` have an empty host and path, and no links in or out. Null and empty html has no
+links; html of any length is read whole. Repeated urls are one node; repeated pages are judged each. Of equally long
+rules that fit, the one whose text is greatest wins. Other columns of pages are left aside, so their names cannot clash.
+Columns come in the order page_id, host, path, rule, verdict. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ from corpuslens.llm.common import discard, materialize
 from corpuslens.llm.components import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The fixed rules of the query: host, path, verdict.
-RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "allow"), ("org", "/es/", "block")]
+# The rules of the query, as host, path, verdict.
+RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 #: Up to so many rules are compared in place; more are joined by host suffix.
 IN_PLACE = 500
 
