@@ -1,12 +1,13 @@
 """Byte-level BPE by corpus-level merge replay (operator 3).
 
-The distinct words of a chunk of the corpus are encoded together, in waves. There is no inverted index from
-pairs to positions: a wave scans all cells of every unfinished word for its lowest rank, leftmost first, and
-merges there; only the two neighbours of a merged position are looked up again. So every word sees its merges
-in rank order, as when one merge after another is replayed over the whole corpus. A match of n bytes takes up
-to n waves of n cells.
-
-Null texts count as empty: no tokens. Any number of extra columns may stand beside the text.
+The distinct words of a chunk of the corpus are encoded together. An inverted index leads from a token pair (by
+the rank of its merge) to the positions, in any word, where that pair stands. Merges are applied in rank order: the
+lowest rank's positions are taken, leftmost first, and each merge there updates its two neighbours only, whose new
+pairs enter the index. Positions whose pair has changed meanwhile are passed over. So a word of n bytes takes up to
+n merges and 2n new index entries, however long it is.
+
+Null texts count as empty: no tokens. Repeated rows and equal words have equal results; texts and words of any
+length are encoded whole. Other columns are left aside, so their names cannot clash. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -14,18 +15,20 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
+from array import array
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpuslens.llm.common import column_bytes, slices
+from corpuslens.llm.common import column_bytes, map_arrow, slices
 from corpuslens.llm.pretokens import split_texts
 
-NONE = np.int64(1) << 40
-#: Words that a worker remembers; the store is emptied beyond, which changes no result.
-REMEMBERED = 250_000
+NONE = (1 << 31) - 1
+#: Words that a worker remembers, of so many bytes at most; the store is emptied beyond, which changes no result.
+REMEMBERED, SHORT = 250_000, 64
 
 
 class MergeReplay:
@@ -46,6 +49,7 @@ class MergeReplay:
                     values.append(r)
         order = np.argsort(np.array(keys, np.int64))
         self.keys, self.values = np.array(keys, np.int64)[order], np.array(values, np.int64)[order]
+        self.merges = dict(zip(keys, values, strict=True))
         self.memory: dict[bytes, np.ndarray] = {}
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -57,61 +61,73 @@ class MergeReplay:
     def replay(self, words: list[bytes]) -> list[np.ndarray]:
         """Token ids of each word; no word is empty."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        token = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
-        n = len(token)
+        cells = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
+        n = len(cells)
         begin = np.concatenate([[0], np.cumsum(lengths)])
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
-        after[begin[1:] - 1] = n  # n and -1: beyond the word
-        before[begin[:-1]] = -1
-        rank = np.full(n + 1, NONE, np.int64)
-        inner = np.flatnonzero(after < n)
-        rank[inner] = self.pair_ranks(token[inner], token[inner + 1])
-        alive = np.ones(n, bool)
-        active = np.flatnonzero(lengths > 1)
-        while len(active):
-            # The wave's index: for each unfinished word its lowest rank and the leftmost position that has it.
-            size = lengths[active]
-            edge = np.concatenate([[0], np.cumsum(size)])
-            cells = np.arange(edge[-1]) + np.repeat(begin[active] - edge[:-1], size)
-            here = rank[cells]
-            lowest = np.minimum.reduceat(here, edge[:-1])
-            hit = np.flatnonzero(here == np.repeat(lowest, size))
-            owner = np.searchsorted(edge, hit, side="right") - 1
-            leftmost = np.ones(len(hit), bool)
-            leftmost[1:] = owner[1:] != owner[:-1]
-            live = lowest < NONE
-            at = cells[hit[leftmost]][live]
-            active = active[live]
-            order = np.argsort(rank[at], kind="stable")  # positions by rank: each merge over all its words
-            at = at[order]
-            if not len(at):
-                break
-            gone = after[at]
-            token[at] = rank[at]
-            alive[gone] = False
-            rank[gone] = NONE
-            follow = after[gone]
-            after[at] = follow
-            has = follow < n
-            before[follow[has]] = at[has]
-            rank[at] = NONE
-            rank[at[has]] = self.pair_ranks(token[at[has]], token[follow[has]])
-            left = before[at]
-            led = left >= 0
-            rank[left[led]] = self.pair_ranks(token[left[led]], token[at[led]])
-        kept = np.concatenate([[0], np.cumsum(alive)])[begin]
-        ids = token[alive].astype("<u4")
+        following, preceding = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        following[begin[1:] - 1] = n  # n and -1: beyond the word
+        preceding[begin[:-1]] = -1
+        found = np.full(n, NONE, np.int32)
+        inner = np.flatnonzero(following < n)
+        found[inner] = self.pair_ranks(cells[inner], cells[inner + 1])
+        # The index: positions by rank, each list ascending at first; its ranks are a heap.
+        order = np.argsort(found, kind="stable")[: int((found < NONE).sum())]
+        ranks, edge = np.unique(found[order], return_index=True)
+        index = {r: own.tolist() for r, own in zip(ranks.tolist(), np.split(order, edge[1:]), strict=True)} if len(order) else {}
+        heap = list(index)
+        token, after, before, rank = (array("i", x.astype(np.int32).tobytes()) for x in (cells, following, preceding, found))
+        alive = bytearray(b"\1") * n
+        merges = self.merges
+
+        def file(at: int, pair: int) -> int:
+            """Enter a position under its new pair."""
+            new = rank[at] = merges.get(pair, NONE)
+            if new != NONE:
+                own = index.get(new)
+                if own is None:
+                    index[new] = [at]
+                    heapq.heappush(heap, new)
+                else:
+                    own.append(at)
+            return new
+
+        while heap:
+            r = heapq.heappop(heap)
+            spots = index.pop(r)
+            spots.sort()
+            for k, at in enumerate(spots, 1):
+                if rank[at] != r:
+                    continue
+                gone = after[at]
+                follow = after[at] = after[gone]
+                token[at], rank[gone], alive[gone] = r, NONE, 0
+                lowest = NONE
+                if follow < n:
+                    before[follow] = at
+                    lowest = file(at, r << 32 | token[follow])
+                else:
+                    rank[at] = NONE
+                left = before[at]
+                if left >= 0:
+                    lowest = min(lowest, file(left, token[left] << 32 | r))
+                if lowest < r and k < len(spots):  # that merge comes before the other positions
+                    index[r] = spots[k:] + index.get(r, [])
+                    heapq.heappush(heap, r)
+                    break
+        lives = np.frombuffer(alive, np.uint8) > 0
+        kept = np.concatenate([[0], np.cumsum(lives)])[begin]
+        ids = np.frombuffer(token, np.int32)[lives].astype("<u4")
         return [ids[a:b] for a, b in zip(kept[:-1].tolist(), kept[1:].tolist(), strict=True)]
 
     def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of distinct words; words met before are remembered."""
+        """Ids of distinct words; short words met before are remembered."""
         fresh = [w for w in words if w not in self.memory]
+        made = dict(zip(fresh, self.replay(fresh), strict=True)) if fresh else {}
+        out = [made[w] if w in made else self.memory[w] for w in words]
         if len(self.memory) + len(fresh) > REMEMBERED:
             self.memory = {}
-            fresh = words
-        if fresh:
-            self.memory.update(zip(fresh, map(np.copy, self.replay(fresh)), strict=True))
-        return [self.memory[w] for w in words]
+        self.memory.update((w, ids.copy()) for w, ids in made.items() if len(w) <= SHORT)
+        return out
 
     def decode(self, ids) -> bytes:
         """The bytes that the ids stand for."""
@@ -149,7 +165,7 @@ def encode_column(df: DataFrame, ranks_path: str, text: str = "text", key: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(rows, pa.list_(pa.int32()))], [key, "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"{key} {kind}, ids array<int>")
+    return map_arrow(df.select(key, text), run, f"{key} {kind}, ids array<int>")
 
 
 def decode_column(df: DataFrame, ranks_path: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
@@ -162,7 +178,7 @@ def decode_column(df: DataFrame, ranks_path: str, ids: str = "ids", key: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], [key, "decoded"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, ids).mapInArrow(run, f"{key} {kind}, decoded binary")
+    return map_arrow(df.select(key, ids), run, f"{key} {kind}, decoded binary")
 
 
 def digest_round_trip(df: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -193,7 +209,7 @@ def digest_round_trip(df: DataFrame, ranks_path: str, text: str = "text", key: s
                 )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(df.select(key, text), run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def ranks_file() -> str:
