@@ -14,8 +14,9 @@ The plan's size has a bound that no corpus changes: at most three rows a pattern
 best fit opens at most two new groups of sequences a length, each with a row for each of its distinct lengths
 (44 at most, as they sum to 1024): 353,794 rows of five longs, 14 MB.
 
-Null texts count as empty (one end id). Ties and repeated rows need no care: every row is packed on its own.
-An empty table gives an empty result.
+Null texts count as empty (one end id). Ties and repeated rows need no care: every row is packed on its own, a
+null key too. Texts of any length are packed whole. Columns but the key and the text are left aside, so their names
+cannot clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import column_bytes, materialize, slices
+from corpuslens.llm.common import column_bytes, map_arrow, materialize, slices
 from corpuslens.llm.pretokens import split_texts
 
 CAPACITY = 1024
 END_ID = 2
-#: Words that a worker remembers; the store is emptied beyond, which changes no result.
-REMEMBERED = 400_000
+#: Words that a worker remembers, of so many bytes at most; the store is emptied beyond, which changes no result.
+REMEMBERED, SHORT = 250_000, 64
 
 
 # --- the plan -------------------------------------------------------------------------------------------
@@ -176,30 +177,28 @@ def place(plan: dict[str, np.ndarray], length: np.ndarray, rank: np.ndarray) ->
 
 
 @functools.lru_cache(2)
-def _engine(ranks_path: str):
-    import base64
+def _engine(json_path: str):
+    import os
 
-    import tiktoken
+    from tokenizers import Tokenizer
 
-    with open(ranks_path, "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
+    return Tokenizer.from_file(json_path)
 
 
 _WORD_IDS: dict[bytes, bytes] = {}
 
 
-def _word_ids(words: list[bytes], ranks_path: str) -> list[bytes]:
+def _word_ids(words: list[bytes], json_path: str) -> list[bytes]:
+    """The library's ids of each word; a match of its pattern alone is one match again, so they are those in a text."""
     global _WORD_IDS
-    encode = _engine(ranks_path)
-    if len(_WORD_IDS) + len(words) > REMEMBERED:
+    fresh = [w for w in words if w not in _WORD_IDS]
+    made = _engine(json_path).encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
+    known = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(fresh, made, strict=True)}
+    out = [known[w] if w in known else _WORD_IDS[w] for w in words]
+    if len(_WORD_IDS) + len(known) > REMEMBERED:
         _WORD_IDS = {}
-    memory, out = _WORD_IDS, []
-    for w in words:
-        ids = memory.get(w)
-        if ids is None:
-            ids = memory[w] = np.array(encode(w), "<u4").tobytes()
-        out.append(ids)
+    _WORD_IDS.update((w, ids) for w, ids in known.items() if len(w) <= SHORT)
     return out
 
 
@@ -224,15 +223,15 @@ def _cut_at(added: dict[str, int], data: np.ndarray, offsets: np.ndarray, first:
     return np.array([*cuts, offsets[last]], np.int64), parts, ids
 
 
-def token_pieces(df: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, ranks_path: str | None = None, tokens: bool = False, added: dict[str, int] | None = None) -> DataFrame:
+def token_pieces(df: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, json_path: str | None = None, tokens: bool = False, added: dict[str, int] | None = None) -> DataFrame:
     """Cut documents into pieces: key, piece, start, length, ids_crc32, task, task_rank (and the ids, if asked for).
 
-    task_rank counts the pieces of this length that the task has made before. The ids are those of the
-    `tokenizers` file of the same vocabulary (checked in the tests), made from the rank file word by word.
+    task_rank counts the pieces of this length that the task has made before. The ids are made by the `tokenizers`
+    library from its file, distinct word by distinct word: a whole text takes it many times as long.
     With added_tokens() as `added` they are the library's by default, where the text of an added token is that
     token; without, those with encode_special_tokens set, where it is plain text.
     """
-    path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    path = json_path or public_tokenizers.path("byte_bpe_50k.json")
     kind = df.schema[key].dataType.simpleString()
     end = np.array([END_ID], "<u4").tobytes()
 
@@ -280,16 +279,16 @@ def token_pieces(df: DataFrame, text: str = "text", key: str = "doc_id", capacit
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"{key} {kind}, piece int, start long, length long, ids_crc32 long, task int, task_rank long" + ", ids array<int>" * tokens
-    return df.select(key, text).mapInArrow(run, schema)
+    return map_arrow(df.select(key, text), run, schema)
 
 
-def pack(df: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, ranks_path: str | None = None, tokens: bool = False, added: dict[str, int] | None = None) -> DataFrame:
+def pack(df: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, json_path: str | None = None, tokens: bool = False, added: dict[str, int] | None = None) -> DataFrame:
     """Pack every document: the columns of token_pieces() and sequence_id, offset.
 
     The pieces are written once, since a rank must stay what it was when its task is run again.
     """
     spark = df.sparkSession
-    pieces = materialize(token_pieces(df, text, key, capacity, ranks_path, tokens, added))
+    pieces = materialize(token_pieces(df, text, key, capacity, json_path, tokens, added))
     by_task = materialize(pieces.groupBy("task", "length").count())
     histogram = np.zeros(capacity + 1, np.int64)
     for row in by_task.groupBy("length").agg(F.sum("count").alias("n")).collect():  # capacity rows at most
@@ -311,4 +310,4 @@ def pack(df: DataFrame, text: str = "text", key: str = "doc_id", capacity: int =
 
     kept = [f for f in ranked.schema if f.name not in ("task", "task_rank", "task_start")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "sequence_id long", "offset long"])
-    return ranked.mapInArrow(run, schema).select(*[f.name for f in pieces.schema if f.name not in ("task", "task_rank")], "sequence_id", "offset")
+    return map_arrow(ranked, run, schema).select(*[f.name for f in pieces.schema if f.name not in ("task", "task_rank")], "sequence_id", "offset")
