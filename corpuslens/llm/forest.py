@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.llm.common import map_arrow
 from corpuslens.llm.vectors import query_blocks, ranked, shards, union_all
 
 TREES, DEPTH, SHARE, LEAST = 64, 24, 0.45, 64
@@ -125,5 +126,5 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 5, share: float
                 if found_q:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found_q, found_v, found_s)], ["query_id", "vec_id", "score"])
 
-        parts.append(rows.mapInArrow(run, "query_id long, vec_id long, score double"))
+        parts.append(map_arrow(rows, run, "query_id long, vec_id long, score double"))
     return ranked(union_all(parts, lambda: spark.createDataFrame([], "query_id long, vec_id long, score double")), k)
