@@ -8,7 +8,8 @@ Batches of texts are scored by matrix products: presence x landmarks, then x coe
 
 Learned in one task from a bounded sample (`MOST_ROWS` texts, alike for each language, of at most `MOST_BYTES`
 bytes; `LANDMARKS` of them landmarks). Null texts and texts without a letter give `und` and score 0. An empty
-training sample gives `und` throughout. Repeated rows are treated alike; an empty table gives an empty result.
+training sample gives `und` throughout. Repeated rows are treated alike; texts of any length are read whole. Kept
+columns with the names of the results give way to them; other columns cannot clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpuslens.llm.common import column_bytes, fit_in_task, joined, slices
+from corpuslens.llm.common import column_bytes, fit_in_task, joined, map_arrow, slices
 
 LONGEST = 4
 WIDTH = 1 << 15
@@ -119,24 +121,23 @@ def _has_letter(lowered: pa.Array) -> np.ndarray:
     return pc.match_substring_regex(lowered, r"\p{L}").to_numpy(zero_copy_only=False)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs, lang_pred and score."""
-    names = keep if keep is not None else docs.columns
-    taken = docs.select(*names, F.col(text).alias("__text"))
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` of docs (all, if not given), the language and its share, named `into`; kept columns of these names give way."""
+    results = {x.lower() for x in into}
+    names = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in results]
+    taken = docs.select(*names) if text in names else docs.select(*names, text)
+    place = taken.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed: landmarks x cells
 
     def run(batches):
         model = shared.value
         for batch in batches:
-            column = pc.utf8_lower(batch.column(batch.num_columns - 1).fill_null(""))
-            letters = _has_letter(column)
-            data, offsets = column_bytes(column)
-            for a, b in slices(offsets):
-                found, share = model.predict(data, offsets, a, b)
-                own = letters[a:b]
-                found = [x if ok else "und" for x, ok in zip(found, own.tolist(), strict=True)]
+            for a, b in slices(column_bytes(batch.column(place))[1]):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.string()), pa.array(np.where(own, share, 0.0))], [*names, "lang_pred", "score"])
+                column = pc.utf8_lower(part.column(place).fill_null(""))
+                found, share = model.predict(*column_bytes(column), 0, b - a)
+                own = _has_letter(column)
+                found = [x if ok else "und" for x, ok in zip(found, own.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(found, pa.string()), pa.array(np.where(own, share, 0.0))], [*names, *into])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema[:-1]), "lang_pred string", "score double"])
-    return taken.mapInArrow(run, schema)
+    return map_arrow(taken, run, T.StructType([*taken.schema.fields[: len(names)], T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())]))

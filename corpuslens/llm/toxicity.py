@@ -3,12 +3,15 @@
 A word enters the network with word inputs (its log-odds of toxicity in the training sample and a learned
 embedding of its hash) and character inputs (the largest, mean and smallest log-odds of its 3- to 5-grams and
 the mean of their learned embeddings). Windows of `WINDOW` words, one every `STRIDE` words, cover every whole
-text with overlaps. Two gated recurrent layers read a window forwards and backwards (gates in softsign form),
+text with overlaps, so a passage of up to `WINDOW` - `STRIDE` + 1 words is seen whole; learning uses one every
+`LEARN_STRIDE`, since neighbours that share most words teach little. Two gated recurrent layers read a window forwards and backwards (gates in softsign form),
 attention pools their states, and a text's score is its highest window score. All of it is trained in numpy
 in one task, from a bounded sample (`MOST_TOXIC`, `MOST_CLEAN`, `MOST_BYTES`) of labelled rows.
 
-Null texts and texts without a word score 0. Rows with a null or repeated doc_id are scored like any other.
-Without a toxic and a clean row to learn from, every score is 0. An empty table gives an empty result.
+Null texts and texts without a word score 0; texts of any length are scored whole. Rows with a null or repeated
+doc_id are scored like any other; equal texts score alike. Without a toxic and a clean row to learn from, every score
+is 0. A kept column with the name of the score gives way to it; other columns cannot clash. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpuslens.llm.common import column_bytes, distinct_spans, fit_in_task, joined, mix, slices, word_spans
+from corpuslens.llm.common import column_bytes, distinct_spans, fit_in_task, joined, map_arrow, mix, slices, word_spans
 
-WINDOW, STRIDE = 40, 32
+#: Words of a window; words between the starts of two windows when scoring and when learning.
+WINDOW, STRIDE, LEARN_STRIDE = 40, 8, 32
 #: The training sample: at most so many toxic and clean rows, none of a text of more bytes.
 MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 1000, 2000, 16_384
 HIDDEN, EMBED, WORD_ROWS, GRAM_ROWS = 6, 4, 1 << 13, 1 << 13
@@ -269,13 +274,13 @@ class Network:
         return loss, g, grad_projected @ self.p["wx"].T
 
 
-def windows(by_text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(by_text: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, first word and number of words of each window; every word of a text is in one at least."""
     n = np.diff(by_text)
-    each = np.where(n > 0, np.maximum(1, -(-(n - WINDOW) // STRIDE) + 1), 0)
+    each = np.where(n > 0, np.maximum(1, -(-(n - WINDOW) // stride) + 1), 0)
     text = np.repeat(np.arange(len(n)), each)
     k = np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each)
-    first = by_text[:-1][text] + k * STRIDE
+    first = by_text[:-1][text] + k * stride
     return text, first, np.minimum(WINDOW, by_text[1:][text] - first)
 
 
@@ -298,7 +303,7 @@ class Model:
         if self.network is None or not words:
             return out
         self.network.project(self.network.word_inputs(gram_codes(words), self.tables))
-        text, begin, count = windows(by_text)
+        text, begin, count = windows(by_text, STRIDE)
         for a in range(0, len(text), 16_384):
             part = slice(a, a + 16_384)
             logits = self.network.logits(window_numbers(number, begin[part], count[part]), count[part])
@@ -326,7 +331,7 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
         cells = np.arange(size.sum()) + np.repeat(edges[mine] - (np.cumsum(size) - size), size)
         evidence.add(int(labels[k]), np.unique(word_bucket[mine]), np.unique(gram_bucket[cells]))
     net, rng = Network(), np.random.default_rng(11)
-    text, begin, count = windows(by_text)
+    text, begin, count = windows(by_text, LEARN_STRIDE)
     numbers = window_numbers(number, begin, count)
     own_tables = [evidence.tables(0), evidence.tables(1)]
     window_label = labels[text]
@@ -382,7 +387,7 @@ def sample(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
     chosen = free.where("toxic = 1").orderBy(*order).limit(2 * MOST_TOXIC).unionByName(free.where("toxic = 0").orderBy(*order).limit(2 * MOST_CLEAN))
     short = docs.where(F.octet_length(text) <= MOST_BYTES).select(key, F.col(text).alias("text"))
     # Twice as many ids are drawn as are used, for those whose text is long; both bounds are fixed.
-    return short.join(F.broadcast(chosen), key).select(key, "text", "toxic")
+    return short.join(F.broadcast(chosen.select(F.col(key).alias("__key"), "toxic")), F.col(key) == F.col("__key")).select(key, "text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", steps: int = STEPS) -> Model:
@@ -395,19 +400,19 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     return fit_in_task(sample(docs, labels, text, key).select("toxic", key, "text"), learn)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs and score."""
-    names = keep if keep is not None else docs.columns
-    taken = docs.select(*names, F.col(text).alias("__text"))
+def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, into: str = "score") -> DataFrame:
+    """The columns `keep` of docs (all, if not given) and the score, named `into`; a kept column of that name gives way."""
+    names = [c for c in (keep if keep is not None else docs.columns) if c.lower() != into.lower()]
+    taken = docs.select(*names) if text in names else docs.select(*names, text)
+    at = taken.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed: about 2 MB
 
     def run(batches):
         model = shared.value
         for batch in batches:
-            data, offsets = column_bytes(pc.utf8_lower(batch.column(batch.num_columns - 1)))
-            for a, b in slices(offsets):
+            for a, b in slices(column_bytes(batch.column(at))[1]):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(model.score(data, offsets, a, b))], [*names, "score"])
+                data, offsets = column_bytes(pc.utf8_lower(part.column(at)))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(model.score(data, offsets, 0, b - a))], [*names, into])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema[:-1]), "score double"])
-    return taken.mapInArrow(run, schema)
+    return map_arrow(taken, run, T.StructType([*taken.schema.fields[: len(names)], T.StructField(into, T.DoubleType())]))
