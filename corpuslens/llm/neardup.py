@@ -6,13 +6,16 @@ throws all into bin j, so that every bin is filled at last; a bin keeps its smal
 make a band; the number of bands makes a pair at the threshold be missed with a chance below one in a million.
 
 1. Texts with equal sets become classes; one representative of each goes on.
-2. In each band bucket the smallest class is the pivot; all others are compared with it on full sets.
+2. In each band bucket the smallest class is the pivot; all others are compared with it on full sets, at most about
+   `BLOCK` in a group: a pivot with more members is repeated for each group of them.
 3. Connected components join what is linked. Only buckets that still hold several components can hide a link
    between two of their members; there, full sets are compared in blocks of members, and the links that join
    two components are added. No bucket is cut off, and no bucket meets in one task.
 
 Texts without words (null, empty, only spaces) have an empty set, link with nothing and stay their own component.
-Rows with a null id take part in no link and are kept. Repeated rows are copies. An empty table gives none.
+Rows with a null id take part in no link and are kept. Repeated rows are copies; an id with several texts is one
+document that all of them link. Texts of any length are read whole. Other columns are left aside, so their names
+cannot clash. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import SpanHash, column_bytes, discard, joined, materialize, mix, slices, word_spans
+from corpuslens.llm.common import SpanHash, column_bytes, discard, joined, map_arrow, materialize, mix, slices, word_spans
 from corpuslens.llm.components import connected_components
 
 ROWS = 5
@@ -119,35 +122,41 @@ def _records(docs: DataFrame, width: int, bands: int, key: str, text: str) -> Da
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(code.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n), pa.array(sig_a), pa.array(sig_b), rows], [key, "n", "sig_a", "sig_b", "bands"])
 
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, n long, sig_a long, sig_b long, bands array<long>")
+    return map_arrow(docs.select(F.col(key).cast("long").alias(key), text), run, f"{key} long, n long, sig_a long, sig_b long, bands array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts"))
+    members = pairs.join(parts, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), "parts").alias("part"), F.lit(1).alias("kind"))
+    pivots = parts.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"))
+    rows = members.unionByName(pivots).join(texts, "id").select("a", "part", "kind", F.col("id").alias("b"), "text")
 
     def run(batches):
-        known, own = None, None
+        known, own = None, []
         for batch in batches:
-            ids = batch.column("a").to_numpy()
+            ids, part, kind = (batch.column(x).to_numpy() for x in ("a", "part", "kind"))
             ok = np.zeros(len(ids), bool)
-            data, offsets = column_bytes(batch.column("text_b"))
-            data_a, offsets_a = column_bytes(batch.column("text_a"))
+            data, offsets = column_bytes(batch.column("text"))
             for first, last in slices(offsets):
                 for k, other in enumerate(shingle_sets(data, offsets, first, last, width), first):
-                    if known != ids[k]:  # a pivot's rows follow one another
-                        known, own = ids[k], shingle_sets(data_a, offsets_a, k, k + 1, width)[0]
-                    n = len(np.intersect1d(own, other, assume_unique=True))
-                    ok[k] = n > 0 and 100 * n >= percent * (len(own) + len(other) - n)
-            rows = pa.array(np.flatnonzero(ok))
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(rows), batch.column("b").take(rows)], ["a", "b"])
+                    if known != (ids[k], part[k]):  # a group's pivot comes first
+                        known, own = (ids[k], part[k]), []
+                    if kind[k] == 0:
+                        own.append(other)
+                        continue
+                    for mine in own:
+                        n = len(np.intersect1d(mine, other, assume_unique=True))
+                        ok[k] |= n > 0 and 100 * n >= percent * (len(mine) + len(other) - n)
+            found = pa.array(np.flatnonzero(ok))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(found), batch.column("b").take(found)], ["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return map_arrow(rows.repartition("a", "part").sortWithinPartitions("a", "part", "kind"), run, "a long, b long").distinct()
 
 
 def _linked_in_blocks(members: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between members (bucket, id, n, component, bands, text) of a bucket that lie in two components.
+    """Links between members (bucket, id, n, component, text) of a bucket that lie in two components.
 
     Full sets are compared inside a block of the bucket; what leaves it are links that join two components, at most
     one for each member, so the rows stay in proportion to the members however large a bucket is.
@@ -156,15 +165,11 @@ def _linked_in_blocks(members: DataFrame, width: int, percent: int) -> DataFrame
     parts = F.ceil(F.col("many") / F.lit(BLOCK))
     placed = counted.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    blocks = placed.withColumn("other", other).select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "id", "n", "component", "bands", "text")
+    blocks = placed.withColumn("other", other).select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "id", "n", "component", "text")
 
     def run(group: pa.Table) -> pa.Table:
         ids, n, comp = (group[x].to_numpy() for x in ("id", "n", "component"))
-        bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         far = (comp[:, None] != comp[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
-        # Sharing this one bucket by chance is common; at the threshold two equal bands are all but certain.
-        for k in np.flatnonzero(far.any(axis=1)).tolist():
-            far[k] &= (bands == bands[k]).sum(axis=1) >= 2
         found = []
         if far.any():
             data, offsets = column_bytes(group["text"])
@@ -194,33 +199,44 @@ def _linked_in_blocks(members: DataFrame, width: int, percent: int) -> DataFrame
     return blocks.groupBy("bucket", "p", "q").applyInArrow(run, "a long, b long").distinct()
 
 
+def _with_own_sets(edges: DataFrame, classes: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """The edges, and for an id with several sets (repeated rows of other texts) edges between their classes and the id."""
+    several = records.where(F.col(key).isNotNull() & (F.col("n") > 0)).groupBy(key).agg(F.min(F.struct("sig_a", "sig_b", "n")).alias("low"), F.max(F.struct("sig_a", "sig_b", "n")).alias("high")).where("low != high").select(key)
+    own = records.join(several, key, "left_semi").select(F.col(key).alias("a"), "sig_a", "sig_b", "n").join(classes, ["sig_a", "sig_b", "n"]).select("a", F.col("class").alias("b")).where("a != b").distinct()
+    return edges.unionByName(own)
+
+
 def link(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id (smallest id reachable), kept (it is its own component's smallest)."""
     bands = bands_for(percent)
     records = materialize(_records(docs, width, bands, key, text))
     real = records.where(F.col(key).isNotNull() & (F.col("n") > 0))
     classes = materialize(real.groupBy("sig_a", "sig_b", "n").agg(F.min(key).alias("class")))
-    reps = classes.select(F.col("class").alias("id"), "n").join(records.select(F.col(key).alias("id"), "bands"), "id").dropDuplicates(["id"])
-    reps = materialize(reps)
-    rows = reps.select("id", "n", F.explode("bands").alias("bucket"))
+    # By set as well as id: an id with several texts has several sets.
+    chosen = classes.select("sig_a", "sig_b", "n", F.col("class").alias(key))
+    reps = materialize(records.join(chosen, [key, "sig_a", "sig_b", "n"], "left_semi").dropDuplicates([key, "sig_a", "sig_b", "n"]).select(F.col(key).alias("id"), "n", "bands"))
+    rows = reps.select("id", "n", F.explode("bands").alias("bucket")).distinct()
     pivots = rows.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("pivot"), F.count("*").alias("many")).where("many > 1")
     starred = rows.join(pivots.select("bucket", F.col("pivot.id").alias("a"), F.col("pivot.n").alias("n_a")), "bucket").where("id != a")
     near_size = F.expr(f"100 * least(n, n_a) >= {int(percent)} * greatest(n, n_a)")
     pairs = materialize(starred.where(near_size).select("a", F.col("id").alias("b")).distinct())
     edges = materialize(verified(pairs, docs, width, percent, key, text))
-    joined_classes = materialize(connected_components(edges))
+    joined_classes = materialize(connected_components(_with_own_sets(edges, classes, records, key)))
     # Buckets of more than two classes that several components share: a link may hide between two non-pivots.
     crowded = rows.join(pivots.where("many > 2").select("bucket"), "bucket").select("id", "n", "bucket")
     labelled = crowded.join(joined_classes.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "bucket", F.coalesce("component", "id").alias("component"))
     labelled = materialize(labelled)
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-    members = labelled.join(mixed, "bucket").join(reps.select("id", "bands"), "id")
+    members = labelled.join(mixed, "bucket")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     more = materialize(_linked_in_blocks(members.join(texts, "id"), width, percent))
     if not more.isEmpty():
-        joined_classes = materialize(connected_components(edges.unionByName(more)))
-    discard(labelled)
+        discard(joined_classes)
+        joined_classes = materialize(connected_components(_with_own_sets(edges.unionByName(more), classes, records, key)))
     by_class = classes.join(joined_classes.withColumnRenamed("node", "class"), "class", "left").select("sig_a", "sig_b", "n", F.coalesce("component", "class").alias("found"))
     out = records.select(key, "sig_a", "sig_b", "n").join(by_class, ["sig_a", "sig_b", "n"], "left")
     component = F.when(F.col(key).isNull() | (F.col("n") == 0), F.col(key)).otherwise(F.col("found"))
-    return out.select(key, F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col(key) == component, F.lit(True)).alias("kept"))
+    done = materialize(out.select(key, F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col(key) == component, F.lit(True)).alias("kept")))
+    for used in (records, classes, reps, pairs, edges, joined_classes, labelled, more):
+        discard(used)
+    return done
