@@ -24,7 +24,11 @@ def precision(text: Column) -> Column:
 
 
 def decompose(ts: Column, kind: Column) -> Column:
-    """The parts of a timestamp as a struct; weekday 0 is Sunday."""
+    """The parts of a timestamp as a struct; weekday 0 is Sunday. The timestamp and its kind are worked out once."""
+    return F.get(F.transform(F.array(F.struct(ts.alias("ts"), kind.alias("kind"))), lambda x: _parts(x["ts"], x["kind"])), F.lit(0))
+
+
+def _parts(ts: Column, kind: Column) -> Column:
     label = F.when(kind == "datetime", F.date_format(ts, "yyyy-MM-dd'T'HH:mm")).otherwise(F.date_format(ts, "yyyy-MM-dd"))
     return F.when(
         ts.isNotNull(),

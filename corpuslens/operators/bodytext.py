@@ -13,12 +13,15 @@ from corpuslens.functions import timestamps as T
 
 
 def texts(notes: DataFrame) -> DataFrame:
-    """X10-X19. A note's tokens, vocabulary, sentence moments, opening signature and phrases."""
+    """X10-X19. A note's tokens, vocabulary, sentence moments, opening signature; words and lag if the notes have them."""
     tokens = notes.withColumn("tokens", X.tokens(F.col("text"))).withColumn("sentences", X.sentence_lengths(F.coalesce("text", F.lit(""))))
+    more = ["word_count"] if "word_count" in notes.columns else []
+    if "updated" in notes.columns:
+        more.append(T.lag_days(F.col("created"), F.col("updated")).alias("lag_days"))
     return tokens.select(
         "path", "created", F.year("created").alias("year"), F.month("created").alias("month"), T.epoch_day(F.col("created")).alias("epoch_day"), "tags", "tokens", F.size("tokens").cast("long").alias("token_count"),
-        F.array_sort(F.array_distinct("tokens")).alias("vocabulary"), F.size("sentences").cast("long").alias("sentence_count"), F.aggregate("sentences", F.lit(0).cast("long"), lambda s, x: s + x).alias("sentence_words"),
-        F.aggregate("sentences", F.lit(0).cast("long"), lambda s, x: s + x.cast("long") * x).alias("sentence_squares"), X.opening_signature(X.opening_line(F.coalesce("text", F.lit("")))).alias("opening"),
+        F.array_distinct("tokens").alias("vocabulary"), F.size("sentences").cast("long").alias("sentence_count"), F.aggregate("sentences", F.lit(0).cast("long"), lambda s, x: s + x).alias("sentence_words"),
+        F.aggregate("sentences", F.lit(0).cast("long"), lambda s, x: s + x.cast("long") * x).alias("sentence_squares"), X.opening_signature(X.opening_line(F.coalesce("text", F.lit("")))).alias("opening"), *more,
     )
 
 
@@ -28,18 +31,40 @@ def _sentence_columns():
     return mean.alias("sentence_mean"), F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)).alias("sentence_variation")
 
 
+def year_words(rows: DataFrame) -> DataFrame:
+    """year, w, n: how often a year has each word. Texts are read once; what leaves a task is its distinct words."""
+    return rows.select("year", F.explode("tokens").alias("w")).groupBy("year", "w").agg(F.count("*").alias("n"))
+
+
 def lexical_by_year(rows: DataFrame) -> DataFrame:
     """A38, A39, G6. Tokens, distinct words, richness and sentence length of each year."""
-    main = rows.groupBy("year").agg(F.sum("token_count").alias("tokens"), *_sentence_columns())
-    vocabulary = rows.select("year", F.explode("vocabulary").alias("w")).groupBy("year").agg(F.count_distinct("w").alias("vocabulary"))
-    return main.join(vocabulary, "year", "left").select("year", "tokens", F.coalesce("vocabulary", F.lit(0)).alias("vocabulary"), X.richness(F.col("tokens"), F.col("vocabulary")).alias("richness"), "sentence_mean", "sentence_variation")
+    words = year_words(rows).groupBy("year").agg(F.sum("n").alias("tokens"), F.count("*").alias("vocabulary"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    main = rows.groupBy("year").agg(*_sentence_columns()).join(words, "year", "left")
+    return main.select("year", zero("tokens").alias("tokens"), zero("vocabulary").alias("vocabulary"), X.richness(F.col("tokens"), F.col("vocabulary")).alias("richness"), "sentence_mean", "sentence_variation")
 
 
 def novelty(rows: DataFrame) -> DataFrame:
     """W6. Share of a year's vocabulary that no earlier year has: the first year of each word decides, no running set."""
-    words = rows.select("year", F.explode("vocabulary").alias("w")).groupBy("year", "w").agg(F.lit(1).alias("one"))
-    first = words.groupBy("w").agg(F.min("year").alias("first"))
-    return words.join(first, "w").groupBy("year").agg(F.count("*").alias("vocabulary"), F.count_if(F.col("first") == F.col("year")).alias("fresh")).withColumn("novelty", F.col("fresh") / F.col("vocabulary"))
+    first = F.min("year").over(Window.partitionBy("w"))
+    words = year_words(rows).select("year", (first == F.col("year")).alias("fresh"))
+    return words.groupBy("year").agg(F.count("*").alias("vocabulary"), F.count_if("fresh").alias("fresh")).withColumn("novelty", F.col("fresh") / F.col("vocabulary"))
+
+
+def recurring_paths(rows: DataFrame) -> DataFrame:
+    """J6. The notes that hold a phrase which two notes or more hold."""
+    found = rows.select("path", F.explode(X.phrases(F.col("tokens"))).alias("phrase"))
+    return found.join(recurring_phrases(rows).select("phrase"), "phrase", "left_semi").select("path").distinct()
+
+
+def year_profiles(rows: DataFrame) -> DataFrame:
+    """G6. Of each year: entries, richness, novelty, sentences, the leading opening and its share, share of notes with a recurring phrase."""
+    marked = rows.select("path", "year").join(recurring_paths(rows).withColumn("recurs", F.lit(1)), "path", "left")
+    shares = marked.groupBy("year").agg(F.count("*").alias("entries"), F.avg(F.coalesce("recurs", F.lit(0))).alias("recurring_share"))
+    openings = rows.where("opening is not null").groupBy("year", "opening").agg(F.count("*").alias("n"))
+    leading = openings.groupBy("year").agg(F.min_by("opening", F.struct(-F.col("n"), F.col("opening"))).alias("opening"), (F.max("n") / F.sum("n")).alias("opening_share"))
+    lexical = lexical_by_year(rows).select("year", "richness", "sentence_mean", "sentence_variation")
+    return shares.join(lexical, "year").join(novelty(rows).select("year", "novelty"), "year", "left").join(leading, "year", "left").select("year", "entries", "richness", "novelty", "sentence_mean", "sentence_variation", "opening", "opening_share", "recurring_share")
 
 
 def month_climate(rows: DataFrame) -> DataFrame:
@@ -76,9 +101,14 @@ def recurring_phrases(rows: DataFrame) -> DataFrame:
 
 
 def tag_profiles(rows: DataFrame, least: int = 1) -> DataFrame:
-    """A40. Of each tag: entries, mean and median tokens, mean richness, mean sentence length."""
-    own = rows.select(F.explode("tags").alias("tag"), "token_count", X.richness(F.col("token_count"), F.size("vocabulary")).alias("richness"), F.when(F.col("sentence_count") > 0, F.col("sentence_words") / F.col("sentence_count")).alias("sentence"))
-    return own.groupBy("tag").agg(F.count("*").alias("entries"), F.avg("token_count").alias("mean_tokens"), F.median("token_count").alias("median_tokens"), F.avg("richness").alias("mean_richness"), F.avg("sentence").alias("mean_sentence")).where(F.col("entries") >= least)
+    """A40. Of each tag: entries, words, mean richness, sentences (pooled mean, median of the notes' means), positive revision lags."""
+    sentence = F.when(F.col("sentence_count") > 0, F.col("sentence_words") / F.col("sentence_count"))
+    own = rows.select(F.explode(F.array_distinct("tags")).alias("tag"), "word_count", X.richness(F.col("token_count"), F.size("vocabulary")).alias("richness"), "sentence_count", "sentence_words", F.when(sentence > 0, sentence).alias("sentence"), F.when(F.col("lag_days") > 0, F.col("lag_days")).alias("lag"))
+    out = own.groupBy("tag").agg(
+        F.count("*").alias("entries"), F.avg("word_count").alias("mean_words"), F.median("word_count").alias("median_words"), F.avg("richness").alias("mean_richness"), F.try_divide(F.sum("sentence_words"), F.sum("sentence_count")).alias("mean_sentence"),
+        F.median("sentence").alias("median_sentence"), F.avg("lag").alias("mean_lag"), F.median("lag").alias("median_lag"),
+    )
+    return out.where(F.col("entries") >= least).orderBy(F.desc("entries"), F.desc_nulls_last("mean_richness"), "tag")
 
 
 def period_signature(terms: DataFrame, selected_from: int, selected_to: int, compared_from: int, compared_to: int) -> DataFrame:
@@ -92,29 +122,65 @@ def period_signature(terms: DataFrame, selected_from: int, selected_to: int, com
     return rows.select("term", "selected", "compared", "selected_rate", "compared_rate", F.log2(F.col("selected_rate") / F.col("compared_rate")).alias("score"), kind.alias("kind")).where("selected + compared >= 2")
 
 
+def resolve_period(years: list[int], first: int | None = None, last: int | None = None, earlier: bool = False) -> tuple[int, int, int, int] | None:
+    """Selected and compared years: the latest of `years` if none is given; all earlier ones, or (see split_period) all others."""
+    if not years:
+        return None
+    a, b = first if first is not None else last, last if last is not None else first
+    a, b = (max(years), max(years)) if a is None else (min(a, b), max(a, b))
+    return a, b, min([*years, a]), a - 1 if earlier else max([*years, b])
+
+
+def period_terms(terms: DataFrame, first: int, last: int, earlier: bool = False) -> DataFrame:
+    """A44 against all other years, or only those before: the years inside count as selected, never as compared."""
+    inside = F.col("year").between(first, last)
+    other = F.col("year") < first if earlier else ~inside
+    marked = terms.where(inside | other).withColumn("year", F.when(inside, F.lit(1)).otherwise(F.lit(0)))
+    return period_signature(marked, 1, 1, 0, 0)
+
+
+def period_lists(signature: DataFrame) -> DataFrame:
+    """O6. The distinctive, emergent and fading terms in their orders: list, rank, term, selected, compared, score."""
+    lists = [
+        ("distinctive", F.col("score") > 0, [F.desc("score"), F.desc("selected"), F.col("term")]),
+        ("emergent", (F.col("compared") == 0) & (F.col("selected") >= 2), [F.desc("selected_rate"), F.desc("selected"), F.col("term")]),
+        ("fading", F.col("score") < 0, [F.asc("score"), F.desc("compared"), F.col("term")]),
+    ]
+    out = None
+    for name, keep, order in lists:
+        top = signature.where(keep).orderBy(*order).limit(10)
+        rows = top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*order))).select(F.lit(name).alias("list"), "rank", "term", "selected", "compared", "score")  # over ten rows
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def records(notes: DataFrame, rows: DataFrame) -> DataFrame:
-    """G9. What the record sections rank notes by. notes: path, created, updated, word_count, tags."""
-    shared = recurring_phrases(rows).select("phrase")
-    hits = rows.select("path", F.explode(X.phrases(F.col("tokens"))).alias("phrase")).join(shared, "phrase").groupBy("path").agg(F.count("*").alias("recurring"))
+    """G9, J7. What the record sections rank notes by. notes: path, created, updated, word_count, tags."""
+    hits = rows.select("path", F.explode(X.phrases(F.col("tokens"))).alias("phrase")).join(recurring_phrases(rows).select("phrase"), "phrase").groupBy("path").agg(F.count("*").alias("recurring"))
     own = rows.select("path", X.richness(F.col("token_count"), F.size("vocabulary")).alias("richness"), F.when(F.col("sentence_count") > 0, F.col("sentence_words") / F.col("sentence_count")).alias("sentence_mean"), F.size("vocabulary").alias("unique_words"))
-    tags = F.size("tags")
-    base = notes.select("path", "word_count", tags.alias("tag_count"), T.lag_days(F.col("created"), F.col("updated")).alias("lag_days"), F.when(F.col("word_count") > 0, 100 * tags / F.col("word_count")).alias("tag_density"))
-    return base.join(own, "path", "left").join(hits, "path", "left").na.fill(0, ["recurring"])
+    tags, words = F.size("tags"), F.col("word_count")
+    lag = T.lag_days(F.col("created"), F.col("updated"))
+    base = notes.select("path", "word_count", F.when(words > 0, words).alias("positive_words"), tags.alias("tag_count"), F.when(lag > 0, lag).alias("lag_days"), F.when(words > 0, 100 * tags / words).alias("tag_density"))
+    found = base.join(own, "path", "left").join(hits, "path", "left")
+    return found.withColumn("recurring", F.when(F.col("recurring") > 0, F.col("recurring")))
 
 
-SECTIONS = [("longest-notes", "word_count", False), ("shortest-notes", "word_count", True), ("most-tags", "tag_count", False), ("longest-revision-lags", "lag_days", False), ("highest-lexical-richness", "richness", False), ("fewest-tags", "tag_count", True), ("longest-average-sentences", "sentence_mean", False), ("most-repetitive-phrases", "recurring", False), ("most-unique-words", "unique_words", False), ("highest-tag-density", "tag_density", False)]
+# Each section ranks the notes whose value is known (null: the note does not qualify).
+SECTIONS = [("longest-notes", "word_count", False), ("shortest-notes", "positive_words", True), ("most-tags", "tag_count", False), ("longest-revision-lags", "lag_days", False), ("highest-lexical-richness", "richness", False), ("fewest-tags", "tag_count", True), ("longest-average-sentences", "sentence_mean", False), ("most-repetitive-phrases", "recurring", False), ("most-unique-words", "unique_words", False), ("highest-tag-density", "tag_density", False)]
+#: The sections of the short view.
+SIMPLE = ("longest-notes", "shortest-notes", "most-tags", "longest-revision-lags", "highest-lexical-richness")
 
 
 def record_sections(candidates: DataFrame, k: int = 10, ids: tuple[str, ...] | None = None) -> DataFrame:
-    """G8, G10, H19, O3. The k first of each section: score, then words descending, then path. k of 0 shows none."""
+    """G8, G10, H19, O3, O10. The k first of each section: score, then words descending, then path. k <= 0 shows none."""
     out = None
     for name, score, up in SECTIONS:
         if ids is not None and name not in ids:
             continue
         best = candidates.where(F.col(score).isNotNull()).select(F.lit(name).alias("section"), "path", F.col(score).cast("double").alias("score"), "word_count")
-        best = best.orderBy(F.asc("score") if up else F.desc("score"), F.desc("word_count"), "path").limit(k)
-        order = Window.partitionBy("section").orderBy(F.asc("score") if up else F.desc("score"), F.desc("word_count"), "path")
-        best = best.withColumn("rank", F.row_number().over(order))  # over k rows
+        order = [F.asc("score") if up else F.desc("score"), F.desc("word_count"), F.col("path")]
+        best = best.orderBy(*order).limit(max(0, k))
+        best = best.withColumn("rank", F.row_number().over(Window.partitionBy("section").orderBy(*order)))  # over k rows
         out = best if out is None else out.unionByName(best)
     return out
 

@@ -143,3 +143,42 @@ def tag_rows(entries: DataFrame, size: int = 1, least: int = 1, by_year: bool =
 def date_issues(notes: DataFrame) -> DataFrame:
     """A3. Notes with a missing or invalid date, by path."""
     return notes.where("created.issue is not null or updated.issue is not null").select("path", F.col("created.issue").alias("created_issue"), F.col("created.source").alias("created_source"), F.col("updated.issue").alias("updated_issue"), F.col("updated.source").alias("updated_source")).orderBy("path")
+
+
+def _file_counts(facts: DataFrame):
+    fallback = lambda c: F.count_if(F.col(f"{c}.source").isin("filesystem-ctime", "filesystem-mtime"))
+    issue = lambda c, kind: F.count_if(F.col(f"{c}.issue") == kind)
+    return fallback, issue
+
+
+def file_totals(facts: DataFrame, per_minute: int = 230, method: str = "mean") -> DataFrame:
+    """A1, P7, P8. All files, dated or not: words, averages, reading time, fallbacks to file times, date issues, undated files.
+
+    facts: created and updated as resolve() gives them, word_count. method: which average is the selected one.
+    """
+    fallback, issue = _file_counts(facts)
+    words = F.coalesce(F.sum("word_count"), F.lit(0))
+    mean, median = F.coalesce(F.avg("word_count"), F.lit(0.0)), F.coalesce(F.median("word_count"), F.lit(0.0))
+    out = facts.agg(
+        F.count("*").alias("entries"), words.alias("words"), mean.alias("mean_words"), median.alias("median_words"), (mean if method == "mean" else median).alias("selected_words"),
+        fallback("created").alias("created_fallbacks"), fallback("updated").alias("updated_fallbacks"), issue("created", "missing").alias("created_missing"), issue("created", "invalid").alias("created_invalid"),
+        issue("updated", "missing").alias("updated_missing"), issue("updated", "invalid").alias("updated_invalid"), F.count_if(F.col("created.value").isNull()).alias("undated"),
+    )
+    minutes = T.reading_minutes(F.col("words"), per_minute)
+    return out.withColumn("reading_minutes", minutes).withColumn("reading_label", T.reading_label(minutes)).withColumn("selected_minutes", T.reading_minutes(F.col("selected_words"), per_minute))
+
+
+def file_years(facts: DataFrame, per_minute: int = 230) -> DataFrame:
+    """A2, A14. Of each year: files, words, averages, reading time (added up file by file), fallbacks to file times."""
+    fallback, _ = _file_counts(facts)
+    minutes = F.sum(T.reading_minutes(F.col("word_count"), per_minute))
+    dated = facts.where(F.col("created.value").isNotNull())
+    return dated.groupBy(F.col("created.value.year").alias("year")).agg(
+        F.count("*").alias("entries"), F.sum("word_count").alias("words"), minutes.alias("reading_minutes"), T.reading_label(minutes).alias("reading_label"), F.avg("word_count").alias("mean_words"), F.median("word_count").alias("median_words"),
+        fallback("created").alias("created_fallbacks"), fallback("updated").alias("updated_fallbacks"),
+    )
+
+
+def ordered_tag_rows(rows: DataFrame) -> DataFrame:
+    """O1. Tag rows as a report lists them: entries, size of the mean's delta, weekday share, label."""
+    return rows.orderBy(F.desc("entries"), F.desc(F.abs("mean_delta")), F.desc("weekday_share"), "label")

@@ -67,3 +67,25 @@ def shift_examples(notes: DataFrame, shifts: DataFrame, k: int = 3) -> DataFrame
 def deep_signature(rows: DataFrame, *years: int) -> DataFrame:
     """A44 over content terms."""
     return B.period_signature(term_rows(rows), *years)
+
+
+def top_candidates(rows: DataFrame, k: int = 10) -> DataFrame:
+    """O5. The first names by persistence, bridge score, first appearance and length of life: list, rank, label."""
+    first, last = F.year("first_seen"), F.year("last_seen")
+    lists = {
+        "persistent": [F.desc("support"), F.desc("years"), first.asc(), F.col("label").asc()],
+        "bridge": [F.desc("bridge"), F.desc("years"), F.desc("support"), F.col("label").asc()],
+        "newest": [first.desc(), F.desc("support"), F.desc("years"), F.col("label").asc()],
+        "longest-lived": [(last - first).desc(), F.desc("years"), F.desc("support"), F.col("label").asc()],
+    }
+    out = None
+    for name, order in lists.items():
+        top = rows.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*order)))  # over k rows
+        own = top.select(F.lit(name).alias("list"), "rank", "label", "support", "years")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def top_pairs(rows: DataFrame, k: int = 10) -> DataFrame:
+    """O5. The strongest pairs of names."""
+    return rows.orderBy(F.desc("strength"), F.desc("support"), F.desc("years"), "left_label", "right_label").limit(k)

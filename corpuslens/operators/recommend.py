@@ -1,7 +1,7 @@
 """Note recommendations: weighted links, backlinks, shared tags and neighbours, same folder.
 
-notes: path, links ARRAY, tags ARRAY, folder. recommend_all() scores all pairs that share something by equi-joins;
-recommend() is the same plan for one note.
+notes: path, links ARRAY, tags ARRAY, folder. recommend_all() scores linked pairs, and of those that share only tags or
+a folder the few that can be among the best; recommend() is the plain plan for one note.
 """
 
 from __future__ import annotations
@@ -12,36 +12,73 @@ from pyspark.sql import functions as F
 from corpuslens.config import RecommendConfig
 
 
-def _linked(notes: DataFrame, one: str | None, config: RecommendConfig) -> DataFrame:
-    """src, dst, kind, hits: what connects two notes. A neighbour or tag that the source repeats counts again."""
-    src = notes if one is None else notes.where(F.col("path") == one)
+KINDS = ("out", "back", "tag", "neighbour", "folder")
+
+
+def _links(notes: DataFrame, src: DataFrame) -> DataFrame:
+    """src, dst, kind, hits: links out and back, and shared neighbours. A neighbour that the source repeats counts again."""
     out = src.select(F.col("path").alias("src"), F.explode("links").alias("dst"))
     known = notes.select(F.col("path").alias("dst"))
-    direct = out.distinct().join(known, "dst").select("src", "dst", F.lit("out").alias("kind"), F.lit(1).alias("hits"))
-    back = notes.select(F.col("path").alias("dst"), F.explode(F.array_distinct("links")).alias("src")).join(src.select(F.col("path").alias("src")), "src").select("src", "dst", F.lit("back").alias("kind"), F.lit(1).alias("hits"))
-    tags = src.select(F.col("path").alias("src"), F.explode("tags").alias("t")).join(notes.select(F.col("path").alias("dst"), F.explode(F.array_distinct("tags")).alias("t")), "t").groupBy("src", "dst").agg(F.count("*").alias("hits")).withColumn("kind", F.lit("tag"))
-    near = out.withColumnRenamed("dst", "n").join(notes.select(F.col("path").alias("dst"), F.explode(F.array_distinct("links")).alias("n")), "n").groupBy("src", "dst").agg(F.count("*").alias("hits")).withColumn("kind", F.lit("neighbour"))
-    folder = src.where("folder != ''").select(F.col("path").alias("src"), "folder").join(notes.select(F.col("path").alias("dst"), "folder"), "folder").select("src", "dst", F.lit("folder").alias("kind"), F.lit(1).alias("hits"))
-    rows = direct.unionByName(back)
-    for part in (tags, near, folder):
-        rows = rows.unionByName(part.select("src", "dst", "kind", "hits"))
+    direct = out.distinct().join(known, "dst").select("src", "dst", F.lit("out").alias("kind"), F.lit(1).cast("long").alias("hits"))
+    back = notes.select(F.col("path").alias("dst"), F.explode(F.array_distinct("links")).alias("src")).join(src.select(F.col("path").alias("src")), "src").select("src", "dst", F.lit("back").alias("kind"), F.lit(1).cast("long").alias("hits"))
+    near = out.withColumnRenamed("dst", "n").join(notes.select(F.col("path").alias("dst"), F.explode(F.array_distinct("links")).alias("n")), "n").groupBy("src", "dst").agg(F.count("*").alias("hits"))
+    return direct.unionByName(back).unionByName(near.select("src", "dst", F.lit("neighbour").alias("kind"), "hits"))
+
+
+def _shared(src: DataFrame, notes: DataFrame, a: str, b: str) -> DataFrame:
+    """a, b, kind, hits: shared tags (a tag that the source repeats counts again) and the same folder, of rows with tags and folder."""
+    tags = src.select(a, F.explode("tags").alias("t")).join(notes.select(b, F.explode(F.array_distinct("tags")).alias("t")), "t").groupBy(a, b).agg(F.count("*").alias("hits")).select(a, b, F.lit("tag").alias("kind"), "hits")
+    folder = src.where("folder != ''").select(a, "folder").join(notes.select(b, "folder"), "folder").select(a, b, F.lit("folder").alias("kind"), F.lit(1).cast("long").alias("hits"))
+    return tags.unionByName(folder)
+
+
+def _linked(notes: DataFrame, one: str | None, config: RecommendConfig) -> DataFrame:
+    """src, dst, kind, hits: all that connects two notes."""
+    src = notes if one is None else notes.where(F.col("path") == one)
+    rows = _links(notes, src).unionByName(_shared(src.withColumnRenamed("path", "src"), notes.withColumnRenamed("path", "dst"), "src", "dst"))
     return rows.where("src != dst")
 
 
-def score_pairs(notes: DataFrame, config: RecommendConfig = RecommendConfig(), one: str | None = None) -> DataFrame:
-    """R2, R3, J15, J16. src, dst, the five signals, score and explanation."""
+def _candidates(notes: DataFrame, config: RecommendConfig) -> DataFrame:
+    """src, dst, kind, hits of all pairs that may be among a source's best; no tag or folder makes a pair of all its notes.
+
+    Notes with the same tags and folder form a profile. What a profile's notes share with another note depends on
+    that note's profile alone, so for each profile the `limit` + 1 first of its notes by path are enough, and for each
+    source profile the `limit` + 1 best of those. Linked pairs are added; they rank higher than by tags and folder.
+    """
+    known = notes.select("path", "tags", "folder", F.xxhash64(F.sort_array(F.array_distinct("tags")), F.coalesce("folder", F.lit(""))).alias("to"), F.xxhash64(F.sort_array("tags"), F.coalesce("folder", F.lit(""))).alias("from"))
+    most = config.limit + 1
+    shown = known.select("to", F.col("path").alias("dst"), F.row_number().over(Window.partitionBy("to").orderBy("path")).alias("turn")).where(F.col("turn") <= most).drop("turn")
+    profile = lambda c: known.groupBy(c).agg(F.first("tags").alias("tags"), F.first("folder").alias("folder"))
+    shared = _shared(profile("from"), profile("to"), "from", "to")
+    score = F.sum(F.col("hits") * F.when(F.col("kind") == "tag", config.shared_tag).otherwise(config.same_folder))
+    pairs = shared.groupBy("from", "to").agg(score.alias("score"))
+    best = pairs.join(shown, "to").select("from", "dst", F.row_number().over(Window.partitionBy("from").orderBy(F.desc("score"), "dst")).alias("turn")).where(F.col("turn") <= most).drop("turn")
+    weak = known.select(F.col("path").alias("src"), "from").join(best, "from").select("src", "dst")
+    strong = _links(notes, notes).where("src != dst")
+    chosen = weak.unionByName(strong.select("src", "dst")).where("src != dst").distinct()
+    ends = chosen.join(known.select(F.col("path").alias("src"), "from"), "src").join(known.select(F.col("path").alias("dst"), "to"), "dst")
+    return strong.unionByName(ends.join(shared, ["from", "to"]).select("src", "dst", "kind", "hits"))
+
+
+def score_pairs(notes: DataFrame, config: RecommendConfig = RecommendConfig(), one: str | None = None, linked: DataFrame | None = None) -> DataFrame:
+    """R2, R3, J15, J16. src, dst, the five signals, score and explanation; linked: what connects the pairs, if it is known."""
     count = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("hits"))), F.lit(0)).cast("long")
-    rows = _linked(notes, one, config).groupBy("src", "dst").agg(count("out").alias("out_link"), count("back").alias("back_link"), count("tag").alias("shared_tags"), count("neighbour").alias("shared_neighbours"), count("folder").alias("same_folder"))
+    rows = (linked if linked is not None else _linked(notes, one, config)).groupBy("src", "dst").agg(count("out").alias("out_link"), count("back").alias("back_link"), count("tag").alias("shared_tags"), count("neighbour").alias("shared_neighbours"), count("folder").alias("same_folder"))
     score = F.col("out_link") * config.out_link + F.col("back_link") * config.back_link + F.col("shared_tags") * config.shared_tag + F.col("shared_neighbours") * config.shared_neighbour + F.col("same_folder") * config.same_folder
-    say = lambda c, text: F.when(F.col(c) > 0, text)
-    reasons = F.filter(F.array(say("out_link", F.lit("It is linked from this note.")), say("back_link", F.lit("It links to this note.")), say("shared_tags", F.concat(F.lit("Shared tags: "), F.col("shared_tags").cast("string"), F.lit("."))), say("shared_neighbours", F.concat(F.lit("Shared linked notes: "), F.col("shared_neighbours").cast("string"), F.lit("."))), say("same_folder", F.lit("It is in the same folder."))), lambda x: x.isNotNull())
+    say = lambda c, text: F.when(F.col(c) > 0, F.lit(text))
+    # The sentences of a recommendation, in their order.
+    reasons = F.filter(F.array(
+        say("out_link", "It is directly linked from the current note."), say("back_link", "It links back to the current note."), say("shared_tags", "It shares tags with the current note."),
+        say("shared_neighbours", "It shares neighbouring notes with the current note."), say("same_folder", "It is in the same folder context."),
+    ), lambda x: x.isNotNull())
     return rows.withColumn("score", score).withColumn("explanation", F.array_join(reasons, " ")).where("score > 0")
 
 
 def recommend_all(notes: DataFrame, config: RecommendConfig = RecommendConfig()) -> DataFrame:
     """R1, R4. The best notes for every note; the diversity step compares paths only, so it changes nothing."""
     order = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
-    return score_pairs(notes, config).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.limit)
+    return score_pairs(notes, config, linked=_candidates(notes, config)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.limit)
 
 
 def recommend(notes: DataFrame, path: str, config: RecommendConfig = RecommendConfig()) -> DataFrame:

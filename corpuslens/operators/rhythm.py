@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import timestamps as T
+from corpuslens.operators.tagstructure import tag_distribution
 
 
 def day_activity(entries: DataFrame, *group: str) -> DataFrame:
@@ -63,16 +64,21 @@ def temporal(entries: DataFrame, *group: str, strict: bool = True) -> DataFrame:
 
 
 def volume(entries: DataFrame, *group: str) -> DataFrame:
-    """A23. Skew, tail ratio, short to long notes, concentration over months."""
-    stats = entries.groupBy(*group).agg(F.avg("word_count").alias("mean"), F.median("word_count").alias("median"), F.stddev_pop("word_count").alias("sd"), F.percentile("word_count", 0.9).alias("p90"), F.count("*").alias("n"))
+    """A23, M8. Skew, tail ratio, short to long notes, concentration of the words over months."""
     keys = list(group)
-    joined = entries.join(stats, keys) if keys else entries.join(F.broadcast(stats))
-    ends = joined.groupBy(*group).agg(F.count_if(F.col("word_count") < 0.5 * F.col("median")).alias("short"), F.count_if(F.col("word_count") > 1.5 * F.col("median")).alias("long"))
-    months = entries.groupBy(*dict.fromkeys([*group, "year", "month"])).agg(F.count("*").alias("m"))
-    months = months.join(stats.select(*group, "n"), keys) if keys else months.join(F.broadcast(stats.select("n")))
-    herfindahl = months.groupBy(*group).agg(F.sum(F.pow(F.col("m") / F.col("n"), 2)).alias("concentration"))
+    cells = entries.groupBy(*dict.fromkeys([*group, "year", "month"])).agg(F.sum("word_count").alias("words"))
+    herfindahl = cells.groupBy(*group).agg(F.sum("words").alias("all_words"), F.sum(F.col("words").cast("double") * F.col("words")).alias("squares"))
+    stats = entries.groupBy(*group).agg(F.avg("word_count").alias("mean"), F.median("word_count").alias("median"), F.stddev_pop("word_count").alias("sd"), F.percentile("word_count", 0.9).alias("p90"))
+    joined = entries.select(*group, "word_count").join(F.broadcast(stats.select(*group, "median")), keys or None)
+    ends = joined.groupBy(*group).agg(F.count_if(F.col("word_count") <= 0.5 * F.col("median")).alias("short"), F.count_if(F.col("word_count") >= 1.5 * F.col("median")).alias("long"))
     both = stats.join(ends, keys).join(herfindahl, keys) if keys else stats.join(F.broadcast(ends)).join(F.broadcast(herfindahl))
-    return both.select(*group, F.when(F.col("sd") > 0, 3 * (F.col("mean") - F.col("median")) / F.col("sd")).otherwise(0.0).alias("skew"), F.when(F.col("median") > 0, F.col("p90") / F.col("median")).otherwise(0.0).alias("tail_ratio"), ((F.col("short") + 1) / (F.col("long") + 1)).alias("short_long"), "concentration")
+    return both.select(
+        *group,
+        F.when(F.col("sd") > 0, 3 * (F.col("mean") - F.col("median")) / F.col("sd")).otherwise(0.0).alias("skew"),
+        F.when(F.col("median") > 0, F.col("p90") / F.col("median")).otherwise(0.0).alias("tail_ratio"),
+        ((F.col("short") + 1) / (F.col("long") + 1)).alias("short_long"),
+        F.when(F.col("all_words") > 0, F.col("squares") / F.pow(F.col("all_words").cast("double"), 2)).otherwise(0.0).alias("concentration"),
+    )
 
 
 def revision(entries: DataFrame, *group: str) -> DataFrame:
@@ -115,12 +121,22 @@ def revision_length_correlation(entries: DataFrame) -> DataFrame:
 
 
 def cadence_depth_correlation(entries: DataFrame) -> DataFrame:
-    """W11. Gap to the entry before against depth. Gaps inside a day are 0, so days are windowed, not entries."""
-    days = intervals(entries)
-    first = Window.partitionBy("epoch_day").orderBy("word_count", "path")
-    marked = entries.select("epoch_day", "depth", F.row_number().over(first).alias("turn"))
-    rows = marked.join(days, "epoch_day", "left").select(F.when(F.col("turn") == 1, F.col("gap")).otherwise(0).cast("double").alias("a"), F.col("depth").alias("b"))
-    return pearson(rows, "a", "b")
+    """W11. Gap to the entry before against depth. Gaps inside a day are 0, so days are windowed, not entries.
+
+    Only a day's first entry (words, then path) has a gap, so sums of the others need no order.
+    """
+    first = F.min_by("depth", F.struct("word_count", "path"))
+    days = entries.groupBy("epoch_day").agg(first.alias("first"), F.count("depth").alias("n"), F.sum("depth").alias("s"), F.sum(F.col("depth") * F.col("depth")).alias("q"))
+    w = Window.partitionBy().orderBy("epoch_day")  # one row a day
+    gaps = days.withColumn("gap", (F.col("epoch_day") - F.lag("epoch_day").over(w)).cast("double"))
+    known = F.col("gap").isNotNull()
+    own = gaps.select(
+        F.when(known, F.col("n")).otherwise(F.col("n") - 1).alias("n"), F.coalesce("gap", F.lit(0.0)).alias("x"), F.when(known, F.col("s")).otherwise(F.col("s") - F.col("first")).alias("y"),
+        F.coalesce(F.col("gap") * F.col("gap"), F.lit(0.0)).alias("xx"), F.when(known, F.col("q")).otherwise(F.col("q") - F.col("first") * F.col("first")).alias("yy"), F.coalesce(F.col("gap") * F.col("first"), F.lit(0.0)).alias("xy"),
+    )
+    n, x, y, xx, yy, xy = (F.sum(c) for c in ("n", "x", "y", "xx", "yy", "xy"))
+    spread = F.sqrt(F.greatest(F.lit(0.0), n * xx - x * x)) * F.sqrt(F.greatest(F.lit(0.0), n * yy - y * y))
+    return own.agg(F.when((n >= 2) & (spread > 0), (n * xy - x * y) / spread).alias("correlation"), F.coalesce(n, F.lit(0)).alias("pairs"))
 
 
 def longest_streak(entries: DataFrame) -> DataFrame:
@@ -137,10 +153,13 @@ def silence_gaps(entries: DataFrame, k: int = 25) -> DataFrame:
     return rows
 
 
-def year_profiles(entries: DataFrame) -> DataFrame:
-    """G14, W13. A row for each year with its structure and productivity mode."""
+def year_profiles(entries: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """G14, W13. A row for each year with its structure, tags, change from the year before and productivity mode."""
     base = entries.groupBy("year").agg(F.count("*").alias("entries"), F.sum("word_count").alias("words"), F.avg("word_count").alias("mean_words"))
     joined = base.join(temporal(entries, "year"), "year").join(volume(entries, "year"), "year").join(revision(entries, "year").select("year", "revisit_ratio", "half_life", "intensity_per_word"), "year")
+    tags = tag_distribution(entries).where("year is not null").select("year", F.col("entropy").alias("tag_entropy"), F.col("concentration").alias("tag_concentration"))
+    shifts = regime_shifts(entries, texts=texts).select(F.col("to_year").alias("year"), F.col("score").alias("regime_shift"))
+    joined = joined.join(tags, "year", "left").join(shifts, "year", "left")
     mid = joined.agg(F.percentile("entries", 0.5).alias("m_n"), F.percentile("mean_words", 0.5).alias("m_w"), F.percentile("concentration", 0.5).alias("m_c"), F.percentile("intensity_per_word", 0.5).alias("m_r"))
     mode = (
         F.when((F.col("revisit_ratio") >= 0.25) & (F.col("intensity_per_word") >= F.greatest(F.lit(0.05), F.col("m_r") * 1.2)), "revision-heavy layering")
@@ -173,9 +192,24 @@ def tag_change(entries: DataFrame, strict: bool = True) -> DataFrame:
     return years.join(both.groupBy("year").agg(some.alias("tag_change")), "year", "left").select("year", "before", F.coalesce("tag_change", F.lit(0.0)).alias("tag_change"))
 
 
-def regime_shifts(entries: DataFrame, strict: bool = True) -> DataFrame:
-    """W8, J11. How much each year differs from the one before it that has entries (no body text)."""
-    profiles = year_profiles(entries).select("year", "words", "revisit_ratio", "burstiness")
+def text_change(profiles: DataFrame) -> DataFrame:
+    """W9, J12. to_year, text_change: how much the body text differs from the year before that has any (see bodytext.year_profiles)."""
+    w = Window.partitionBy().orderBy("year")  # one row a year
+    names = ["richness", "novelty", "sentence_mean", "recurring_share"]
+    rows = profiles.select("year", F.lag("year").over(w).alias("from_year"), *(F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in names), *(F.coalesce(F.lag(c).over(w), F.lit(0.0)).alias(f"old_{c}") for c in names))
+    moved = lambda c, k: F.least(F.lit(1.0), F.abs(F.col(c) - F.col(f"old_{c}")) * k)
+    sentence = F.least(F.lit(1.0), F.abs(F.ln((F.col("sentence_mean") + 1) / (F.col("old_sentence_mean") + 1))))
+    change = moved("richness", 4) * 0.35 + moved("novelty", 2) * 0.25 + sentence * 0.2 + moved("recurring_share", 2) * 0.2
+    return rows.where("from_year is not null").select("from_year", F.col("year").alias("to_year"), change.alias("text_change"))
+
+
+def regime_shifts(entries: DataFrame, strict: bool = True, texts: DataFrame | None = None) -> DataFrame:
+    """W8, J11, O7. How much each year differs from the one before it that has entries; the largest change first.
+
+    texts: the years' text profiles; where both years have one, the text counts too and the weights differ.
+    """
+    parts = entries.groupBy("year").agg(F.sum("word_count").alias("words"))
+    profiles = parts.join(temporal(entries, "year", strict=strict).select("year", "burstiness"), "year").join(revision(entries, "year").select("year", "revisit_ratio"), "year")
     old = profiles.select(*[F.col(c).alias(f"old_{c}") for c in profiles.columns])
     both = tag_change(entries, strict).join(profiles, "year").join(old, F.col("before") == F.col("old_year"))
     one = F.lit(1.0)
@@ -183,4 +217,9 @@ def regime_shifts(entries: DataFrame, strict: bool = True) -> DataFrame:
         F.col("before").alias("from_year"), F.col("year").alias("to_year"), "tag_change", F.least(one, F.abs(F.ln((F.col("words") + 1) / (F.col("old_words") + 1)))).alias("volume_change"),
         F.least(one, F.abs(F.col("revisit_ratio") - F.col("old_revisit_ratio"))).alias("revision_change"), F.least(one, F.abs(F.col("burstiness") - F.col("old_burstiness")) * 2).alias("cadence_change"),
     )
-    return parts.withColumn("score", F.col("tag_change") * 0.45 + F.col("volume_change") * 0.25 + F.col("revision_change") * 0.15 + F.col("cadence_change") * 0.15)
+    changed = text_change(texts) if texts is not None else parts.select("from_year", "to_year", F.lit(None).cast("double").alias("text_change")).where("false")
+    parts = parts.join(changed, ["from_year", "to_year"], "left")
+    plain = F.col("tag_change") * 0.45 + F.col("volume_change") * 0.25 + F.col("revision_change") * 0.15 + F.col("cadence_change") * 0.15
+    full = F.col("tag_change") * 0.35 + F.col("text_change") * 0.2 + F.col("volume_change") * 0.2 + F.col("revision_change") * 0.125 + F.col("cadence_change") * 0.125
+    scored = parts.select("from_year", "to_year", "tag_change", F.coalesce("text_change", F.lit(0.0)).alias("text_change"), "volume_change", "revision_change", "cadence_change", F.when(F.col("text_change").isNotNull(), full).otherwise(plain).alias("score"))
+    return scored.orderBy(F.desc("score"), "to_year")

@@ -12,6 +12,8 @@ TOP = 10
 
 def qualified(entries: DataFrame, least: int = 1) -> DataFrame:
     """A28. Entries that keep a qualifying tag, with those tags only."""
+    if least <= 1:  # every tag qualifies
+        return entries.where(F.size("tags") > 0)
     rows = entries.withColumn("tag", F.explode("tags"))
     good = rows.groupBy("tag").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("tag")
     kept = rows.join(good, "tag").groupBy("path").agg(F.array_sort(F.collect_set("tag")).alias("tags"))

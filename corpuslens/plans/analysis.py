@@ -8,6 +8,7 @@ from corpuslens.config import AnalysisConfig
 from corpuslens.operators import bodytext as B
 from corpuslens.operators import corpus as C
 from corpuslens.operators import entities as N
+from corpuslens.operators import readings as RD
 from corpuslens.operators import rhythm as H
 from corpuslens.operators import tagstructure as G
 
@@ -18,11 +19,14 @@ def analyze(notes: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> dict
     scoped = entries.where(config.year_scope(entries["year"]))
     texts = B.texts(notes.where("created is not null"))
     found = N.mentions(notes)
-    shifts = H.regime_shifts(entries, config.strict_parity)
+    profiles = B.year_profiles(texts) if config.body_text else None
+    shifts = H.regime_shifts(entries, config.strict_parity, profiles)
+    openings, pairs = B.opening_shift(texts), G.pair_lift(G.qualified(scoped, config.min_tag_count))
+    more = {"texts": profiles, "openings": openings} if profiles is not None else {}
     return {
         "totals": C.totals(entries), "month_heatmap": C.month_heatmap(entries), "weekday_heatmap": C.weekday_heatmap(entries), "word_histogram": C.histogram(entries, "word_count"), "lag_histogram": C.histogram(entries.where("lag_days > 0"), "lag_days"),
         "month_profile": C.month_profile(entries), "tag_coverage": C.tag_coverage(entries), "tag_years": C.tag_year_heatmap(scoped, config.min_tag_count), "tags": C.tag_rows(scoped, config.combination_size, config.min_tag_count), "tags_by_year": C.tag_rows(scoped, config.combination_size, config.min_tag_count, True),
-        "temporal": H.temporal(entries, strict=config.strict_parity), "year_profiles": H.year_profiles(entries), "regime_shifts": shifts, "longest_streak": H.longest_streak(entries), "silence_gaps": H.silence_gaps(entries), **G.all_tag_structures(scoped, config.min_tag_count),
-        "lexical": B.lexical_by_year(texts), "novelty": B.novelty(texts), "month_climate": B.month_climate(texts), "openings": B.opening_signatures(texts), "opening_shift": B.opening_shift(texts), "phrases": B.recurring_phrases(texts), "tag_texts": B.tag_profiles(texts, config.min_tag_count),
+        "temporal": H.temporal(entries, strict=config.strict_parity), "year_profiles": H.year_profiles(entries, profiles), "text_years": B.year_profiles(texts), "headlines": RD.headlines(H.year_profiles(entries, profiles), pairs, shifts, **more), "regime_shifts": shifts, "longest_streak": H.longest_streak(entries), "silence_gaps": H.silence_gaps(entries), **G.all_tag_structures(scoped, config.min_tag_count),
+        "lexical": B.lexical_by_year(texts), "novelty": B.novelty(texts), "month_climate": B.month_climate(texts), "openings": B.opening_signatures(texts), "opening_shift": openings, "phrases": B.recurring_phrases(texts), "tag_texts": B.tag_profiles(texts, config.min_tag_count),
         "records": B.record_sections(B.records(notes, texts)), "revision_examples": B.revision_examples(notes), "phrase_examples": B.phrase_examples(texts), "deep_years": N.deep_years(texts), "entities": N.candidates(found), "entity_pairs": N.pairs(found), "shift_examples": N.shift_examples(notes, shifts),
     }

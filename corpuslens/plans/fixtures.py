@@ -40,3 +40,27 @@ def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     lang = F.regexp_extract("url", "://[^/]*/([a-z]+)/", 1)
     hrefs = F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))
     return pages.join(F.broadcast(n)).select(name(F.col("page_id")).alias("path"), F.concat(hrefs, F.array(name((F.col("page_id") * 17 + 1) % F.col("n")))).alias("links"), F.array(lang).alias("tags"), lang.alias("folder"))
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document is a parsed file: of seven, one has no date, two an invalid one; every fifth has no file time, every eleventh no word."""
+    from corpuslens.functions import timestamps as T
+
+    rows = notes(spark, sf_dir).withColumn("k", F.regexp_extract("path", r"/(\d+)\.md$", 1).cast("long"))
+    text = F.when(F.col("k") % 7 == 0, F.lit(None)).when(F.col("k") % 7 == 1, F.lit("2021-13-40")).when(F.col("k") % 7 == 2, F.lit("")).otherwise(F.date_format("created", "yyyy-MM-dd HH:mm"))
+    later = F.when(F.col("k") % 2 == 0, F.date_format("updated", "yyyy-MM-dd")).otherwise(F.lit(None))
+    file_time = F.when(F.col("k") % 5 != 0, F.col("created"))
+    return rows.select(
+        "path", T.resolve(text, F.col("k") % 7 > 0, file_time, "ctime").alias("created"), T.resolve(later, F.col("k") % 2 == 0, F.col("updated"), "mtime").alias("updated"),
+        F.when(F.col("k") % 11 == 0, 0).otherwise(F.col("word_count")).cast("long").alias("word_count"), "tags",
+    )
+
+
+def sparse_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of facts(), by plain columns: undated notes are gone, some have no words, no tags, or a revision before their creation."""
+    rows = notes(spark, sf_dir).withColumn("k", F.regexp_extract("path", r"/(\d+)\.md$", 1).cast("long"))
+    words = F.when(F.col("k") % 11 == 0, 0).otherwise(F.col("word_count")).cast("long")
+    created = F.when(F.col("k") % 7 > 2, F.date_trunc("minute", "created")).when(F.col("k") % 5 != 0, F.col("created"))
+    updated = F.when(F.col("k") % 2 == 0, F.date_trunc("day", "updated")).otherwise(F.col("updated"))
+    tags = F.when(words % 4 == 0, F.array().cast("array<string>")).otherwise(F.col("tags"))
+    return to_entries(rows.select("path", created.alias("created"), updated.alias("updated"), words.alias("word_count"), tags.alias("tags")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuslens.operators import bodytext as B
 from corpuslens.operators import corpus as C
 from corpuslens.operators import entities as M
+from corpuslens.operators import readings as RD
 from corpuslens.operators import recommend as R
 from corpuslens.operators import rhythm as H
 from corpuslens.operators import tagstructure as G
@@ -132,7 +133,12 @@ def _temporal_sql(year: bool) -> str:
 
 add("temporal_by_year", q_entries(lambda e: H.temporal(e, "year")), _temporal_sql(True))
 add("temporal_overall", q_entries(H.temporal), _temporal_sql(False))
-add("volume_by_year", q_entries(lambda e: H.volume(e, "year")), f"{E}, s AS (SELECT year, avg(word_count) AS a, median(word_count) AS m, stddev_pop(word_count) AS sd, quantile_cont(word_count, 0.9) AS p, count(*) AS n FROM e GROUP BY year), x AS (SELECT year, count(*) FILTER (word_count < 0.5 * m) AS sh, count(*) FILTER (word_count > 1.5 * m) AS lo FROM e JOIN s USING (year) GROUP BY year), h AS (SELECT year, sum(power(c / n, 2)) AS hh FROM (SELECT year, month, count(*) AS c FROM e GROUP BY ALL) JOIN s USING (year) GROUP BY year) SELECT year, {R6('CASE WHEN sd > 0 THEN 3 * (a - m) / sd ELSE 0 END', 'skew')}, {R6('CASE WHEN m > 0 THEN p / m ELSE 0 END', 'tail_ratio')}, {R6('(sh + 1) / (lo + 1)', 'short_long')}, {R6('hh', 'concentration')} FROM s JOIN x USING (year) JOIN h USING (year)")
+_VOLUME = f"""{E}, s AS (SELECT year, avg(word_count) AS a, median(word_count) AS m, stddev_pop(word_count) AS sd, quantile_cont(word_count, 0.9) AS p FROM e GROUP BY year),
+x AS (SELECT year, count(*) FILTER (word_count <= 0.5 * m) AS sh, count(*) FILTER (word_count >= 1.5 * m) AS lo FROM e JOIN s USING (year) GROUP BY year),
+h AS (SELECT year, sum(w) AS tw, sum(CAST(w AS DOUBLE) * w) AS sq FROM (SELECT year, month, sum(word_count) AS w FROM e GROUP BY ALL) GROUP BY year)
+SELECT year, {R6('CASE WHEN sd > 0 THEN 3 * (a - m) / sd ELSE 0 END', 'skew')}, {R6('CASE WHEN m > 0 THEN p / m ELSE 0 END', 'tail_ratio')}, {R6('(sh + 1) / (lo + 1)', 'short_long')},
+  {R6('CASE WHEN tw > 0 THEN sq / (CAST(tw AS DOUBLE) * tw) ELSE 0 END', 'concentration')} FROM s JOIN x USING (year) JOIN h USING (year)"""
+add("volume_by_year", q_entries(lambda e: H.volume(e, "year")), _VOLUME)
 add("revision_by_year", q_entries(lambda e: H.revision(e, "year")), f"{E}, m AS (SELECT year, count(lag_days) AS usable, count(*) FILTER (lag_days > 0) AS revisited, median(lag_days) FILTER (lag_days > 0) AS ml, quantile_cont(lag_days, 0.9) FILTER (lag_days > 0) AS p, max(lag_days) FILTER (lag_days > 0) AS mx, sum(word_count * ln(1 + lag_days)) FILTER (lag_days > 0) AS i, sum(word_count) AS w FROM e GROUP BY year), c AS (SELECT year, lag_days, sum(greatest(1, word_count)) AS wt FROM e WHERE lag_days > 0 GROUP BY ALL), h AS (SELECT year, min(lag_days) AS hl FROM (SELECT *, sum(wt) OVER (PARTITION BY year ORDER BY lag_days) AS run, sum(wt) OVER (PARTITION BY year) AS tot FROM c) WHERE run >= tot / 2 GROUP BY year) SELECT year, usable, revisited, {R6('CASE WHEN usable > 0 THEN revisited / usable ELSE 0 END', 'revisit_ratio')}, {R6('coalesce(ml, 0)', 'median_lag')}, {R6('coalesce(p, 0)', 'p90_lag')}, {R6('coalesce(mx, 0)', 'max_lag')}, {R6('coalesce(hl, 0)', 'half_life')}, {R6('coalesce(i, 0)', 'intensity')}, {R6('CASE WHEN w > 0 THEN coalesce(i, 0) / w ELSE 0 END', 'intensity_per_word')} FROM m LEFT JOIN h USING (year)")
 add("weekday_stability", q_entries(H.weekday_stability), f"{E}, y AS (SELECT year, count(*) AS yn FROM e GROUP BY 1), d AS (SELECT weekday, count(*) AS dn FROM e GROUP BY 1), c AS (SELECT year, weekday, count(*) AS n FROM e GROUP BY ALL), g AS (SELECT y.year, yn, coalesce(n, 0) / yn AS p, dn / (SELECT count(*) FROM e) AS q FROM y CROSS JOIN d LEFT JOIN c ON c.year = y.year AND c.weekday = d.weekday), j AS (SELECT year, yn, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS ds FROM g GROUP BY ALL) SELECT {R6('1 - sum(yn * ds) / sum(yn)', 'stability')} FROM j")
 add("tag_distribution", q_entries(G.tag_distribution), f"{E}, c AS (SELECT year, tag, count(*) AS n FROM et GROUP BY ALL UNION ALL SELECT NULL, tag, count(*) FROM et GROUP BY tag), s AS (SELECT year, n / sum(n) OVER (PARTITION BY year) AS p FROM c) SELECT year, count(*) AS tags, {R6('-sum(p * log2(p))', 'entropy')}, {R6('sum(p * p)', 'concentration')} FROM s GROUP BY year")
@@ -147,11 +153,34 @@ add("longest_streak", q_entries(H.longest_streak), f"{E}, d AS (SELECT epoch_day
 add("silence_gaps", q_entries(H.silence_gaps), f"{E}, d AS (SELECT epoch_day, min(path) AS a, max(path) AS b FROM e GROUP BY 1), l AS (SELECT lag(b) OVER (ORDER BY epoch_day) AS from_path, a AS to_path, lag(epoch_day) OVER (ORDER BY epoch_day) AS from_day, epoch_day AS to_day FROM d) SELECT *, to_day - from_day - 1 AS gap_days FROM l WHERE to_day - from_day - 1 > 0 ORDER BY gap_days DESC, from_day LIMIT 25")
 add("revision_length_correlation", q_entries(H.revision_length_correlation), f"{E} SELECT {R6('corr(lag_days, word_count)', 'correlation')}, count(*) AS pairs FROM e WHERE lag_days > 0")
 add("cadence_depth_correlation", q_entries(H.cadence_depth_correlation), f"{E}, o AS (SELECT epoch_day - lag(epoch_day) OVER (ORDER BY epoch_day, word_count, path) AS g, reading_minutes * (1 + ln(1 + greatest(0, coalesce(lag_days, 0))) / 4) AS d FROM e) SELECT {R6('corr(g, d)', 'correlation')}, count(*) AS pairs FROM o WHERE g IS NOT NULL")
-add("productivity_modes", q_entries(lambda e: H.year_profiles(e).select("year", "mode", "entries", "words")))
-add("year_profiles", q_entries(H.year_profiles))
 _TAGCHANGE = ", sy AS (SELECT year, tag, count(*) AS n FROM et GROUP BY ALL), sp AS (SELECT year, row_number() OVER (PARTITION BY year ORDER BY tag) AS k, n / sum(n) OVER (PARTITION BY year) AS p FROM sy), yy AS (SELECT year, lag(year) OVER (ORDER BY year) AS b FROM (SELECT DISTINCT year FROM e)), j AS (SELECT coalesce(a.year, c.year) AS year, coalesce(a.p, 0) AS p, coalesce(c.p, 0) AS q FROM (SELECT yy.year, k, p FROM yy JOIN sp ON sp.year = yy.year WHERE b IS NOT NULL) a FULL JOIN (SELECT yy.year, k, p FROM yy JOIN sp ON sp.year = b) c ON a.year = c.year AND a.k = c.k), tch AS (SELECT year, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS tag_change FROM j GROUP BY year)"
 add("tag_regime_change", q_entries(H.tag_change), f"{E}{_TAGCHANGE} SELECT yy.year, b AS \"before\", {R6('coalesce(tag_change, 0)', 'tag_change')} FROM yy LEFT JOIN tch USING (year) WHERE b IS NOT NULL")
-add("regime_shifts", q_entries(H.regime_shifts))
+
+
+def exact(sql: str) -> str:
+    """The same query without rounding, for use inside another."""
+    return sql.replace("round(CAST(", "(CAST(").replace(" AS DOUBLE), 6) AS ", " AS DOUBLE)) AS ")
+
+
+_SHIFT_PARTS = f"""pr AS (SELECT year, words, burstiness, revisit_ratio FROM (SELECT year, sum(word_count) AS words FROM ({E} SELECT * FROM e) GROUP BY year) JOIN ({exact(SQL['temporal_by_year'])}) USING (year) JOIN ({exact(SQL['revision_by_year'])}) USING (year)),
+sh AS (SELECT c."before" AS from_year, c.year AS to_year, tag_change, least(1, abs(ln((a.words + 1) / (b.words + 1)))) AS volume_change, least(1, abs(a.revisit_ratio - b.revisit_ratio)) AS revision_change, least(1, abs(a.burstiness - b.burstiness) * 2) AS cadence_change
+  FROM ({exact(SQL['tag_regime_change'])}) c JOIN pr a ON a.year = c.year JOIN pr b ON b.year = c."before")"""
+_PLAIN = "tag_change * 0.45 + volume_change * 0.25 + revision_change * 0.15 + cadence_change * 0.15"
+_PARTS6 = ", ".join(R6(c, c) for c in ("tag_change", "text_change", "volume_change", "revision_change", "cadence_change"))
+add("regime_shifts", q_entries(H.regime_shifts), f"WITH {_SHIFT_PARTS} SELECT from_year, to_year, {_PARTS6}, {R6(_PLAIN, 'score')} FROM (SELECT *, 0 AS text_change FROM sh)")
+_PROFILES = f"""WITH {_SHIFT_PARTS},
+y AS (SELECT b.*, t.* EXCLUDE (year), v.* EXCLUDE (year), revisit_ratio, half_life, intensity_per_word, d.entropy AS tag_entropy, d.concentration AS tag_concentration, s.score AS regime_shift
+  FROM (SELECT year, count(*) AS entries, CAST(sum(word_count) AS BIGINT) AS words, avg(word_count) AS mean_words FROM ({E} SELECT * FROM e) GROUP BY year) b
+  JOIN ({exact(SQL['temporal_by_year'])}) t USING (year) JOIN ({exact(SQL['volume_by_year'])}) v USING (year) JOIN ({exact(SQL['revision_by_year'])}) r USING (year)
+  LEFT JOIN ({exact(SQL['tag_distribution'])}) d USING (year) LEFT JOIN (SELECT to_year AS year, {_PLAIN} AS score FROM sh) s USING (year)),
+q AS (SELECT median(entries) AS mn, median(mean_words) AS mw, median(concentration) AS mc, median(intensity_per_word) AS mr FROM y),
+md AS (SELECT y.*, CASE WHEN revisit_ratio >= 0.25 AND intensity_per_word >= greatest(0.05, mr * 1.2) THEN 'revision-heavy layering' WHEN burstiness >= 0.2 AND mean_words <= mw THEN 'bursty short-form'
+  WHEN concentration >= mc * 1.15 AND mean_words >= mw THEN 'concentrated deep-writing' WHEN entries >= mn AND mean_words >= mw THEN 'steady prolific' WHEN entries < mn AND mean_words >= mw THEN 'sparse deep-writing' ELSE 'mixed cadence' END AS mode FROM y, q)"""
+_NUMBERS = ("mean_words", "burstiness", "longest_gap", "p90_gap", "long_silences", "fragility", "season_asymmetry", "skew", "tail_ratio", "short_long", "concentration", "revisit_ratio", "half_life", "intensity_per_word", "tag_entropy", "tag_concentration", "regime_shift")
+add("year_profiles", q_entries(H.year_profiles), f"{_PROFILES} SELECT year, entries, words, mode, {', '.join(R6(c, c) for c in _NUMBERS)} FROM md")
+add("productivity_modes", q_entries(lambda e: H.year_profiles(e).select("year", "mode", "entries", "words")), f"{_PROFILES} SELECT year, mode, entries, words FROM md")
+add("predominant_mode", q_entries(lambda e: H.predominant_mode(H.year_profiles(e))), f"{_PROFILES} SELECT mode, count(*) AS years FROM md GROUP BY mode ORDER BY years DESC, mode LIMIT 1")
+add("structural_trend", q_entries(lambda e: H.year_profiles(e).select("year", "burstiness", "concentration", "tag_entropy", "regime_shift")), f"{_PROFILES} SELECT year, {', '.join(R6(c, c) for c in ('burstiness', 'concentration', 'tag_entropy', 'regime_shift'))} FROM md")
 add("lexical_by_year", q_texts(B.lexical_by_year), f"{D}, m AS (SELECT year, sum(token_count) AS tk, sum(len(sentences)) AS sn, sum(list_sum(sentences)) AS sw, sum(list_sum(list_transform(sentences, lambda x: x * x))) AS sq FROM t GROUP BY year), v AS (SELECT year, count(DISTINCT w) AS vc FROM (SELECT year, unnest(vocabulary) AS w FROM t) GROUP BY year) SELECT year, CAST(tk AS BIGINT) AS tokens, coalesce(vc, 0) AS vocabulary, {R6('CASE WHEN tk >= 2 AND vc >= 2 THEN ln(vc) / ln(tk) END', 'richness')}, {R6('sw / sn', 'sentence_mean')}, {R6('sqrt(greatest(0, sq / sn - (sw / sn) * (sw / sn)))', 'sentence_variation')} FROM m LEFT JOIN v USING (year)")
 add("vocabulary_novelty", q_texts(B.novelty), f"{D}, w AS (SELECT DISTINCT year, unnest(vocabulary) AS w FROM t), f AS (SELECT w, min(year) AS y0 FROM w GROUP BY 1) SELECT year, count(*) AS vocabulary, count(*) FILTER (y0 = year) AS fresh, {R6('count(*) FILTER (y0 = year) / count(*)', 'novelty')} FROM w JOIN f USING (w) GROUP BY year")
 add("month_climate", q_texts(B.month_climate), f"{D}, m AS (SELECT month, sum(token_count) AS tk, sum(len(sentences)) AS sn, sum(list_sum(sentences)) AS sw, sum(list_sum(list_transform(sentences, lambda x: x * x))) AS sq FROM t GROUP BY month) SELECT CAST(x AS INT) AS month, CAST(tk AS BIGINT) AS tokens, {R6('sw / sn', 'sentence_mean')}, {R6('sqrt(greatest(0, sq / sn - (sw / sn) * (sw / sn)))', 'sentence_variation')} FROM generate_series(1, 12) AS s(x) LEFT JOIN m ON month = x")
@@ -159,7 +188,17 @@ add("opening_signatures", q_texts(B.opening_signatures), f"{D}{OPEN} SELECT open
 add("opening_shift", q_texts(B.opening_shift), f"{D}{OPEN}, y AS (SELECT year, count(opening) AS tot FROM o3 GROUP BY 1), c AS (SELECT year, opening, count(*) AS n FROM o3 GROUP BY ALL), g AS (SELECT y.year, s.o, CASE WHEN tot > 0 THEN coalesce(n, 0) / tot ELSE 0 END AS p FROM y CROSS JOIN (SELECT unnest(['temporal', 'emotional', 'scene-setting', 'fragmentary', 'descriptive', 'declarative', 'other']) AS o) AS s LEFT JOIN c ON c.year = y.year AND c.opening = s.o), d AS (SELECT year, lag(year) OVER (PARTITION BY o ORDER BY year) AS b, abs(p - lag(p) OVER (PARTITION BY o ORDER BY year)) AS d FROM g) SELECT b AS \"before\", year, {R6('sum(d) / 2', 'distance')} FROM d WHERE b IS NOT NULL GROUP BY ALL")
 add("recurring_phrases", q_texts(B.recurring_phrases), f"{D}{PHRASES} SELECT phrase, entries, first_year, last_year, {R6('mean_gap', 'mean_gap')}, {R6('score', 'score')} FROM rs")
 add("phrase_examples", q_texts(B.phrase_examples), f"{D}{PHRASES}, b AS (SELECT phrase FROM rs ORDER BY score DESC, phrase LIMIT 10) SELECT phrase, CAST(row_number() OVER (PARTITION BY phrase ORDER BY created DESC, path) AS INT) AS rank, path FROM p JOIN b USING (phrase) QUALIFY rank <= 3")
-add("tag_text_profiles", q_texts(B.tag_profiles), f"{D}, x AS (SELECT unnest(list_distinct(tags)) AS tag, token_count AS k, CASE WHEN token_count >= 2 AND len(vocabulary) >= 2 THEN ln(len(vocabulary)) / ln(token_count) END AS r, CASE WHEN len(sentences) > 0 THEN list_sum(sentences) / len(sentences) END AS s FROM t) SELECT tag, count(*) AS entries, {R6('avg(k)', 'mean_tokens')}, {R6('median(k)', 'median_tokens')}, {R6('avg(r)', 'mean_richness')}, {R6('avg(s)', 'mean_sentence')} FROM x GROUP BY tag")
+add("tag_text_profiles", q_texts(B.tag_profiles), f"""{D}, x AS (SELECT unnest(list_distinct(tags)) AS tag, token_count AS k, CASE WHEN token_count >= 2 AND len(vocabulary) >= 2 THEN ln(len(vocabulary)) / ln(token_count) END AS r, len(sentences) AS sn, coalesce(list_sum(sentences), 0) AS sw,
+  CASE WHEN len(sentences) > 0 THEN list_sum(sentences) / len(sentences) END AS s, CASE WHEN updated > created THEN (epoch_ms(updated) - epoch_ms(created)) / 86400000.0 END AS lag FROM t)
+SELECT tag, count(*) AS entries, {R6('avg(k)', 'mean_words')}, {R6('median(k)', 'median_words')}, {R6('avg(r)', 'mean_richness')}, {R6('sum(sw) / sum(sn)', 'mean_sentence')}, {R6('median(s) FILTER (s > 0)', 'median_sentence')}, {R6('avg(lag)', 'mean_lag')}, {R6('median(lag)', 'median_lag')} FROM x GROUP BY tag""")
+_TEXTS = f"""{D}{OPEN.replace("SELECT year, CASE", "SELECT path, year, CASE")}{PHRASES.replace(", g AS", ", g AS", 1)}, rp AS (SELECT DISTINCT path FROM p JOIN r USING (phrase)),
+sy AS (SELECT year, count(*) AS entries, avg(CAST(rp.path IS NOT NULL AS INT)) AS recurring_share, sum(token_count) AS tk, sum(len(sentences)) AS sn, sum(list_sum(sentences)) AS sw, sum(list_sum(list_transform(sentences, lambda x: x * x))) AS sq FROM t LEFT JOIN rp ON rp.path = t.path GROUP BY year),
+vw AS (SELECT DISTINCT year, unnest(vocabulary) AS w FROM t), vf AS (SELECT w, min(year) AS y0 FROM vw GROUP BY 1), vy AS (SELECT year, count(*) AS vc, count(*) FILTER (y0 = year) / count(*) AS novelty FROM vw JOIN vf USING (w) GROUP BY year),
+oc AS (SELECT year, opening, count(*) AS n, sum(count(*)) OVER (PARTITION BY year) AS total FROM o3 WHERE opening IS NOT NULL GROUP BY year, opening), ob AS (SELECT year, opening, n / total AS opening_share FROM oc QUALIFY row_number() OVER (PARTITION BY year ORDER BY n DESC, opening) = 1),
+ty AS (SELECT year, entries, CASE WHEN tk >= 2 AND vc >= 2 THEN ln(vc) / ln(tk) END AS richness, novelty, sw / sn AS sentence_mean, sqrt(greatest(0, sq / sn - (sw / sn) * (sw / sn))) AS sentence_variation, opening, opening_share, recurring_share FROM sy LEFT JOIN vy USING (year) LEFT JOIN ob USING (year))"""
+_TEXT_NUMBERS = ("richness", "novelty", "sentence_mean", "sentence_variation", "opening_share", "recurring_share")
+add("text_year_profiles", q_texts(B.year_profiles), f"{_TEXTS} SELECT year, entries, opening, {', '.join(R6(c, c) for c in _TEXT_NUMBERS)} FROM ty")
+add("text_trend", q_texts(lambda r: B.year_profiles(r).select("year", "richness", "novelty", "sentence_mean", "recurring_share")), f"{_TEXTS} SELECT year, {', '.join(R6(c, c) for c in ('richness', 'novelty', 'sentence_mean', 'recurring_share'))} FROM ty")
 add("period_signature", q_texts(lambda r: B.period_signature(terms(r), 2021, 2023, 2018, 2020)), f"{D}, w AS (SELECT year, unnest(tokens) AS term FROM t), c AS (SELECT term, count(*) FILTER (year BETWEEN 2021 AND 2023) AS s, count(*) FILTER (year BETWEEN 2018 AND 2020) AS o FROM w WHERE length(term) >= 3 GROUP BY term HAVING s + o > 0), z AS (SELECT count(*) AS v, sum(s) AS ns, sum(o) AS nc FROM c), q AS (SELECT term, s, o, (s + 0.5) / (ns + 0.5 * v) AS sr, (o + 0.5) / (nc + 0.5 * v) AS cr FROM c CROSS JOIN z) SELECT term, s AS selected, o AS compared, {R6('sr', 'selected_rate')}, {R6('cr', 'compared_rate')}, {R6('log2(sr / cr)', 'score')}, CASE WHEN o = 0 THEN 'emergent' WHEN s = 0 THEN 'fading' ELSE 'distinctive' END AS kind FROM q WHERE s + o >= 2")
 add("revision_examples", lambda spark, sf: B.revision_examples(X.notes(spark, sf)), f"{D} SELECT path, CAST(token_count AS BIGINT) AS word_count, CAST(floor((epoch_ms(updated) - epoch_ms(created)) / 86400000) AS BIGINT) AS lag FROM t WHERE floor((epoch_ms(updated) - epoch_ms(created)) / 86400000) > 0 ORDER BY lag DESC, word_count DESC, path LIMIT 25")
 
@@ -170,11 +209,20 @@ def record_sections(spark, sf):
     return rounded(B.record_sections(B.records(notes, B.texts(notes))))
 
 
-add("record_sections", record_sections)
-add("recommend_all", lambda spark, sf: rounded(R.recommend_all(X.linked_pages(spark, sf)).select("src", "rank", "dst", "score")), """WITH n AS (SELECT 'page/' || page_id || '.md' AS path, list_append(regexp_extract_all(html, 'href="([^"]+)"', 1), 'page/' || ((page_id * 17 + 1) % (SELECT count(*) FROM pages)) || '.md') AS links, regexp_extract(url, '://[^/]*/([a-z]+)/', 1) AS lang FROM pages),
+_SECTIONS = {
+    "longest-notes": ("CAST(token_count AS DOUBLE)", "DESC"), "shortest-notes": ("CASE WHEN token_count > 0 THEN CAST(token_count AS DOUBLE) END", "ASC"), "most-tags": ("CAST(len(tags) AS DOUBLE)", "DESC"),
+    "longest-revision-lags": ("CASE WHEN updated > created THEN (epoch_ms(updated) - epoch_ms(created)) / 86400000.0 END", "DESC"), "highest-lexical-richness": ("CASE WHEN token_count >= 2 AND len(vocabulary) >= 2 THEN ln(len(vocabulary)) / ln(token_count) END", "DESC"),
+    "fewest-tags": ("CAST(len(tags) AS DOUBLE)", "ASC"), "longest-average-sentences": ("CASE WHEN len(sentences) > 0 THEN list_sum(sentences) / len(sentences) END", "DESC"), "most-repetitive-phrases": ("CAST(hits AS DOUBLE)", "DESC"),
+    "most-unique-words": ("CAST(len(vocabulary) AS DOUBLE)", "DESC"), "highest-tag-density": ("CASE WHEN token_count > 0 THEN 100 * len(tags) / token_count END", "DESC"),
+}
+add("record_sections", record_sections, f"{D}{PHRASES}, hp AS (SELECT path, count(*) AS hits FROM p JOIN r USING (phrase) GROUP BY path), c AS (SELECT t.*, hits FROM t LEFT JOIN hp ON hp.path = t.path), " + ", ".join(
+    f"s{k} AS (SELECT '{name}' AS section, path, CAST({value} AS DOUBLE) AS score, CAST(token_count AS BIGINT) AS word_count, CAST(row_number() OVER (ORDER BY {value} {way}, token_count DESC, path) AS INT) AS rank FROM c WHERE ({value}) IS NOT NULL QUALIFY rank <= 10)" for k, (name, (value, way)) in enumerate(_SECTIONS.items())
+) + " SELECT section, path, round(score, 6) AS score, word_count, rank FROM (" + " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(len(_SECTIONS))) + ")")
+add("recommend_all", lambda spark, sf: rounded(R.recommend_all(X.linked_pages(spark, sf)).select("src", "rank", "dst", "score", "explanation")), """WITH n AS (SELECT 'page/' || page_id || '.md' AS path, list_append(regexp_extract_all(html, 'href="([^"]+)"', 1), 'page/' || ((page_id * 17 + 1) % (SELECT count(*) FROM pages)) || '.md') AS links, regexp_extract(url, '://[^/]*/([a-z]+)/', 1) AS lang FROM pages),
 l AS (SELECT path AS src, unnest(links) AS dst FROM n), d AS (SELECT DISTINCT path AS p, unnest(links) AS x FROM n),
-k AS (SELECT src, dst, 5.0 AS s FROM (SELECT DISTINCT src, dst FROM l) JOIN n ON n.path = dst UNION ALL SELECT x, p, 3.0 FROM d JOIN n ON n.path = x UNION ALL SELECT a.path, b.path, 2.0 FROM n a JOIN n b ON a.lang = b.lang UNION ALL SELECT src, p, 2.0 FROM l JOIN d ON l.dst = d.x UNION ALL SELECT a.path, b.path, 1.0 FROM n a JOIN n b ON a.lang = b.lang AND a.lang <> ''),
-g AS (SELECT src, dst, sum(s) AS score FROM k WHERE src <> dst GROUP BY ALL) SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS INT) AS rank, dst, round(CAST(score AS DOUBLE), 6) AS score FROM g QUALIFY rank <= 10""")
+k AS (SELECT src, dst, 5.0 AS s, 1 AS kind FROM (SELECT DISTINCT src, dst FROM l) JOIN n ON n.path = dst UNION ALL SELECT x, p, 3.0, 2 FROM d JOIN n ON n.path = x UNION ALL SELECT a.path, b.path, 2.0, 3 FROM n a JOIN n b ON a.lang = b.lang UNION ALL SELECT src, p, 2.0, 4 FROM l JOIN d ON l.dst = d.x UNION ALL SELECT a.path, b.path, 1.0, 5 FROM n a JOIN n b ON a.lang = b.lang AND a.lang <> ''),
+g AS (SELECT src, dst, sum(s) AS score, list_sort(list(DISTINCT kind)) AS kinds FROM k WHERE src <> dst GROUP BY ALL), b AS (SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS INT) AS rank, dst, score, kinds FROM g QUALIFY rank <= 10)
+SELECT src, rank, dst, round(CAST(score AS DOUBLE), 6) AS score, array_to_string(list_transform(kinds, lambda x: CASE x WHEN 1 THEN 'It is directly linked from the current note.' WHEN 2 THEN 'It links back to the current note.' WHEN 3 THEN 'It shares tags with the current note.' WHEN 4 THEN 'It shares neighbouring notes with the current note.' ELSE 'It is in the same folder context.' END), ' ') AS explanation FROM b""")
 add("windowed_activity", lambda spark, sf: S.windowed_activity(X.table(spark, sf, "events")), "SELECT date_trunc('hour', ts) AS window_start, count(*) AS events FROM events GROUP BY 1")
 add("session_activity", lambda spark, sf: S.session_activity(X.table(spark, sf, "events")), "WITH l AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 DAY THEN 0 ELSE 1 END AS f FROM events), s AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 1 DAY AS session_end, count(*) AS events FROM s GROUP BY user_id, k")
 
@@ -187,7 +235,91 @@ add("entity_candidates", q_names(M.candidates))
 add("entity_pairs", q_names(lambda found: M.pairs(found).orderBy(F.desc("strength"), "left_key", "right_key").limit(25)))
 add("deep_text_years", q_texts(M.deep_years))
 add("deep_period_signature", q_texts(lambda r: M.deep_signature(r, 2021, 2023, 2018, 2020)))
-add("shift_examples", lambda spark, sf: M.shift_examples(X.notes(spark, sf), H.regime_shifts(X.entries(spark, sf)).select((F.col("from_year") + 22).alias("from_year"), (F.col("to_year") + 22).alias("to_year"))))
+add("entity_lists", q_names(lambda found: M.top_candidates(M.candidates(found))))
+add("deep_period_lists", q_texts(lambda r: B.period_lists(B.period_terms(M.term_rows(r), 2023, 2023, True))))
+add("period_lists", q_texts(lambda r: B.period_lists(B.period_terms(terms(r), 2023, 2023, True))), f"""{D}, w AS (SELECT year, unnest(tokens) AS term FROM t), c AS (SELECT term, count(*) FILTER (year = 2023) AS s, count(*) FILTER (year < 2023) AS o FROM w WHERE length(term) >= 3 AND year <= 2023 GROUP BY term), z AS (SELECT count(*) AS v, sum(s) AS ns, sum(o) AS nc FROM c),
+q AS (SELECT term, s, o, (s + 0.5) / (ns + 0.5 * v) AS sr, log2(((s + 0.5) / (ns + 0.5 * v)) / ((o + 0.5) / (nc + 0.5 * v))) AS score FROM c CROSS JOIN z WHERE s + o >= 2),
+a AS (SELECT 'distinctive' AS list, row_number() OVER (ORDER BY round(score, 9) DESC, s DESC, term) AS rank, * FROM q WHERE score > 0 QUALIFY rank <= 10), b AS (SELECT 'emergent' AS list, row_number() OVER (ORDER BY s DESC, term) AS rank, * FROM q WHERE o = 0 AND s >= 2 QUALIFY rank <= 10), f AS (SELECT 'fading' AS list, row_number() OVER (ORDER BY round(score, 9), o DESC, term) AS rank, * FROM q WHERE score < 0 QUALIFY rank <= 10)
+SELECT list, CAST(rank AS INT) AS rank, term, s AS selected, o AS compared, round(score, 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM f)""")
+
+
+def _both(spark, sf):
+    notes = X.notes(spark, sf)
+    return C.to_entries(notes), B.texts(notes)
+
+
+def text_shifts(spark, sf):
+    """Changes from year to year of notes with body text."""
+    entries, texts = _both(spark, sf)
+    return rounded(H.regime_shifts(entries, texts=B.year_profiles(texts)))
+
+
+#: The documents as entries: E's columns from D.
+E2 = f"""{D}, e AS (SELECT path, created, updated, year, month, CAST(dayofweek(created) AS INT) AS weekday, epoch_day, CAST(token_count AS BIGINT) AS word_count, token_count / 230.0 AS reading_minutes,
+  (epoch_ms(updated) - epoch_ms(created)) / 86400000.0 AS lag_days, list_sort(list_distinct(tags)) AS tags FROM t), et AS (SELECT * EXCLUDE (tags), unnest(tags) AS tag FROM e)"""
+_TEXT_SHIFTS = f"""{_TEXTS}, {_SHIFT_PARTS.replace(E, E2)},
+tp AS (SELECT *, lag(year) OVER (ORDER BY year) AS b, lag(coalesce(richness, 0)) OVER (ORDER BY year) AS r0, lag(coalesce(novelty, 0)) OVER (ORDER BY year) AS n0, lag(coalesce(sentence_mean, 0)) OVER (ORDER BY year) AS s0, lag(coalesce(recurring_share, 0)) OVER (ORDER BY year) AS p0 FROM ty),
+tc2 AS (SELECT b AS from_year, year AS to_year, least(1, abs(coalesce(richness, 0) - r0) * 4) * 0.35 + least(1, abs(coalesce(novelty, 0) - n0) * 2) * 0.25 + least(1, abs(ln((coalesce(sentence_mean, 0) + 1) / (s0 + 1)))) * 0.2 + least(1, abs(coalesce(recurring_share, 0) - p0) * 2) * 0.2 AS text_change FROM tp WHERE b IS NOT NULL),
+ts AS (SELECT sh.*, text_change, tag_change * 0.35 + text_change * 0.2 + volume_change * 0.2 + revision_change * 0.125 + cadence_change * 0.125 AS score FROM sh JOIN tc2 USING (from_year, to_year))"""
+add("text_regime_shifts", text_shifts, f"{_TEXT_SHIFTS} SELECT from_year, to_year, {_PARTS6}, {R6('score', 'score')} FROM ts")
+add("shift_examples", lambda spark, sf: M.shift_examples(X.notes(spark, sf), text_shifts(spark, sf).select("from_year", "to_year")), f"""{_TEXT_SHIFTS}, sx AS (SELECT from_year, to_year, 'before' AS side, CAST(row_number() OVER (PARTITION BY to_year ORDER BY created DESC, path) AS INT) AS rank, path FROM ts JOIN t ON t.year = from_year QUALIFY rank <= 3),
+sz AS (SELECT from_year, to_year, 'after' AS side, CAST(row_number() OVER (PARTITION BY to_year ORDER BY created, path) AS INT) AS rank, path FROM ts JOIN t ON t.year = to_year QUALIFY rank <= 3) SELECT * FROM sx UNION ALL SELECT * FROM sz""")
+
+
+def _structure(spark, sf):
+    entries, texts = _both(spark, sf)
+    profiles = B.year_profiles(texts)
+    return dict(profiles=H.year_profiles(entries, profiles), pairs=G.pair_lift(G.qualified(entries)), shifts=H.regime_shifts(entries, texts=profiles), texts=profiles, openings=B.opening_shift(texts)), texts
+
+
+def headlines(spark, sf):
+    """The eleven headline cards."""
+    return RD.headlines(**_structure(spark, sf)[0])
+
+
+def readings(spark, sf):
+    """The structural readings."""
+    tables, texts = _structure(spark, sf)
+    return RD.structural_readings(**tables, phrases=B.recurring_phrases(texts), tags=B.tag_profiles(texts))
+
+
+add("headline_cards", headlines)
+add("structural_readings", readings)
+_M = lambda x: f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE printf('%.2f', {x}) END"
+add("headline_cards_plain", lambda spark, sf: RD.headlines(H.year_profiles(X.entries(spark, sf)), G.pair_lift(G.qualified(X.entries(spark, sf))), H.regime_shifts(X.entries(spark, sf))), f"""{_PROFILES}, pl AS (SELECT * FROM ({exact(SQL['tag_pair_lift'])}) LIMIT 1), sc AS (SELECT *, {_PLAIN} AS score FROM sh ORDER BY score DESC, to_year LIMIT 1),
+""" + ", ".join(f"k{k} AS (SELECT {k} AS place, '{label}' AS label, CAST(year AS VARCHAR) AS value, '{said} ' || {_M(c)} AS detail FROM md ORDER BY {c} DESC, year LIMIT 1)" for k, label, c, said in (
+    (1, "Most bursty year", "burstiness", "Burstiness"), (2, "Most revision-heavy year", "intensity_per_word", "Revision intensity"), (3, "Most thematically concentrated year", "tag_concentration", "Tag concentration"),
+    (4, "Most semantically diverse year", "tag_entropy", "Tag entropy"), (7, "Most concentrated writing year", "concentration", "Concentration"), (8, "Most revisited year", "revisit_ratio", "Revisit ratio"),
+)) + f""" SELECT * FROM (SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3 UNION ALL SELECT * FROM k4 UNION ALL SELECT * FROM k7 UNION ALL SELECT * FROM k8
+UNION ALL SELECT 5, 'Strongest recurring motif', "left" || ' + ' || "right", 'Lift ' || {_M('lift')} || ', support ' || support FROM pl UNION ALL SELECT 6, 'Sharpest regime shift year', CAST(to_year AS VARCHAR), 'From ' || from_year || ', score ' || {_M('score')} FROM sc)""")
+
+# Files with missing and invalid dates, without words or tags.
+F0 = f"""{D}, f0 AS (SELECT *, CAST(regexp_extract(path, '/([0-9]+)[.]md$', 1) AS BIGINT) AS k FROM t),
+f1 AS (SELECT path, tags, CASE WHEN k % 11 = 0 THEN 0 ELSE token_count END AS word_count, CASE WHEN k % 7 = 0 THEN 'missing' WHEN k % 7 <= 2 THEN 'invalid' END AS ci, CASE WHEN k % 2 = 1 THEN 'missing' END AS ui,
+  CASE WHEN k % 7 > 2 THEN 'frontmatter' WHEN k % 7 = 0 AND k % 5 = 0 THEN 'unresolved' ELSE 'filesystem-ctime' END AS cs, CASE WHEN k % 2 = 0 THEN 'frontmatter' ELSE 'filesystem-mtime' END AS us,
+  CASE WHEN k % 7 > 2 THEN date_trunc('minute', created) WHEN k % 5 <> 0 THEN created END AS cv, CASE WHEN k % 2 = 0 THEN date_trunc('day', updated) ELSE updated END AS uv FROM f0)"""
+_LABEL = lambda m: f"CASE WHEN floor({m} + 0.5) < 60 THEN CAST(CAST(floor({m} + 0.5) AS BIGINT) AS VARCHAR) || ' min' WHEN floor({m} + 0.5) < 1440 THEN CAST(CAST(floor(floor({m} + 0.5) / 60) AS BIGINT) AS VARCHAR) || ' h ' || CAST(CAST(floor({m} + 0.5) % 60 AS BIGINT) AS VARCHAR) || ' min' ELSE CAST(CAST(floor(floor({m} + 0.5) / 1440) AS BIGINT) AS VARCHAR) || ' d ' || CAST(CAST(floor(floor({m} + 0.5) / 60) % 24 AS BIGINT) AS VARCHAR) || ' h' END"
+add("file_totals", lambda spark, sf: rounded(C.file_totals(X.facts(spark, sf), 230, "median")), f"""{F0}, a AS (SELECT count(*) AS entries, CAST(sum(word_count) AS BIGINT) AS words, avg(word_count) AS mw, median(word_count) AS md, count(*) FILTER (cs LIKE 'filesystem%') AS created_fallbacks, count(*) FILTER (us LIKE 'filesystem%') AS updated_fallbacks,
+  count(*) FILTER (ci = 'missing') AS created_missing, count(*) FILTER (ci = 'invalid') AS created_invalid, count(*) FILTER (ui = 'missing') AS updated_missing, count(*) FILTER (ui = 'invalid') AS updated_invalid, count(*) FILTER (cv IS NULL) AS undated FROM f1)
+SELECT * EXCLUDE (mw, md), {R6('mw', 'mean_words')}, {R6('md', 'median_words')}, {R6('md', 'selected_words')}, {R6('words / 230.0', 'reading_minutes')}, {_LABEL('words / 230.0')} AS reading_label, {R6('md / 230.0', 'selected_minutes')} FROM a""")
+add("file_years", lambda spark, sf: rounded(C.file_years(X.facts(spark, sf))), f"""{F0} SELECT CAST(year(cv) AS INT) AS year, count(*) AS entries, CAST(sum(word_count) AS BIGINT) AS words, {R6('sum(word_count / 230.0)', 'reading_minutes')}, {_LABEL('sum(word_count / 230.0)')} AS reading_label, {R6('avg(word_count)', 'mean_words')}, {R6('median(word_count)', 'median_words')},
+  count(*) FILTER (cs LIKE 'filesystem%') AS created_fallbacks, count(*) FILTER (us LIKE 'filesystem%') AS updated_fallbacks FROM f1 WHERE cv IS NOT NULL GROUP BY 1""")
+add("date_issues", lambda spark, sf: C.date_issues(X.facts(spark, sf)), f"{F0} SELECT path, ci AS created_issue, cs AS created_source, ui AS updated_issue, us AS updated_source FROM f1 WHERE ci IS NOT NULL OR ui IS NOT NULL")
+#: Entries of those files: undated ones are gone, a fourth or so has no tags, some lags are negative.
+E3 = f"""{F0}, e AS (SELECT path, cv AS created, uv AS updated, CAST(year(cv) AS INT) AS year, CAST(month(cv) AS INT) AS month, CAST(dayofweek(cv) AS INT) AS weekday, CAST(datediff('day', DATE '1970-01-01', CAST(cv AS DATE)) AS INT) AS epoch_day, CAST(word_count AS BIGINT) AS word_count, word_count / 230.0 AS reading_minutes,
+  CASE WHEN uv >= cv THEN (epoch_ms(uv) - epoch_ms(cv)) / 86400000.0 END AS lag_days, CASE WHEN word_count % 4 = 0 THEN CAST([] AS VARCHAR[]) ELSE list_sort(list_distinct(tags)) END AS tags FROM f1 WHERE cv IS NOT NULL),
+et AS (SELECT * EXCLUDE (tags), unnest(tags) AS tag FROM e)"""
+
+
+def q_sparse(f):
+    return lambda spark, sf: rounded(f(X.sparse_entries(spark, sf)))
+
+
+for _name, _query in {
+    "temporal_by_year": lambda e: H.temporal(e, "year"), "volume_by_year": lambda e: H.volume(e, "year"), "revision_by_year": lambda e: H.revision(e, "year"), "tag_distribution": G.tag_distribution, "tag_coverage": C.tag_coverage, "tag_summary": C.tag_summary, "month_heatmap": C.month_heatmap,
+    "word_histogram": lambda e: C.histogram(e, "word_count"), "revision_length_correlation": H.revision_length_correlation, "cadence_depth_correlation": H.cadence_depth_correlation, "tag_regime_change": H.tag_change, "regime_shifts": H.regime_shifts,
+}.items():
+    add(f"sparse_{_name}", q_sparse(_query), SQL[_name].replace(E, E3))
 
 
 def export_all(spark, sf):

@@ -109,13 +109,19 @@ class FeatureStore:
         return facts, counts
 
     def save(self, facts: DataFrame) -> None:
-        """Replace the stored facts: written beside them, then put in their place."""
+        """Replace the stored facts: written beside them, the old ones moved aside, then the new ones put in their place.
+
+        At every moment the facts are whole in one of three folders; load() of a store that a crash left without its
+        folder finds none, and the next refresh parses anew.
+        """
         hadoop = self.spark._jvm.org.apache.hadoop.fs
-        target, beside = hadoop.Path(self.path), hadoop.Path(self.path + ".new")
+        target, beside, aside = (hadoop.Path(self.path + end) for end in ("", ".new", ".old"))
         facts.write.mode("overwrite").parquet(self.path + ".new")
         fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(target, True)
+        fs.delete(aside, True)
+        fs.rename(target, aside)
         fs.rename(beside, target)
+        fs.delete(aside, True)
 
     def clear(self) -> None:
         """S17."""
