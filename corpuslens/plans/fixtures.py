@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is read in fewer partitions than there are cores is dealt out, since its texts cost time; larger ones stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order is an entry: its quantity are its words, the last shipment its revision, three labels its tags."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("long").alias("w"), F.max("l_shipdate").alias("updated"))
@@ -24,7 +30,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document is a note with a made-up time of creation; its language and source are its tags."""
     created = F.timestamp_seconds(F.lit(1514764800) + (F.col("doc_id") * 102947 % 3155760) * 60)
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     path = F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".md"))
     updated = F.when(F.col("doc_id") % 3 == 0, created + F.make_interval(hours=F.col("doc_id") * 31 % 2000)).otherwise(created)
     from corpuslens.functions.text import tokens
@@ -34,7 +40,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page is a note: its hrefs and one made-up link are its links, the language of its url is folder and tag."""
-    pages = table(spark, sf_dir, "pages")
+    pages = spread(table(spark, sf_dir, "pages"))
     n = pages.agg(F.count("*").alias("n"))
     name = lambda c: F.concat(F.lit("page/"), c.cast("string"), F.lit(".md"))
     lang = F.regexp_extract("url", "://[^/]*/([a-z]+)/", 1)
