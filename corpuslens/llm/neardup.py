@@ -131,7 +131,8 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, key: s
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts"))
     members = pairs.join(parts, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), "parts").alias("part"), F.lit(1).alias("kind"))
     pivots = parts.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"))
-    rows = members.unionByName(pivots).join(texts, "id").select("a", "part", "kind", F.col("id").alias("b"), "text")
+    # Both sides grow with the corpus, so neither is broadcast at any size.
+    rows = members.unionByName(pivots).hint("merge").join(texts, "id").select("a", "part", "kind", F.col("id").alias("b"), "text")
 
     def run(batches):
         known, own = None, []
@@ -229,7 +230,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id"
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
     members = labelled.join(mixed, "bucket")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-    more = materialize(_linked_in_blocks(members.join(texts, "id"), width, percent))
+    more = materialize(_linked_in_blocks(members.hint("merge").join(texts, "id"), width, percent))
     if not more.isEmpty():
         discard(joined_classes)
         joined_classes = materialize(connected_components(_with_own_sets(edges.unionByName(more), classes, records, key)))
