@@ -73,11 +73,13 @@ def month_profile(entries: DataFrame) -> DataFrame:
     return grid.join(cells, "month", "left").select("month", F.coalesce("n", F.lit(0)).alias("entries"), F.coalesce("a", F.lit(0.0)).alias("mean_words"), F.coalesce("m", F.lit(0.0)).alias("median_words"))
 
 
-def hourly_activity(stamps: DataFrame, ts: str, timed: Column | None = None) -> DataFrame:
-    """A20. Twenty-four rows; only stamps with a time of day count."""
+def hourly_activity(stamps: DataFrame, ts: str, timed: Column | None = None, words: str | None = None) -> DataFrame:
+    """A20. Twenty-four rows; only stamps with a time of day count. words: the column whose mean is given too."""
     grid = stamps.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
-    cells = stamps.where(timed if timed is not None else F.col(ts).isNotNull()).groupBy(F.hour(ts).alias("hour")).agg(F.count("*").alias("n"))
-    return grid.join(cells, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).alias("entries"))
+    mean = [F.avg(words).alias("mean")] if words else []
+    cells = stamps.where(timed if timed is not None else F.col(ts).isNotNull()).groupBy(F.hour(ts).alias("hour")).agg(F.count("*").alias("n"), *mean)
+    shown = [F.coalesce("mean", F.lit(0.0)).alias("mean_words")] if words else []
+    return grid.join(cells, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).alias("entries"), *shown)
 
 
 def first_by(rows: DataFrame, score: Column, order: Column, where: Column | None = None) -> DataFrame:
@@ -132,12 +134,12 @@ def tag_rows(entries: DataFrame, size: int = 1, least: int = 1, by_year: bool =
     keys = [*keys, "label"]
     main = rows.groupBy(*keys).agg(F.count("*").alias("entries"), F.avg("word_count").alias("mean_words"), F.median("word_count").alias("median_words")).where(F.col("entries") >= least)
     days = rows.groupBy(*keys, "day").agg(F.count("*").alias("n")).withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "day"))).where("turn <= 2")
-    top = days.groupBy(*keys).agg(F.max(F.expr("if(turn = 1, day, null)")).alias("weekday"), F.max(F.expr("if(turn = 1, n, null)")).alias("weekday_entries"), F.max(F.expr("if(turn = 2, day, null)")).alias("second_weekday"))
+    top = days.groupBy(*keys).agg(F.max(F.expr("if(turn = 1, day, null)")).alias("weekday"), F.max(F.expr("if(turn = 1, n, null)")).alias("weekday_entries"), F.max(F.expr("if(turn = 2, day, null)")).alias("second_weekday"), F.max(F.expr("if(turn = 2, n, null)")).alias("second_entries"))
     months = rows.groupBy(*keys, "month").agg(F.count("*").alias("n"), F.min("path").alias("seen"))
     dominant = months.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "seen"))).where("turn = 1").select(*keys, "month", F.col("n").alias("month_entries"))
     joined = main.join(top, keys).join(dominant, keys)
     joined = joined.join(base, ["year"]) if by_year else joined.join(F.broadcast(base))
-    return joined.select(*keys, "entries", "mean_words", "median_words", (F.col("mean_words") - F.col("base_mean")).alias("mean_delta"), (F.col("median_words") - F.col("base_median")).alias("median_delta"), "weekday", "second_weekday", (F.col("weekday_entries") / F.col("entries")).alias("weekday_share"), "month", (F.col("month_entries") / F.col("entries")).alias("month_share"))
+    return joined.select(*keys, "entries", "mean_words", "median_words", (F.col("mean_words") - F.col("base_mean")).alias("mean_delta"), (F.col("median_words") - F.col("base_median")).alias("median_delta"), "weekday", "second_weekday", (F.col("weekday_entries") / F.col("entries")).alias("weekday_share"), (F.col("second_entries") / F.col("entries")).alias("second_share"), "month", (F.col("month_entries") / F.col("entries")).alias("month_share"))
 
 
 def date_issues(notes: DataFrame) -> DataFrame:

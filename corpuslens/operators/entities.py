@@ -20,8 +20,8 @@ def deep_years(rows: DataFrame) -> DataFrame:
     terms = term_rows(rows)
     first = terms.groupBy("term").agg(F.min("year").alias("first"))
     by_year = terms.join(first, "term").groupBy("year").agg(F.sum("n").alias("content"), F.count("*").alias("vocabulary"), F.avg((F.col("first") == F.col("year")).cast("double")).alias("novelty"))
-    tokens = rows.groupBy("year").agg(F.sum("token_count").alias("tokens"))
-    return tokens.join(by_year, "year", "left").select("year", "tokens", F.coalesce("content", F.lit(0)).alias("content"), F.coalesce("vocabulary", F.lit(0)).alias("vocabulary"), richness(F.col("content"), F.col("vocabulary")).alias("richness"), F.try_divide("content", "tokens").alias("content_share"), "novelty")
+    tokens = rows.groupBy("year").agg(F.count("*").alias("entries"), F.sum("token_count").alias("tokens"))
+    return tokens.join(by_year, "year", "left").select("year", "entries", "tokens", F.coalesce("content", F.lit(0)).alias("content"), F.coalesce("vocabulary", F.lit(0)).alias("vocabulary"), richness(F.col("content"), F.col("vocabulary")).alias("richness"), F.try_divide("content", "tokens").alias("content_share"), "novelty")
 
 
 def mentions(notes: DataFrame) -> DataFrame:

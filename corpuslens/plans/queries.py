@@ -13,6 +13,7 @@ from corpuslens.operators import recommend as R
 from corpuslens.operators import rhythm as H
 from corpuslens.operators import tagstructure as G
 from corpuslens.plans import fixtures as X
+from corpuslens.sources import flat as FL
 from corpuslens.sources import notes as N
 from corpuslens.streaming import activity as S
 
@@ -103,9 +104,9 @@ def _tag_rows_sql(labels: str, key: str, month: str) -> str:
     return f"""{E}, l AS ({labels}), {base},
 m AS (SELECT {k}label, count(*) AS entries, avg(word_count) AS mw, median(word_count) AS md FROM l GROUP BY {k}label),
 d AS (SELECT {k}label, (weekday + 6) % 7 AS day, count(*) AS n, row_number() OVER (PARTITION BY {k}label ORDER BY count(*) DESC, (weekday + 6) % 7) AS turn FROM l GROUP BY {k}label, weekday),
-t AS (SELECT {k}label, max(day) FILTER (turn = 1) AS w1, max(n) FILTER (turn = 1) AS n1, max(day) FILTER (turn = 2) AS w2 FROM d GROUP BY {k}label),
+t AS (SELECT {k}label, max(day) FILTER (turn = 1) AS w1, max(n) FILTER (turn = 1) AS n1, max(day) FILTER (turn = 2) AS w2, max(n) FILTER (turn = 2) AS n2 FROM d GROUP BY {k}label),
 o AS (SELECT {k}label, {month} AS mo, count(*) AS n, min(path) AS seen FROM l GROUP BY {k}label, mo QUALIFY row_number() OVER (PARTITION BY {k}label ORDER BY n DESC, seen) = 1)
-SELECT {k}label, entries, {R6('mw', 'mean_words')}, {R6('md', 'median_words')}, {R6('mw - bm', 'mean_delta')}, {R6('md - bd', 'median_delta')}, CAST(w1 AS INT) AS weekday, CAST(w2 AS INT) AS second_weekday, {R6('n1 / entries', 'weekday_share')}, mo AS month, {R6('o.n / entries', 'month_share')}
+SELECT {k}label, entries, {R6('mw', 'mean_words')}, {R6('md', 'median_words')}, {R6('mw - bm', 'mean_delta')}, {R6('md - bd', 'median_delta')}, CAST(w1 AS INT) AS weekday, CAST(w2 AS INT) AS second_weekday, {R6('n1 / entries', 'weekday_share')}, {R6('n2 / entries', 'second_share')}, mo AS month, {R6('o.n / entries', 'month_share')}
 FROM m JOIN t {on} JOIN o {on} {'JOIN b USING (year)' if key else 'CROSS JOIN b'}"""
 
 
@@ -328,3 +329,71 @@ def export_all(spark, sf):
 
 
 add("export_rows", export_all)
+
+
+def flat_tables(spark, sf):
+    """What the registered flat export holds: files of facts(), entries of entries(), hours of the events."""
+    e, files, events = X.entries(spark, sf), X.facts(spark, sf), X.table(spark, sf, "events")
+    return {
+        "file_totals": C.file_totals(files, 230, "median"), "file_years": C.file_years(files), "tag_summary": C.tag_summary(e), "tags": C.tag_rows(e), "tag_coverage": C.tag_coverage(e), "tags_by_year": C.tag_rows(e, 1, 1, True), "year_profiles": H.year_profiles(e),
+        "pair_lift": G.pair_lift(G.qualified(e)), "bridge_tags": G.bridge_tags(G.qualified(e)), "regime_shifts": H.regime_shifts(e), "longest_streak": H.longest_streak(e), "hours": C.hourly_activity(events, "ts"), "tag_years": C.tag_year_heatmap(e), "month_profile": C.month_profile(e),
+        "silence_gaps": H.silence_gaps(e), "headlines": RD.headlines(H.year_profiles(e), G.pair_lift(G.qualified(e)), H.regime_shifts(e)),
+    }
+
+
+def flat_export(spark, sf):
+    """The flat export of 34 columns."""
+    return FL.flat_rows(flat_tables(spark, sf), "median", examples=5).select(*FL.COLUMNS)
+
+
+def _flat_sql() -> str:
+    d = lambda x: (lambda v: f"CASE WHEN {v} = floor({v}) THEN CAST(CAST({v} AS BIGINT) AS VARCHAR) ELSE printf('%.2f', sign({v}) * floor(abs({v}) * 100 + 0.5) / 100) END")(f"round(CAST(coalesce({x}, 0) AS DOUBLE), 9)")
+    t = lambda x: f"CAST({x} AS VARCHAR)"
+    said = lambda *parts: " || '; ' || ".join(f"'{k}=' || {v}" for k, v in parts)
+    day = lambda x: f"strftime(DATE '1970-01-01' + CAST({x} AS INT), '%Y-%m-%d')"
+    week = "[" + ", ".join(f"'{x}'" for x in FL.WEEKDAYS) + "]"
+    months = "[" + ", ".join(f"'{x}'" for x in FL.MONTHS) + "]"
+    blocks = []
+
+    def block(kind, source, **cells):
+        blocks.append("SELECT " + ", ".join(f"'{kind}' AS row_type" if c == "row_type" else f"coalesce(CAST({cells.get(c, chr(39) * 2)} AS VARCHAR), '') AS {c}" for c in FL.COLUMNS) + f" FROM {source}")
+
+    def advanced(kind, source, group, name, value, detail="''", score="''", year="''"):
+        block(kind, source, advanced_group=f"'{group}'", advanced_name=name, advanced_value=value, advanced_detail=detail, advanced_score=score, year=year)
+
+    of = lambda name: f"({exact(SQL[name])})"
+    sizes = f"{of('tag_summary')} sz, (SELECT count(*) AS labels FROM {of('tag_rows')}) lb"
+    block(
+        "overall", f"{of('file_totals')} f, {sizes}", entries=t("f.entries"), words=t("words"), reading_time_minutes=d("reading_minutes"), reading_time_label="reading_label", average_entry_words=d("selected_words"), average_entry_method="'median'",
+        average_entry_reading_minutes=d("selected_minutes"), average_entry_reading_label=_LABEL("selected_minutes"), created_fallback_count="created_fallbacks", updated_fallback_count="updated_fallbacks", tag_filtered_entries="sz.entries", tag_candidate_count="labels",
+        tag_mean_tags_per_note=d("mean_tags"), tag_median_tags_per_note=d("median_tags"),
+    )
+    block("year", of("file_years"), year="year", entries="entries", words="words", reading_time_minutes=d("reading_minutes"), reading_time_label="reading_label", created_fallback_count="created_fallbacks", updated_fallback_count="updated_fallbacks")
+    tag = dict(
+        label="label", tag_entry_count="r.entries", tag_average_words=d("r.mean_words"), tag_median_words=d("r.median_words"), tag_mean_word_delta=d("mean_delta"), tag_median_word_delta=d("median_delta"), tag_primary_weekday=f"{week}[weekday + 1]", tag_primary_weekday_share=d("weekday_share"),
+        tag_secondary_weekday=f"{week}[second_weekday + 1]", tag_secondary_weekday_share=f"CASE WHEN second_weekday IS NOT NULL THEN {d('second_share')} END", tag_dominant_month="month", tag_dominant_month_share=d("month_share"),
+    )
+    block("tag_overall", f"{of('tag_rows')} r, {sizes}", **tag, tag_filtered_entries="sz.entries", tag_candidate_count="labels")
+    block("tag_year", f"{of('tag_rows_by_year')} r JOIN (SELECT year, entries AS considered FROM {of('tag_coverage')}) USING (year) JOIN (SELECT year, count(*) AS labels FROM {of('tag_rows_by_year')} GROUP BY year) USING (year)", year="year", **tag, tag_filtered_entries="considered", tag_candidate_count="labels")
+    advanced("advanced_headline", f"({SQL['headline_cards_plain']})", "headline", "label", "value", "detail")
+    advanced("advanced_year", of("year_profiles"), "year_profile", "'productivity_mode'", "mode", said(("burstiness", d("burstiness")), ("concentration", d("concentration")), ("revisit_ratio", d("revisit_ratio"))), d("regime_shift"), "year")
+    advanced("advanced_tag_pair", of("tag_pair_lift"), "tag_structure", "\"left\" || ' + ' || \"right\"", "support", "'pair_lift'", d("lift"))
+    advanced("advanced_bridge_tag", of("bridge_tags"), "tag_structure", "tag", "n", said(("degree", t("degree"))), d("score"))
+    advanced("advanced_regime_shift", of("regime_shifts"), "hidden_structure", "from_year || '->' || to_year", d("score"), said(("tag", d("tag_change")), ("text", d("text_change")), ("volume", d("volume_change")), ("revision", d("revision_change")), ("cadence", d("cadence_change"))), d("score"), "to_year")
+    extra = lambda source, name, value, detail="''", score="''": advanced("extra_metric", source, "extra_metrics", f"'{name}'", value, detail, score)
+    extra(of("longest_streak"), "longest_writing_streak", "days", said(("start", day("first_day")), ("end", day("last_day")), ("entries", t("entries"))), d("days"))
+    hours = SQL["hour_activity"]
+    extra(f"(SELECT sum(entries) AS n FROM ({hours}))", "timed_entries", t("CAST(n AS BIGINT)"), score=d("n"))
+    for name, way in (("most_active_hour", "DESC"), ("quietest_active_hour", "ASC")):
+        extra(f"(SELECT * FROM ({hours}) WHERE entries > 0 ORDER BY entries {way}, hour LIMIT 1)", name, "printf('%02d:00', hour)", said(("entries", t("entries")), ("mean_words", "'0'")), d("entries"))
+    top = f"(SELECT count(*) AS shown, arg_max(tag, total) AS tag, max(total) AS total FROM (SELECT DISTINCT tag, total FROM {of('tag_year_heatmap')} ORDER BY total DESC, tag))"
+    extra(top, "displayed_heatmap_tags", "shown", score=d("shown"))
+    extra(top, "top_tag_in_scope", "tag", said(("count", d("total"))), d("total"))
+    advanced("extra_month", of("month_length_profile"), "extra_metrics", f"{months}[month]", "entries", said(("mean_words", d("mean_words")), ("median_words", d("median_words"))), d("mean_words"))
+    advanced("extra_hour", f"(SELECT * FROM ({hours}) WHERE entries > 0)", "extra_metrics", "printf('%02d:00', hour)", "entries", said(("mean_words", "'0'")), d("entries"))
+    advanced("extra_tag_frequency", f"(SELECT * FROM {of('tag_year_heatmap')} WHERE entries > 0)", "extra_metrics", "tag", "entries", "'tag_frequency_over_years'", d("entries"), "year")
+    advanced("structural_example_silence_gap", f"(SELECT * FROM {of('silence_gaps')} ORDER BY gap_days DESC, from_day LIMIT 5)", "structural_examples", "'silence_gap'", d("gap_days"), said(("before", "from_path"), ("after", "to_path")), d("gap_days"))
+    return " UNION ALL ".join(f"SELECT * FROM ({b})" for b in blocks)
+
+
+add("flat_export", flat_export, _flat_sql())
