@@ -129,8 +129,11 @@ class DeepScope:
 
 @dataclass(frozen=True)
 class RecommendConfig:
-    """Weights of a recommendation."""
+    """Which notes a recommendation reads, and its weights."""
 
+    indexing: bool = True
+    skip_hidden: bool = True
+    exclude_folders: tuple[str, ...] = ()
     out_link: float = 5.0
     back_link: float = 3.0
     shared_tag: float = 2.0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.config import CACHE_VERSION, AnalysisConfig
+from corpuslens.config import CACHE_VERSION, AnalysisConfig, RecommendConfig
 from corpuslens.functions import text as X
 from corpuslens.functions import timestamps as T
 
@@ -69,6 +69,35 @@ def parse(files: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> DataFr
     return rows.withColumn("word_count", F.size(X.words(F.col("text"))).cast("long")).withColumn("chronology_year", F.col("created.value.year"))
 
 
+def plain_tags(content: Column) -> Column:
+    """X28. The block's `tags` as they stand: items of a list (dashes or brackets), or one string; numbers, booleans and nulls are no tags."""
+    block = F.regexp_extract(F.replace(F.coalesce(content, F.lit("")), F.lit("\r\n"), F.lit("\n")), r"(?s)\A---\n(.*?)\n---(?:\n|\z)", 1)
+    value = F.rtrim(F.regexp_extract(block, r"(?m)^tags:[ \t]*(.*(?:\n[ \t]*-[ \t]+.*)*)", 1))
+    items = (
+        F.when(value.contains("\n"), F.split(F.regexp_replace(value, r"\A\s*-[ \t]+", ""), r"\n[ \t]*-[ \t]+"))
+        .when(value.startswith("["), F.split(F.regexp_replace(value, r"\A\[|\]\z", ""), ","))
+        .otherwise(F.array(value))
+    )
+    strings = F.filter(F.transform(items, F.trim), lambda x: ~F.rlike(x, F.lit(r"(?i)\A(?:[+-]?\d+(?:\.\d+)?|true|false|null|~|)\z")))
+    return F.transform(strings, lambda x: F.regexp_replace(x, "^([\"'])(.*)\\1$", "$2"))
+
+
+def note_index(files: DataFrame, config: RecommendConfig = RecommendConfig()) -> DataFrame:
+    """S10, X28, X29. What recommendations read: path, title, folder, tags, links, mtime, size and the first 600 characters.
+
+    Its scope is its own: a file whose name begins with a dot is hidden too, and excluded folders are compared with case.
+    """
+    path = F.col("path")
+    keep = F.lit(config.indexing)
+    if config.skip_hidden:
+        keep &= ~F.exists(F.split(path, "/"), lambda s: s.startswith("."))
+    for name in config.exclude_folders:
+        keep &= ~(path.startswith(name + "/") | (path == name))
+    title = F.regexp_replace(F.substring_index("path", "/", -1), r"\.md$", "")
+    text = F.coalesce("content", F.lit(""))
+    return files.where(keep).select("path", title.alias("title"), X.folder(path).alias("folder"), plain_tags(F.col("content")).alias("tags"), X.wiki_links(text).alias("links"), "mtime", "size", F.substring(text, 1, 600).alias("preview"))
+
+
 def to_notes(facts: DataFrame) -> DataFrame:
     """path, created, updated, word_count, tags, text: what the operators read."""
     stamp = lambda c: F.timestamp_millis(F.col(f"{c}.value.epoch_millis"))
@@ -119,7 +148,8 @@ class FeatureStore:
         facts.write.mode("overwrite").parquet(self.path + ".new")
         fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
         fs.delete(aside, True)
-        fs.rename(target, aside)
+        if fs.exists(target):
+            fs.rename(target, aside)
         fs.rename(beside, target)
         fs.delete(aside, True)
 

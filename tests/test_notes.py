@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslens.config import AnalysisConfig, parse_aliases, parse_lines, parse_years
+from corpuslens.config import AnalysisConfig, RecommendConfig, parse_aliases, parse_lines, parse_years
 from corpuslens.functions import czech, text, timestamps
 from corpuslens.sources import notes as N
 
@@ -81,3 +81,21 @@ def test_folder_store_and_export(spark, tmp_path):
     assert N.export_name("r", datetime.datetime(2024, 1, 2, 3, 4, 5), lambda n: n.endswith("05.md")) == "r-2024-01-02-030405-2.md"
     store.clear()
     assert store.load() is None
+
+
+def test_note_index(spark):
+    """S10, X28, X29: own scope with the file name and case, tags as written, preview of 600 characters."""
+    head = lambda tags: f"---\ntags: {tags}\n---\nbody [[a/B]]"
+    texts = {
+        "x.md": head("One, Two"), "f/list.md": "---\r\ntags:\r\n  - A b\r\n  - 3\r\n  - \"4\"\r\n---\r\n" + "y" * 700, "f/g/flow.md": head("[One, 'two', true]"), "f/.dot.md": head("a"), ".h/z.md": head("a"),
+        "Skip/a.md": head("a"), "skip/a.md": head("7"), "Skipped.md": "no block", "null.md": None,
+    }
+    files = spark.createDataFrame([(p, c, 5) for p, c in texts.items()], "path string, content string, size long").withColumn("mtime", F.lit(None).cast("timestamp"))
+    rows = {r["path"]: r for r in N.note_index(files, RecommendConfig(exclude_folders=("Skip",))).collect()}
+    assert set(rows) == {"x.md", "f/list.md", "f/g/flow.md", "skip/a.md", "Skipped.md", "null.md"}
+    assert {p: r["tags"] for p, r in rows.items()} == {"x.md": ["One, Two"], "f/list.md": ["A b", "4"], "f/g/flow.md": ["One", "two"], "skip/a.md": [], "Skipped.md": [], "null.md": []}
+    assert (rows["f/g/flow.md"]["title"], rows["f/g/flow.md"]["folder"], rows["x.md"]["folder"]) == ("flow", "f/g", "")
+    assert len(rows["f/list.md"]["preview"]) == 600 and rows["null.md"]["preview"] == ""
+    assert len(rows["x.md"]["links"]) == 1
+    assert N.note_index(files, RecommendConfig(indexing=False)).count() == 0
+    assert N.note_index(files, RecommendConfig(skip_hidden=False)).count() == len(texts)
