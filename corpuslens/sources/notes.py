@@ -78,7 +78,7 @@ def plain_tags(content: Column) -> Column:
         .when(value.startswith("["), F.split(F.regexp_replace(value, r"\A\[|\]\z", ""), ","))
         .otherwise(F.array(value))
     )
-    strings = F.filter(F.transform(items, F.trim), lambda x: ~F.rlike(x, F.lit(r"(?i)\A(?:[+-]?\d+(?:\.\d+)?|true|false|null|~|)\z")))
+    strings = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: ~F.rlike(x, F.lit(r"(?i)\A(?:[+-]?\d+(?:\.\d+)?|true|false|null|~|)\z")))
     return F.transform(strings, lambda x: F.regexp_replace(x, "^([\"'])(.*)\\1$", "$2"))
 
 
