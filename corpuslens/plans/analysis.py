@@ -26,7 +26,8 @@ def analyze(notes: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> dict
     return {
         "totals": C.totals(entries), "month_heatmap": C.month_heatmap(entries), "weekday_heatmap": C.weekday_heatmap(entries), "word_histogram": C.histogram(entries, "word_count"), "lag_histogram": C.histogram(entries.where("lag_days > 0"), "lag_days"),
         "month_profile": C.month_profile(entries), "tag_coverage": C.tag_coverage(entries), "tag_summary": C.tag_summary(scoped), "hours": C.hourly_activity(entries, "created", words="word_count"), "tag_years": C.tag_year_heatmap(scoped, config.min_tag_count), "tags": C.tag_rows(scoped, config.combination_size, config.min_tag_count), "tags_by_year": C.tag_rows(scoped, config.combination_size, config.min_tag_count, True),
-        "temporal": H.temporal(entries, strict=config.strict_parity), "year_profiles": H.year_profiles(entries, profiles), "text_years": B.year_profiles(texts), "headlines": RD.headlines(H.year_profiles(entries, profiles), pairs, shifts, **more), "readings": RD.structural_readings(H.year_profiles(entries, profiles), pairs, shifts, **(more | {"phrases": B.recurring_phrases(texts), "tags": B.tag_profiles(texts, config.min_tag_count)} if more else {})), "regime_shifts": shifts, "longest_streak": H.longest_streak(entries), "silence_gaps": H.silence_gaps(entries), **G.all_tag_structures(scoped, config.min_tag_count),
+        "temporal": H.temporal(entries, strict=config.strict_parity), "volume": H.volume(entries), "revision": H.revision(entries), "weekday_stability": H.weekday_stability(entries), "cadence_depth": H.cadence_depth_correlation(entries), "revision_length": H.revision_length_correlation(entries), "predominant_mode": H.predominant_mode(H.year_profiles(entries, profiles)),
+        "year_profiles": H.year_profiles(entries, profiles), "text_years": B.year_profiles(texts), "headlines": RD.headlines(H.year_profiles(entries, profiles), pairs, shifts, **more), "readings": RD.structural_readings(H.year_profiles(entries, profiles), pairs, shifts, **(more | {"phrases": B.recurring_phrases(texts), "tags": B.tag_profiles(texts, config.min_tag_count)} if more else {})), "regime_shifts": shifts, "longest_streak": H.longest_streak(entries), "silence_gaps": H.silence_gaps(entries), **G.all_tag_structures(scoped, config.min_tag_count),
         "lexical": B.lexical_by_year(texts), "novelty": B.novelty(texts), "month_climate": B.month_climate(texts), "openings": B.opening_signatures(texts), "opening_shift": openings, "phrases": B.recurring_phrases(texts), "tag_texts": B.tag_profiles(texts, config.min_tag_count),
         "records": B.record_sections(B.records(notes, texts)), "revision_examples": B.revision_examples(notes), "phrase_examples": B.phrase_examples(texts), "deep_years": N.deep_years(texts), "entities": N.candidates(found), "entity_pairs": N.pairs(found), "shift_examples": N.shift_examples(notes, shifts),
     }
