@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import pickle
 import tempfile
@@ -182,11 +183,49 @@ def word_spans(data: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.nd
     return change[0::2], change[1::2]
 
 
+def equal_spans(data: np.ndarray, starts: np.ndarray, others: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the span at each start has the bytes of the span of the same length at the other place."""
+    out = np.ones(len(starts), bool)
+    edge = np.cumsum(lengths)
+    for first, last in slices(np.concatenate([[0], edge])):
+        size = lengths[first:last]
+        begin = np.cumsum(size) - size
+        here = np.arange(int(size.sum())) + np.repeat(starts[first:last] - begin, size)
+        there = here + np.repeat(others[first:last] - starts[first:last], size)
+        unlike = np.flatnonzero(data[here] != data[there])
+        out[first + np.searchsorted(begin + size, unlike, side="right")] = False
+    return out
+
+
 def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """The distinct spans as bytes, and for each span the number of its distinct form."""
+    """The distinct spans as bytes, and for each span the number of its distinct form.
+
+    A hash only brings spans together; their bytes decide which of them are equal.
+    """
     if not len(starts):
         return [], np.empty(0, np.int64)
     hashes = SpanHash(data)(starts, ends)
     _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    inverse = inverse.ravel()
     whole = data.tobytes()
-    return [whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], inverse.ravel()
+    words = [whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    own = first[inverse]
+    size = ends - starts
+    same = size == size[own]
+    held = np.flatnonzero(same)
+    same[held] = equal_spans(data, starts[held], starts[own[held]], size[held])
+    if not same.all():  # one hash of different spans: these get numbers of their own
+        more: dict[bytes, int] = {}
+        for k in np.flatnonzero(~same).tolist():
+            inverse[k] = len(words) + more.setdefault(whole[starts[k] : ends[k]], len(more))
+        words += more
+    return words, inverse
+
+
+_SALT = b"corpuslens-spans"
+
+
+def digests(spans: list[bytes]) -> np.ndarray:
+    """A 64-bit salted BLAKE2 digest of each span."""
+    blake = hashlib.blake2b
+    return np.frombuffer(b"".join([blake(x, digest_size=8, salt=_SALT).digest() for x in spans]), np.uint64)

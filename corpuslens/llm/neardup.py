@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import SpanHash, column_bytes, discard, joined, map_arrow, materialize, mix, slices, word_spans
+from corpuslens.llm.common import column_bytes, digests, discard, distinct_spans, joined, map_arrow, materialize, mix, slices, word_spans
 from corpuslens.llm.components import connected_components
 
 ROWS = 5
@@ -46,12 +46,13 @@ def bands_for(percent: int) -> int:
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, first: int, last: int, width: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+    """The sorted distinct shingle hashes of each text, made of its words' BLAKE2 digests."""
     buffer, starts = joined(data, offsets, first, last)
     buffer = _LOWER[buffer]
     a, b = word_spans(buffer, _WORD)
     edges = np.searchsorted(a, starts)
-    word = SpanHash(buffer)(a, b) if len(a) else np.empty(0, np.uint64)
+    words, number = distinct_spans(buffer, a, b)
+    word = digests(words)[number]
     code = word.copy()
     for k in range(1, width):
         code = code[: max(0, len(word) - k)]

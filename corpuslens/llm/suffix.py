@@ -4,7 +4,7 @@ Matches of at least `length` bytes are found in three steps.
 
 1. Anchors. The smallest hash among the `K`-byte strings of a window of `length` bytes is its anchor, so equal
    windows have equal anchors at equal offsets. The windows of an anchor form a stretch of text. Anchors that
-   occur once have no repeated window; equal stretches (equal 64-bit digests at an equal 64-bit anchor) repeat in
+   occur once have no repeated window; equal stretches (equal BLAKE2 digests at an equal anchor) repeat in
    all their windows.
 2. Different stretches at equal anchors may share some windows only. They are cut into blocks of `BLOCK` bytes from
    the anchor on, and a suffix array of the block strings of many anchors is built by linear grouping: suffixes are
@@ -13,7 +13,7 @@ Matches of at least `length` bytes are found in three steps.
    blocks as any window must hold form families; the windows around a family's blocks are all that can repeat,
    and those whose bytes are equal do. Blocks and windows are compared byte by byte.
 3. An anchor with more than `MOST` different stretches would be too much for one task: it is a hot group, and its
-   windows are dealt out and counted by a 64-bit hash instead, which finds the same windows.
+   windows are dealt out and counted by their BLAKE2 digests instead, which finds the same windows.
 
 Only anchors whose stretches differ get a suffix array, since one costs about 5 microseconds a symbol in Python:
 over every byte of a corpus that is some 5,000 CPU seconds a GB.
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslens.llm.common import SpanHash, column_bytes, discard, map_arrow, materialize, mix, slices
+from corpuslens.llm.common import SpanHash, column_bytes, digests, discard, map_arrow, materialize, mix, slices
 
 K, BLOCK, MOST = 80, 16, 1000
 #: Symbols of a suffix array, at least; a task builds one after another.
@@ -250,7 +250,9 @@ def anchors_of(texts: list[np.ndarray], length: int):
     head = np.flatnonzero(fresh)
     low, high = window[head], window[np.append(head[1:], len(window)) - 1]
     anchor, text = chosen[head], text[head]
-    stretch = mix(span(low, high + length) + mix((anchor - low).astype(np.uint64)))
+    whole = buffer.tobytes()
+    stretch = digests([whole[i:j] for i, j in zip(low.tolist(), (high + length).tolist(), strict=True)])
+    stretch = mix(stretch + mix((anchor - low).astype(np.uint64)))
     return text, code[anchor].view(np.int64), stretch.view(np.int64), low - starts[text], high - low + 1, anchor - low
 
 
@@ -356,7 +358,8 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
                 part = data[offsets[a] : offsets[b]]
                 at = offsets[own] - offsets[a] + start
                 place = batch.column("at").to_numpy()[own] - start
-                code = mix(SpanHash(part)(at, at + length) + batch.column("a").to_numpy()[own].view(np.uint64) + mix(place.astype(np.uint64)))
+                string = part.tobytes()
+                code = mix(digests([string[i : i + length] for i in at.tolist()]) + batch.column("a").to_numpy()[own].view(np.uint64) + mix(place.astype(np.uint64)))
                 who = pa.array(own)
                 yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), batch.column("doc").take(who), batch.column("th").take(who), pa.array((batch.column("low").to_numpy()[own] + start).astype(np.int32))], ["w", "doc", "th", "low"])
 
