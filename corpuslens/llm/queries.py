@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import bpe, forest, langid, licenses, neardup, packing, suffix, topk, toxicity, urlfilter
+from corpuslens.llm import bpe, forest, langid, licenses, neardup, packing, suffix, topk, toxicity, urlfilter, whitening
 from corpuslens.llm.common import held_out, table
 
 
@@ -65,7 +65,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(table(spark, sf_dir, "documents"), 3, 85)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_nearest_neighbours, op3_byte_bpe, op4_suffix_dedup, op5_url_filters, op6_toxicity, op7_language_id, op8_license_scans, op9_exact_top_k, op10_minhash_near_dedup)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the leading components of their covariance, each of variance one."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_nearest_neighbours, op3_byte_bpe, op4_suffix_dedup, op5_url_filters, op6_toxicity, op7_language_id, op8_license_scans, op9_exact_top_k, op10_minhash_near_dedup, op11_embedding_whitening)}
 
 
 def _license_sql() -> str:
