@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import bpe, forest, langid, licenses, neardup, packing, suffix, topk, toxicity, urlfilter, whitening
+from corpuslens.llm import bpe, decontaminate, forest, langid, lexical, licenses, neardup, packing, suffix, topk, toxicity, urlfilter, whitening
 from corpuslens.llm.common import held_out, table
 
 
@@ -70,7 +70,18 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_nearest_neighbours, op3_byte_bpe, op4_suffix_dedup, op5_url_filters, op6_toxicity, op7_language_id, op8_license_scans, op9_exact_top_k, op10_minhash_near_dedup, op11_embedding_whitening)}
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of each benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents that stand in windows of ten words of benchmark items."""
+    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_nearest_neighbours, op3_byte_bpe, op4_suffix_dedup, op5_url_filters, op6_toxicity, op7_language_id, op8_license_scans, op9_exact_top_k, op10_minhash_near_dedup, op11_embedding_whitening, op12_ranked_search, op13_decontamination)}
 
 
 def _license_sql() -> str:
@@ -119,5 +130,35 @@ scored AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM scored QUALIFY rank <= 5"""
 
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = f"regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+SEARCH_SQL = f"""
+WITH split AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents),
+docs AS (SELECT r, doc_id, len(terms) AS n, terms FROM split WHERE len(terms) > 0),
+total AS (SELECT count(*) AS many, sum(n) AS length FROM docs),
+counts AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(many) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, total GROUP BY term),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+lengths AS (SELECT r, doc_id, 75 + CAST((25 * n * many) // length AS BIGINT) AS m FROM docs, total),
+scored AS (
+  SELECT item_id, r, any_value(doc_id) AS doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (r) GROUP BY item_id, r)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20"""
+
+_WORDS = f"regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+LEAKS_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS words FROM documents),
+items AS (SELECT item_id, words, least(10, len(words)) AS n FROM (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS words FROM benchmark WHERE item_id IS NOT NULL) WHERE len(words) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(words[i + 1 : i + n], ' ') AS w FROM (SELECT item_id, words, n, unnest(range(len(words) - n + 1)) AS i FROM items)),
+places AS (
+  SELECT r, p, n, array_to_string(words[p + 1 : p + n], ' ') AS w
+  FROM (SELECT r, words, n, unnest(range(len(words) - n + 1)) AS p FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(words) >= n)),
+hits AS (SELECT DISTINCT r, p, n, item_id FROM places JOIN windows USING (n, w)),
+words_hit AS (SELECT r, count(DISTINCT p + o) AS n_hit FROM (SELECT r, p, unnest(range(n)) AS o FROM hits) GROUP BY r),
+items_hit AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words_hit USING (r) LEFT JOIN items_hit USING (r)"""
+
 #: URL_SQL has no alias edges: it holds where the pages have no canonical or refresh link, as in the given tables.
-ORACLE_SQL = {"op5_url_filters": URL_SQL, "op8_license_scans": _license_sql(), "op9_exact_top_k": TOP_K_SQL}
+ORACLE_SQL = {"op5_url_filters": URL_SQL, "op8_license_scans": _license_sql(), "op9_exact_top_k": TOP_K_SQL, "op12_ranked_search": SEARCH_SQL, "op13_decontamination": LEAKS_SQL}
