@@ -14,7 +14,6 @@ from corpuslens.operators import rhythm as H
 from corpuslens.operators import tagstructure as G
 from corpuslens.plans import fixtures as X
 from corpuslens.sources import flat as FL
-from corpuslens.sources import notes as N
 from corpuslens.streaming import activity as S
 
 E = """WITH li AS (SELECT l_orderkey, CAST(sum(l_quantity) AS BIGINT) AS w, max(l_shipdate) AS u FROM lineitem GROUP BY 1),
@@ -323,14 +322,6 @@ for _name, _query in {
     add(f"sparse_{_name}", q_sparse(_query), SQL[_name].replace(E, E3))
 
 
-def export_all(spark, sf):
-    """The long export table of the tag structures."""
-    return N.export_rows(G.all_tag_structures(X.entries(spark, sf)))
-
-
-add("export_rows", export_all)
-
-
 def flat_tables(spark, sf):
     """What the registered flat export holds: files of facts(), entries of entries(), hours of the events."""
     e, files, events = X.entries(spark, sf), X.facts(spark, sf), X.table(spark, sf, "events")
@@ -396,4 +387,11 @@ def _flat_sql() -> str:
     return " UNION ALL ".join(f"SELECT * FROM ({b})" for b in blocks)
 
 
+def export_all(spark, sf):
+    """The flat export of the tag structures alone."""
+    own = G.qualified(X.entries(spark, sf))
+    return FL.flat_rows({"pair_lift": G.pair_lift(own), "bridge_tags": G.bridge_tags(own)}).select(*FL.COLUMNS)
+
+
 add("flat_export", flat_export, _flat_sql())
+add("export_rows", export_all, f"SELECT * FROM ({_flat_sql()}) WHERE row_type IN ('advanced_tag_pair', 'advanced_bridge_tag')")

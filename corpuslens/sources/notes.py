@@ -1,22 +1,36 @@
-"""Notes from a folder of Markdown files, the feature store that keeps what was parsed, and flat exports."""
+"""Notes from a folder of Markdown files, their parsing, and the files that exports are written to."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.config import CACHE_VERSION, AnalysisConfig, RecommendConfig
+from corpuslens.config import AnalysisConfig, RecommendConfig
 from corpuslens.functions import text as X
 from corpuslens.functions import timestamps as T
 
 SAMPLES = 20
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """S1. path (below root), content, ctime (unknown to Spark: null), mtime, size of every .md file. Spark's readers skip folders whose name begins with . or _."""
+def below(spark: SparkSession, root: str, path: Column, folders: int = 0) -> Column:
+    """The part of a file's full path that lies below root (and below so many folders in it)."""
+    start = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = start.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(start).toString()
+    inner = F.substr(path, F.lit(len(full.rstrip("/")) + 2))
+    for _ in range(folders):
+        inner = F.regexp_replace(inner, "^[^/]*/", "")
+    return inner
+
+
+def scan(spark: SparkSession, root: str, times: DataFrame | None = None) -> DataFrame:
+    """S1. path (below root), content, ctime, mtime, size of every .md file. Spark's readers skip folders whose name begins with . or _.
+
+    Spark does not know when a file was made: times (path, ctime) says it, from a listing of the storage; null without.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(root)
-    below = F.regexp_replace("path", "^.*?" + root.rstrip("/").split("://")[-1].lstrip("/").replace(".", r"\.") + "/", "")
-    return files.select(below.alias("path"), F.col("content").cast("string").alias("content"), F.lit(None).cast("timestamp").alias("ctime"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    rows = files.select(below(spark, root, F.col("path")).alias("path"), F.col("content").cast("string").alias("content"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    known = rows.withColumn("ctime", F.lit(None).cast("timestamp")) if times is None else rows.join(times.select("path", F.col("ctime").cast("timestamp").alias("ctime")).dropDuplicates(["path"]), "path", "left")
+    return known.select("path", "content", "ctime", "mtime", "size")
 
 
 def normalize_path(value: str) -> str:
@@ -104,84 +118,22 @@ def to_notes(facts: DataFrame) -> DataFrame:
     return facts.select("path", stamp("created").alias("created"), stamp("updated").alias("updated"), "word_count", "tags", "text")
 
 
-class FeatureStore:
-    """S11-S17. Parsed notes as Parquet, keyed by path, mtime, size and signature, in a folder for each version."""
-
-    def __init__(self, spark: SparkSession, root: str, config: AnalysisConfig):
-        self.spark, self.config = spark, config
-        self.path = f"{root.rstrip('/')}/v{CACHE_VERSION}"
-
-    def load(self) -> DataFrame | None:
-        """What is stored; None for an unknown version or none yet."""
-        try:
-            return self.spark.read.parquet(self.path)
-        except Exception as error:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-                return None
-            raise
-
-    def refresh(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Facts of all files (stored ones reused, the rest parsed) and counts reused, refreshed, dropped."""
-        signature = F.lit(self.config.signature())
-        stored = self.load()
-        if stored is None:
-            stale, reused = files, None
-        else:
-            keys = ["path", "mtime", "size"]
-            valid = stored.where(F.col("signature") == signature)
-            reused = valid.join(files.select(*keys), keys, "left_semi")
-            stale = files.join(valid.select(*keys), keys, "left_anti")
-        fresh = parse(stale, self.config).withColumn("signature", signature)
-        facts = fresh if reused is None else reused.unionByName(fresh)
-        dropped = self.spark.range(0).select(F.col("id").alias("n")) if stored is None else stored.join(files.select("path"), "path", "left_anti").select(F.lit(1).alias("n"))
-        counts = (reused.agg(F.count("*").alias("reused")) if reused is not None else self.spark.range(1).select(F.lit(0).cast("long").alias("reused"))).join(F.broadcast(fresh.agg(F.count("*").alias("refreshed")))).join(F.broadcast(dropped.agg(F.count("*").alias("dropped"))))
-        return facts, counts
-
-    def save(self, facts: DataFrame) -> None:
-        """Replace the stored facts: written beside them, the old ones moved aside, then the new ones put in their place.
-
-        At every moment the facts are whole in one of three folders; load() of a store that a crash left without its
-        folder finds none, and the next refresh parses anew.
-        """
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        target, beside, aside = (hadoop.Path(self.path + end) for end in ("", ".new", ".old"))
-        facts.write.mode("overwrite").parquet(self.path + ".new")
-        fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(aside, True)
-        if fs.exists(target):
-            fs.rename(target, aside)
-        fs.rename(beside, target)
-        fs.delete(aside, True)
-
-    def clear(self) -> None:
-        """S17."""
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-EXPORT = ["row_type", "scope", "year", "name", "value", "detail", "score"]
-
-
-def export_rows(tables: dict[str, DataFrame]) -> DataFrame:
-    """G15, U5. Small result tables as one long table: type, year, name, value, score."""
-    out = None
-    for kind, df in tables.items():
-        names = df.columns
-        label = next((c for c in ("tag", "label", "phrase", "term", "section", "mode", "left", "opening", "path") if c in names), None)
-        score = next((c for c in ("score", "lift", "bias", "delta", "share", "entries", "n") if c in names), None)
-        rows = df.select(
-            F.lit(kind).alias("row_type"), F.lit("all").alias("scope"), (F.col("year") if "year" in names else F.lit(None)).cast("int").alias("year"), (F.col(label) if label else F.lit(None)).cast("string").alias("name"),
-            (F.col("entries") if "entries" in names else F.lit(None)).cast("string").alias("value"), F.to_json(F.struct(*names)).alias("detail"), (F.col(score) if score else F.lit(None)).cast("double").alias("score"),
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
 def write_csv(rows: DataFrame, path: str) -> None:
     """S19. One file with a header; quotes doubled, empty cells empty, values untrimmed."""
     rows.coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
+def write_text(spark: SparkSession, folder: str, base: str, text: str, now) -> str:
+    """S18. Write a report as a new Markdown file of the folder, under the first free name; returns its path."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    path = f"{folder.rstrip('/')}/{export_name(base, now, lambda name: files.exists(hadoop.Path(f'{folder}/{name}')))}"
+    out = files.create(hadoop.Path(path), False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    return path
+
+
 def export_name(base: str, now, taken) -> str:
     """S18. base-YYYY-MM-DD-HHMMSS.md, with -2 to -999 where it is taken."""
     stem = f"{base}-{now:%Y-%m-%d-%H%M%S}"
@@ -190,13 +142,3 @@ def export_name(base: str, now, taken) -> str:
             return f"{stem}{k}.md"
     raise FileExistsError(stem)
 
-
-def markdown_report(tables: dict[str, DataFrame], rows: int = 10) -> str:
-    """G16. A section for each table, of its first rows."""
-    parts = ["# Corpus report", ""]
-    for name, df in tables.items():
-        parts += [f"## {name.replace('_', ' ').capitalize()}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-        for row in df.limit(rows).collect():
-            parts.append("| " + " | ".join("–" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v).replace("|", r"\|") for v in row) + " |")
-        parts.append("")
-    return "\n".join(parts)

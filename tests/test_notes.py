@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuslens.config import AnalysisConfig, RecommendConfig, parse_aliases, parse_lines, parse_years
 from corpuslens.functions import czech, text, timestamps
 from corpuslens.sources import notes as N
+from corpuslens.sources.store import FeatureStore
 
 WORDS = [("[[note]]", 0), ("[[note|alias text]]", 2), ("![[img.png]]", 0), ("[label](http://x)", 1), ("```\ncode\n~~~\nmore\n```\nout", 1), ("in\n```\nrest", 1), ("a `code` b", 2), ("a `b", 2), ("--- ABC 12", 0), ("a - b – c", 3), ("- [x] done", 1), ("1) one", 1), ("> quote", 1), ("## H", 1), ("", 0), (None, 0)]
 
@@ -65,22 +66,22 @@ def test_folder_store_and_export(spark, tmp_path):
     summary = N.scope_summary(listed, AnalysisConfig(ignored_folders=("old",), scope_mode="exclude", folders=("b/c",))).first()
     assert (summary.total, summary.matched, summary.hidden, summary.ignored, summary.scope, summary["sample"]) == (4, 1, 1, 1, 1, ["a.md"])
     own = files.where(N.exclusion_reason(config, F.col("path")).isNull())
-    store = N.FeatureStore(spark, str(tmp_path / "store"), config)
-    facts, counts = store.refresh(own)
-    assert tuple(counts.first()) == (0, 2, 0)
-    store.save(facts)
-    again, counts = store.refresh(own.where("path = 'a.md'"))
-    assert tuple(counts.first()) == (1, 0, 1)
+    store = FeatureStore(spark, str(tmp_path / "store"), config)
+    facts, counts = store.update(own)
+    assert (counts["reused"], counts["refreshed"], counts["dropped"]) == (0, 2, 0)
+    again, counts = store.update(own.where("path = 'a.md'"), own)
+    assert (counts["reused"], counts["refreshed"], counts["dropped"]) == (1, 0, 0)
     a = again.first()
     assert a.created.source == "frontmatter" and a.created.value.year == 2021 and a.tags == ["x", "y"] and a.links == ["b.md"] and a.word_count == 2
     b = facts.where("path = 'b.md'").first()
     assert (b.created.issue, b.created.source) == ("invalid", "filesystem-ctime")
-    N.write_csv(N.export_rows({"notes": again.select("path", F.lit(1).alias("n"))}), str(tmp_path / "csv"))
+    N.write_csv(again.select("path", F.lit(1).alias("n")), str(tmp_path / "csv"))
     assert list((tmp_path / "csv").glob("*.csv"))
-    assert "## Notes" in N.markdown_report({"notes": again.select("path")})
+    now = datetime.datetime(2024, 1, 2, 3, 4, 5)
+    names = [N.write_text(spark, str(tmp_path), "report", f"# {k}", now) for k in range(3)]
+    assert [n.rpartition("/")[2] for n in names] == ["report-2024-01-02-030405.md", "report-2024-01-02-030405-2.md", "report-2024-01-02-030405-3.md"]
+    assert (tmp_path / "report-2024-01-02-030405-2.md").read_text() == "# 1"
     assert N.export_name("r", datetime.datetime(2024, 1, 2, 3, 4, 5), lambda n: n.endswith("05.md")) == "r-2024-01-02-030405-2.md"
-    store.clear()
-    assert store.load() is None
 
 
 def test_note_index(spark):
