@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import timestamps as T
+from corpuslens.operators import ranks as R
 from corpuslens.operators.tagstructure import tag_distribution
 
 
+#: The names of the seasons, from December on.
+SEASONS = ("Winter", "Spring", "Summer", "Autumn")
+
+
 def day_activity(entries: DataFrame, *group: str) -> DataFrame:
     """W1. One row for each day with entries; what follows works on at most 366 rows a year."""
     return entries.groupBy(*group, "epoch_day").agg(F.count("*").alias("entries"), F.sum("word_count").alias("words"))
@@ -26,74 +31,121 @@ def streaks(entries: DataFrame, *group: str) -> DataFrame:
     return day_activity(entries, *group).withColumn("island", F.col("epoch_day") - F.row_number().over(w)).groupBy(*group, "island").agg(F.min("epoch_day").alias("first_day"), F.max("epoch_day").alias("last_day"), F.count("*").alias("days"), F.sum("entries").alias("entries")).drop("island")
 
 
-def season_asymmetry(entries: DataFrame, *group: str) -> DataFrame:
-    """A25. Largest minus smallest season score; a score is the mean of the season's shares of entries, words and revisions."""
-    marked = entries.select(*group, T.season(F.col("month")).alias("season"), "word_count", F.coalesce((F.col("lag_days") > 0).cast("int"), F.lit(0)).alias("revised"))
-    cells = marked.groupBy(*group, "season").agg(F.count("*").alias("n"), F.sum("word_count").alias("w"), F.sum("revised").alias("r"))
-    totals = marked.groupBy(*group).agg(F.count("*").alias("tn"), F.sum("word_count").alias("tw"), F.sum("revised").alias("tr"))
-    grid = totals.withColumn("season", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    share = lambda a, t: F.when(F.col(t) > 0, zero(a) / F.col(t)).otherwise(0.0)
-    kinds = sum(((F.col(t) > 0).cast("int") for t in ("tn", "tw", "tr")), F.lit(0))
-    scored = grid.join(cells, [*group, "season"], "left").select(*group, "season", ((share("n", "tn") + share("w", "tw") + share("r", "tr")) / F.greatest(kinds, F.lit(1))).alias("score"))
-    return scored.groupBy(*group).agg((F.max("score") - F.min("score")).alias("season_asymmetry"), F.min_by("season", F.struct(-F.col("score"), F.col("season"))).alias("top_season"))
+def _days(entries: DataFrame, *group: str) -> DataFrame:
+    """One row a day: entries, words, revised entries. All of the temporal measures come from this table."""
+    revised = F.count_if(F.col("lag_days") > 0)
+    return entries.groupBy(*group, "epoch_day", "month").agg(F.count("*").alias("entries"), F.sum("word_count").alias("words"), revised.alias("revised"))
+
+
+def _season_scores() -> list[Column]:
+    """A25. By season the mean of its shares of entries, words and revisions, over days."""
+    own = lambda c, s: F.sum(F.when(T.season(F.col("month")) == s, F.col(c)).otherwise(0))
+    share = lambda c, s: F.when(F.sum(c) > 0, own(c, s) / F.sum(c)).otherwise(0.0)
+    kinds = sum(((F.sum(c) > 0).cast("int") for c in ("entries", "words", "revised")), F.lit(0))
+    return [(share("entries", s) + share("words", s) + share("revised", s)) / F.greatest(kinds, F.lit(1)) for s in range(4)]
+
+
+def _top_season() -> Column:
+    """The first season of the largest score."""
+    return F.element_at(F.array(*map(F.lit, SEASONS)), F.array_position("scores", F.array_max("scores")).cast("int"))
 
 
 def temporal(entries: DataFrame, *group: str, strict: bool = True) -> DataFrame:
-    """W4, M6. Burstiness, longest gap, 90th percentile of the gaps, share of long silences, fragility, season asymmetry.
+    """W4, M6, A25. Burstiness, longest gap, 90th percentile of the gaps, share of long silences, fragility, season
+    asymmetry and the strongest season; one pass over the entries, then windows over days (at most 366 a year).
 
     strict: the percentile reads the gaps in their order in time, not sorted.
     """
-    gaps = intervals(entries, *group)
+    order = Window.partitionBy(*group).orderBy("epoch_day")
+    day, every = F.col("epoch_day"), Window.partitionBy(*group)
+    before = F.lag("epoch_day").over(order)
+    gap = F.when(before.isNotNull(), F.greatest(F.lit(1), day - before))
+    many, turn = F.count("*").over(every) - 1, F.row_number().over(order) - 2  # of the gaps; the first day has none
+    begins = before.isNull() | (day - before != 1)
+    long_run = F.coalesce(F.lead("epoch_day", 2).over(order) == day + 2, F.lit(False))
+    rows = _days(entries, *group).select("*", gap.alias("gap"), many.alias("many"), turn.alias("turn"), begins.alias("begins"), (begins & ~long_run).alias("short"))
+    at = (F.col("many") - 1) * F.lit(0.9)
+    picked = lambda place: F.max(F.when(F.col("turn") == place(at), F.col("gap")))
+    low, high, past = picked(F.floor), picked(F.ceil), F.max(at) - F.floor(F.max(at))
+    p90 = (low + (high - low) * past if strict else F.percentile("gap", 0.9)) - 1  # a silence is a day shorter than its gap
     spread, mean = F.stddev_pop("gap"), F.avg("gap")
-    stats = gaps.groupBy(*group).agg(F.when((F.count("*") >= 2) & (spread + mean > 0), (spread - mean) / (spread + mean)).otherwise(0.0).alias("burstiness"), (F.max("gap") - 1).alias("longest_gap"), F.percentile("gap", 0.9).alias("sorted_p90"), F.avg((F.col("gap") >= 30).cast("double")).alias("long_silences"), F.count("*").alias("n"))
-    if strict:
-        w = Window.partitionBy(*group).orderBy("epoch_day")
-        placed = gaps.withColumn("place", F.row_number().over(w) - 1).join(stats.select(*group, "n") if group else F.broadcast(stats.select("n")), list(group) or None)
-        at = (F.col("n") - 1) * F.lit(0.9)
-        low, high = F.max(F.when(F.col("place") == F.floor(at), F.col("gap"))), F.max(F.when(F.col("place") == F.ceil(at), F.col("gap")))
-        p90 = placed.groupBy(*group).agg((low + (high - low) * (F.max(at) - F.floor(F.max(at)))).alias("p90_gap"))
-    else:
-        p90 = stats.select(*group, F.col("sorted_p90").alias("p90_gap"))
-    runs = streaks(entries, *group).groupBy(*group).agg(F.when(F.sum("days") >= 2, F.avg((F.col("days") <= 2).cast("double"))).otherwise(0.0).alias("fragility"))
-    out = season_asymmetry(entries, *group)
-    for part in (runs, stats.drop("sorted_p90", "n"), p90):
-        out = out.join(part, list(group), "left") if group else out.join(F.broadcast(part), how="left")
-    zero = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("burstiness", "longest_gap", "p90_gap", "long_silences", "fragility")]
-    return out.select(*group, *zero, "season_asymmetry")
+    out = rows.groupBy(*group).agg(
+        F.count("*").alias("n_days"), F.when((F.count("gap") >= 2) & (spread + mean > 0), (spread - mean) / (spread + mean)).otherwise(0.0).alias("burstiness"),
+        F.coalesce(F.max("gap") - 1, F.lit(0.0)).alias("longest_gap"), F.coalesce(p90, F.lit(0.0)).alias("p90_gap"), F.coalesce(F.avg((F.col("gap") > 30).cast("double")), F.lit(0.0)).alias("long_silences"),
+        F.when(F.count("*") >= 2, F.count_if("short") / F.count_if("begins")).otherwise(0.0).alias("fragility"), F.array(*_season_scores()).alias("scores"),
+    )
+    shown = ["burstiness", "longest_gap", "p90_gap", "long_silences", "fragility"]
+    return out.where("n_days > 0").select(*group, *shown, (F.array_max("scores") - F.array_min("scores")).alias("season_asymmetry"), _top_season().alias("dominant_season"))
 
 
 def volume(entries: DataFrame, *group: str) -> DataFrame:
-    """A23, M8. Skew, tail ratio, short to long notes, concentration of the words over months."""
+    """A23, M8. Skew, tail ratio, short to long notes, concentration of the words over months.
+
+    From one table of how many notes of a month have how many words; a percentile's buffer holds the lengths that occur,
+    at most as many as the longest note has words.
+    """
     keys = list(group)
-    cells = entries.groupBy(*dict.fromkeys([*group, "year", "month"])).agg(F.sum("word_count").alias("words"))
-    herfindahl = cells.groupBy(*group).agg(F.sum("words").alias("all_words"), F.sum(F.col("words").cast("double") * F.col("words")).alias("squares"))
-    stats = entries.groupBy(*group).agg(F.avg("word_count").alias("mean"), F.median("word_count").alias("median"), F.stddev_pop("word_count").alias("sd"), F.percentile("word_count", 0.9).alias("p90"))
-    joined = entries.select(*group, "word_count").join(F.broadcast(stats.select(*group, "median")), keys or None)
-    ends = joined.groupBy(*group).agg(F.count_if(F.col("word_count") <= 0.5 * F.col("median")).alias("short"), F.count_if(F.col("word_count") >= 1.5 * F.col("median")).alias("long"))
+    cells = entries.groupBy(*dict.fromkeys([*group, "year", "month", "word_count"])).agg(F.count("*").alias("n"))
+    months = cells.groupBy(*dict.fromkeys([*group, "year", "month"])).agg(F.sum(F.col("n") * F.col("word_count")).alias("words"))
+    squares = F.sum(F.col("words").cast("double") * F.col("words"))
+    herfindahl = months.groupBy(*group).agg(F.when(F.sum("words") > 0, squares / F.pow(F.sum("words").cast("double"), 2)).otherwise(0.0).alias("concentration"))
+    n, one, two = (F.sum(F.col("n") * F.pow(F.col("word_count").cast("decimal(18,0)"), F.lit(k)) if k > 1 else F.col("n") * F.col("word_count") if k else F.col("n")).cast("double") for k in range(3))
+    quantiles = F.percentile("word_count", F.array(F.lit(0.5), F.lit(0.9)), F.col("n"))
+    stats = cells.groupBy(*group).agg(n.alias("n_notes"), one.alias("s1"), two.alias("s2"), quantiles.alias("q"))
+    stats = stats.select(*group, (F.col("s1") / F.col("n_notes")).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("s2") * F.col("n_notes") - F.col("s1") * F.col("s1"))).alias("root"), "n_notes", F.col("q")[0].alias("median"), F.col("q")[1].alias("p90"))
+    joined = cells.select(*group, "word_count", "n").join(F.broadcast(stats.select(*group, "median")), keys or None)
+    some = lambda condition: F.sum(F.when(condition, F.col("n")).otherwise(0))
+    ends = joined.groupBy(*group).agg(some(F.col("word_count") <= 0.5 * F.col("median")).alias("short"), some(F.col("word_count") >= 1.5 * F.col("median")).alias("long"))
     both = stats.join(ends, keys).join(herfindahl, keys) if keys else stats.join(F.broadcast(ends)).join(F.broadcast(herfindahl))
+    sd = F.col("root") / F.col("n_notes")
     return both.select(
-        *group,
-        F.when(F.col("sd") > 0, 3 * (F.col("mean") - F.col("median")) / F.col("sd")).otherwise(0.0).alias("skew"),
-        F.when(F.col("median") > 0, F.col("p90") / F.col("median")).otherwise(0.0).alias("tail_ratio"),
-        ((F.col("short") + 1) / (F.col("long") + 1)).alias("short_long"),
-        F.when(F.col("all_words") > 0, F.col("squares") / F.pow(F.col("all_words").cast("double"), 2)).otherwise(0.0).alias("concentration"),
-    )
+        *group, F.when(sd > 0, 3 * (F.col("mean") - F.col("median")) / sd).otherwise(0.0).alias("skew"), F.when(F.col("median") > 0, F.col("p90") / F.col("median")).otherwise(0.0).alias("tail_ratio"),
+        ((F.col("short") + 1) / (F.col("long") + 1)).alias("short_long"), "concentration",
+    )
 
 
-def revision(entries: DataFrame, *group: str) -> DataFrame:
-    """A24, M5. Usable and revisited entries, lags, half-life (weighted median lag), intensity."""
-    keys = list(group)
+def revisits(entries: DataFrame, *group: str) -> DataFrame:
+    """A24. Usable and revisited entries, their ratio, the largest lag, intensity: what needs no order of the lags."""
     positive = F.when(F.col("lag_days") > 0, F.col("lag_days"))
     main = entries.groupBy(*group).agg(
-        F.count("lag_days").alias("usable"), F.count(positive).alias("revisited"), F.coalesce(F.median(positive), F.lit(0.0)).alias("median_lag"), F.coalesce(F.percentile(positive, 0.9), F.lit(0.0)).alias("p90_lag"),
-        F.coalesce(F.max(positive), F.lit(0.0)).alias("max_lag"), F.coalesce(F.sum(F.col("word_count") * F.log1p(positive)), F.lit(0.0)).alias("intensity"), F.sum("word_count").alias("words"),
+        F.count("lag_days").alias("usable"), F.count(positive).alias("revisited"), F.coalesce(F.max(positive), F.lit(0.0)).alias("max_lag"),
+        F.coalesce(F.sum(F.col("word_count") * F.log1p(positive)), F.lit(0.0)).alias("intensity"), F.sum("word_count").alias("words"),
     )
-    weights = entries.where("lag_days > 0").groupBy(*group, "lag_days").agg(F.sum(F.greatest(F.lit(1), F.col("word_count"))).alias("weight"))
-    w = Window.partitionBy(*group).orderBy("lag_days")
-    half = weights.withColumn("run", F.sum("weight").over(w)).withColumn("total", F.sum("weight").over(Window.partitionBy(*group))).where("run >= total / 2").groupBy(*group).agg(F.min("lag_days").alias("half_life"))
-    both = main.join(half, keys, "left") if keys else main.join(F.broadcast(half), how="left")
-    return both.select(*group, "usable", "revisited", F.when(F.col("usable") > 0, F.col("revisited") / F.col("usable")).otherwise(0.0).alias("revisit_ratio"), "median_lag", "p90_lag", "max_lag", F.coalesce("half_life", F.lit(0.0)).alias("half_life"), "intensity", F.when(F.col("words") > 0, F.col("intensity") / F.col("words")).otherwise(0.0).alias("intensity_per_word"))
+    ratio = F.when(F.col("usable") > 0, F.col("revisited") / F.col("usable")).otherwise(0.0)
+    each = F.when(F.col("words") > 0, F.col("intensity") / F.col("words")).otherwise(0.0)
+    return main.select(*group, "usable", "revisited", ratio.alias("revisit_ratio"), "max_lag", "intensity", each.alias("intensity_per_word"))
+
+
+def lag_ranks(entries: DataFrame, *group: str) -> DataFrame:
+    """A24, M3, M5. Median and 90th percentile of the positive lags, and the half-life (weighted median lag), in days.
+
+    Lags are whole milliseconds; their ranks are found by histograms (see ranks), so no task sorts or holds all lags.
+    """
+    keys = list(group)
+    key = F.round(F.col("lag_days") * T.DAY).cast("long").alias("key")
+    cells = entries.where("lag_days > 0").groupBy(*group, key).agg(F.count("*").alias("n"), F.sum(F.greatest(F.lit(1), F.col("word_count"))).alias("weight"))
+    totals = cells.groupBy(*group).agg(F.sum("n").alias("n_all"), F.sum("weight").alias("w_all")).where("n_all > 0")
+    many = F.col("n_all")
+    wanted = {"half": ("weight", F.col("w_all") / 2)}
+    for name, share in (("median", 0.5), ("p90", 0.9)):
+        low, high, _ = R.place(many, share)
+        wanted |= {f"{name}_low": ("n", low), f"{name}_high": ("n", high)}
+    ranks = totals.select(*group, F.explode(F.array(*(F.struct(F.lit(k).alias("rank"), F.lit(kind).alias("kind"), goal.cast("decimal(38,1)").alias("goal")) for k, (kind, goal) in wanted.items()))).alias("r"))
+    found = R.search(cells, ranks.select(*group, "r.*"), keys)
+    value = lambda k: (F.max(F.when(F.col("rank") == k, F.col("value"))) / F.lit(T.DAY)).alias(k)
+    wide = found.groupBy(*group).agg(*map(value, wanted))
+    both = wide.join(totals, keys) if keys else wide.join(F.broadcast(totals))
+    mid = lambda k, share: R.between(F.col(f"{k}_low"), F.col(f"{k}_high"), R.place(many, share)[2])
+    return both.select(*group, mid("median", 0.5).alias("median_lag"), mid("p90", 0.9).alias("p90_lag"), F.col("half").alias("half_life"))
+
+
+def revision(entries: DataFrame, *group: str) -> DataFrame:
+    """A24, M5. Usable and revisited entries, lags, half-life (weighted median lag), intensity."""
+    keys = list(group)
+    main, ordered = revisits(entries, *group), lag_ranks(entries, *group)
+    both = main.join(ordered, keys, "left") if keys else main.join(F.broadcast(ordered), how="left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return both.select(*group, "usable", "revisited", "revisit_ratio", zero("median_lag"), zero("p90_lag"), "max_lag", zero("half_life"), "intensity", "intensity_per_word")
 
 
 def weekday_stability(entries: DataFrame) -> DataFrame:
@@ -153,12 +205,19 @@ def silence_gaps(entries: DataFrame, k: int = 25) -> DataFrame:
     return rows
 
 
-def year_profiles(entries: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """G14, W13. A row for each year with its structure, tags, change from the year before and productivity mode."""
+def years(entries: DataFrame, strict: bool = True) -> DataFrame:
+    """A row for each year that everything by year is made of: totals, temporal measures and revisits."""
     base = entries.groupBy("year").agg(F.count("*").alias("entries"), F.sum("word_count").alias("words"), F.avg("word_count").alias("mean_words"))
-    joined = base.join(temporal(entries, "year"), "year").join(volume(entries, "year"), "year").join(revision(entries, "year").select("year", "revisit_ratio", "half_life", "intensity_per_word"), "year")
+    return base.join(temporal(entries, "year", strict=strict), "year").join(revisits(entries, "year").select("year", "revisit_ratio", "intensity_per_word", F.col("intensity").alias("revision_weighted_words")), "year")
+
+
+def year_profiles(entries: DataFrame, texts: DataFrame | None = None, strict: bool = True) -> DataFrame:
+    """G14, W13. A row for each year with its structure, tags, change from the year before and productivity mode."""
+    base = years(entries, strict)
+    lags = lag_ranks(entries, "year").select("year", "median_lag", "half_life")
+    joined = base.join(volume(entries, "year"), "year").join(lags, "year", "left").na.fill(0.0, ["median_lag", "half_life"])
     tags = tag_distribution(entries).where("year is not null").select("year", F.col("entropy").alias("tag_entropy"), F.col("concentration").alias("tag_concentration"))
-    shifts = regime_shifts(entries, texts=texts).select(F.col("to_year").alias("year"), F.col("score").alias("regime_shift"))
+    shifts = regime_shifts(entries, strict, texts, base).select(F.col("to_year").alias("year"), F.col("score").alias("regime_shift"))
     joined = joined.join(tags, "year", "left").join(shifts, "year", "left")
     mid = joined.agg(F.percentile("entries", 0.5).alias("m_n"), F.percentile("mean_words", 0.5).alias("m_w"), F.percentile("concentration", 0.5).alias("m_c"), F.percentile("intensity_per_word", 0.5).alias("m_r"))
     mode = (
@@ -203,15 +262,16 @@ def text_change(profiles: DataFrame) -> DataFrame:
     return rows.where("from_year is not null").select("from_year", F.col("year").alias("to_year"), change.alias("text_change"))
 
 
-def regime_shifts(entries: DataFrame, strict: bool = True, texts: DataFrame | None = None) -> DataFrame:
+def regime_shifts(entries: DataFrame, strict: bool = True, texts: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """W8, J11, O7. How much each year differs from the one before it that has entries; the largest change first.
 
     texts: the years' text profiles; where both years have one, the text counts too and the weights differ.
+    known: years(), if there already.
     """
-    parts = entries.groupBy("year").agg(F.sum("word_count").alias("words"))
-    profiles = parts.join(temporal(entries, "year", strict=strict).select("year", "burstiness"), "year").join(revision(entries, "year").select("year", "revisit_ratio"), "year")
-    old = profiles.select(*[F.col(c).alias(f"old_{c}") for c in profiles.columns])
-    both = tag_change(entries, strict).join(profiles, "year").join(old, F.col("before") == F.col("old_year"))
+    names = ["words", "revisit_ratio", "burstiness"]
+    before = Window.partitionBy().orderBy("year")  # one row a year
+    profiles = (known if known is not None else years(entries, strict)).select("year", *names, *(F.lag(c).over(before).alias(f"old_{c}") for c in names))
+    both = tag_change(entries, strict).join(profiles, "year")
     one = F.lit(1.0)
     parts = both.select(
         F.col("before").alias("from_year"), F.col("year").alias("to_year"), "tag_change", F.least(one, F.abs(F.ln((F.col("words") + 1) / (F.col("old_words") + 1)))).alias("volume_change"),

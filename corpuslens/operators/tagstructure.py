@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import timestamps as T
@@ -24,28 +24,58 @@ def tag_counts(entries: DataFrame) -> DataFrame:
     return entries.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
+def _pairs(tags: Column) -> Column:
+    return F.flatten(F.transform(tags, lambda a: F.transform(F.filter(tags, lambda b: b > a), lambda b: F.struct(a.alias("left"), b.alias("right")))))
+
+
 def pair_counts(entries: DataFrame) -> DataFrame:
     """J3. Unordered pairs of tags of one entry, left before right."""
-    pairs = F.flatten(F.transform("tags", lambda a: F.transform(F.filter("tags", lambda b: b > a), lambda b: F.struct(a.alias("left"), b.alias("right")))))
-    return entries.select(F.explode(pairs).alias("p")).groupBy("p.left", "p.right").agg(F.count("*").alias("support"))
+    return entries.select(F.explode(_pairs(F.col("tags"))).alias("p")).groupBy("p.left", "p.right").agg(F.count("*").alias("support"))
+
+
+def tag_grain(entries: DataFrame) -> DataFrame:
+    """left, right, support in one pass: pairs of tags, single tags (right null) and all entries (both null)."""
+    none = F.lit(None).cast("string")
+    one = lambda a: F.struct(a.alias("left"), none.alias("right"))
+    cells = F.concat(F.array(one(none)), F.transform("tags", one), _pairs(F.col("tags")))
+    return entries.select(F.explode(cells).alias("p")).groupBy("p.left", "p.right").agg(F.count("*").alias("support"))
+
+
+def _single(grain: DataFrame) -> DataFrame:
+    return grain.where("left is not null and right is null").select(F.col("left").alias("tag"), F.col("support").alias("n"))
 
 
 def pair_lift(entries: DataFrame, top: int = TOP) -> DataFrame:
     """A29, J4. Lift of pairs with support of two or more."""
-    counts, n = tag_counts(entries), entries.agg(F.count("*").alias("entries"))
-    both = pair_counts(entries).where("support >= 2").join(counts.select(F.col("tag").alias("left"), F.col("n").alias("nl")), "left").join(counts.select(F.col("tag").alias("right"), F.col("n").alias("nr")), "right").join(F.broadcast(n))
+    grain = tag_grain(entries)
+    counts, n = _single(grain), grain.where("left is null").select(F.col("support").alias("entries"))
+    pairs = grain.where("right is not null and support >= 2")
+    both = pairs.join(counts.select(F.col("tag").alias("left"), F.col("n").alias("nl")), "left").join(counts.select(F.col("tag").alias("right"), F.col("n").alias("nr")), "right").join(F.broadcast(n))
     lift = (F.col("support") / F.col("entries")) / ((F.col("nl") / F.col("entries")) * (F.col("nr") / F.col("entries")))
     return both.select("left", "right", "support", lift.alias("lift")).orderBy(F.desc("lift"), F.desc("support"), "left", "right").limit(top)
 
 
+def triangles(edges: DataFrame) -> DataFrame:
+    """tag, closed: in how many triangles of the edges (left, right; each once) a tag is.
+
+    Edges go from the tag of fewer neighbours to that of more. Then no tag has more than sqrt(2 E) of them going out, so
+    the wedges that are met at their low end are at most E ** 1.5, whatever hub there is.
+    """
+    ends = edges.select(F.explode(F.array("left", "right")).alias("tag")).groupBy("tag").agg(F.count("*").alias("degree"))
+    ranked = edges.join(ends.select(F.col("tag").alias("left"), F.col("degree").alias("dl")), "left").join(ends.select(F.col("tag").alias("right"), F.col("degree").alias("dr")), "right")
+    l, r = F.struct(F.col("dl").alias("d"), F.col("left").alias("t")), F.struct(F.col("dr").alias("d"), F.col("right").alias("t"))
+    directed = ranked.select(F.least(l, r).alias("a"), F.greatest(l, r).alias("b"))
+    wedges = directed.join(directed.withColumnRenamed("b", "c"), "a").where("b < c").select("a", "b", "c")
+    closed = wedges.join(directed.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"])
+    return closed.select(F.explode(F.array("a.t", "b.t", "c.t")).alias("tag")).groupBy("tag").agg(F.count("*").alias("closed"))
+
+
 def bridge_tags(entries: DataFrame, top: int = TOP) -> DataFrame:
     """A30, J5, M11. Degree x (1 - clustering) x ln(1 + frequency)."""
-    pairs = pair_counts(entries).select("left", "right")
-    edges = pairs.select(F.col("left").alias("tag"), F.col("right").alias("other")).unionByName(pairs.select(F.col("right").alias("tag"), F.col("left").alias("other")))
-    degree = edges.groupBy("tag").agg(F.count("*").alias("degree"))
-    wedges = edges.join(edges.select("tag", F.col("other").alias("third")), "tag").where("other < third")
-    closed = wedges.join(pairs.select(F.col("left").alias("other"), F.col("right").alias("third")), ["other", "third"]).groupBy("tag").agg(F.count("*").alias("closed"))
-    rows = tag_counts(entries).join(degree, "tag", "left").join(closed, "tag", "left").na.fill(0, ["degree", "closed"])
+    grain = tag_grain(entries)
+    pairs = grain.where("right is not null").select("left", "right")
+    degree = pairs.select(F.explode(F.array("left", "right")).alias("tag")).groupBy("tag").agg(F.count("*").alias("degree"))
+    rows = _single(grain).join(degree, "tag", "left").join(triangles(pairs), "tag", "left").na.fill(0, ["degree", "closed"])
     cluster = F.when(F.col("degree") >= 2, F.col("closed") / (F.col("degree") * (F.col("degree") - 1) / 2)).otherwise(0.0)
     rows = rows.withColumn("clustering", cluster).withColumn("score", F.col("degree") * (1 - F.col("clustering")) * F.log1p("n"))
     return rows.select("tag", "n", "degree", "clustering", "score").orderBy(F.desc("score"), F.desc("degree"), "tag").limit(top)
@@ -77,6 +107,13 @@ def persistence(entries: DataFrame) -> DataFrame:
     return islands.groupBy("tag").agg(F.sum("run").alias("active_years"), F.max("run").alias("longest_run")).withColumn("ratio", F.col("longest_run") / F.col("active_years"))
 
 
+def persistence_leaders(entries: DataFrame) -> DataFrame:
+    """A33. The tag of the longest run of years and the tag of the most active years; the other measure, then the name, on ties."""
+    rows = persistence(entries)
+    first = rows.orderBy(F.desc("longest_run"), F.desc("active_years"), "tag").limit(1).withColumn("leader", F.lit("most persistent"))
+    return first.unionByName(rows.orderBy(F.desc("active_years"), F.desc("longest_run"), "tag").limit(1).withColumn("leader", F.lit("longest lifespan")))
+
+
 def length_coupling(entries: DataFrame, top: int = TOP) -> DataFrame:
     """A34. Mean words with a tag less the mean of all entries: the ten highest and the ten lowest."""
     base = entries.agg(F.avg("word_count").alias("base"))

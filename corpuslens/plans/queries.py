@@ -117,18 +117,18 @@ add("tag_rows_by_year", q_entries(lambda e: C.tag_rows(e, 1, 1, True)), _tag_row
 
 TEMPORAL = """{E}, da AS (SELECT {k}epoch_day, count(*) AS n FROM e GROUP BY ALL), gp AS (SELECT {k}epoch_day, greatest(1, epoch_day - lag(epoch_day) OVER ({w} ORDER BY epoch_day)) AS gap, lag(epoch_day) OVER ({w} ORDER BY epoch_day) AS b FROM da), ga AS (SELECT * FROM gp WHERE b IS NOT NULL),
 pl AS (SELECT *, row_number() OVER ({w} ORDER BY epoch_day) - 1 AS place, count(*) OVER ({w}) AS n FROM ga),
-st AS (SELECT {k}CASE WHEN count(*) >= 2 AND stddev_pop(gap) + avg(gap) > 0 THEN (stddev_pop(gap) - avg(gap)) / (stddev_pop(gap) + avg(gap)) ELSE 0 END AS bu, max(gap) - 1 AS lg, avg(CAST(gap >= 30 AS INT)) AS ls,
-  max(gap) FILTER (place = floor((n - 1) * 0.9)) AS lo, max(gap) FILTER (place = ceil((n - 1) * 0.9)) AS hi, max((n - 1) * 0.9) - floor(max((n - 1) * 0.9)) AS fr FROM pl {g}),
+st AS (SELECT {k}CASE WHEN count(*) >= 2 AND stddev_pop(gap) + avg(gap) > 0 THEN (stddev_pop(gap) - avg(gap)) / (stddev_pop(gap) + avg(gap)) ELSE 0 END AS bu, max(gap) - 1 AS lg, avg(CAST(gap - 1 >= 30 AS INT)) AS ls,
+  max(gap - 1) FILTER (place = floor((n - 1) * 0.9)) AS lo, max(gap - 1) FILTER (place = ceil((n - 1) * 0.9)) AS hi, max((n - 1) * 0.9) - floor(max((n - 1) * 0.9)) AS fr FROM pl {g}),
 isl AS (SELECT {k}epoch_day - row_number() OVER ({w} ORDER BY epoch_day) AS i FROM da), rn AS (SELECT {k}i, count(*) AS days FROM isl GROUP BY ALL), fg AS (SELECT {k}CASE WHEN sum(days) >= 2 THEN avg(CAST(days <= 2 AS INT)) ELSE 0 END AS fr2 FROM rn {g}),
 sc AS (SELECT {k}CAST(floor((month % 12) / 3) AS INT) AS s, count(*) AS n, sum(word_count) AS w, sum(CAST(coalesce(lag_days > 0, false) AS INT)) AS r FROM e GROUP BY ALL), tt AS (SELECT {k}sum(n) AS tn, sum(w) AS tw, sum(r) AS tr FROM sc {g}),
 sh AS (SELECT {tk}q.s, (CASE WHEN tn > 0 THEN coalesce(n, 0) / tn ELSE 0 END + CASE WHEN tw > 0 THEN coalesce(w, 0) / tw ELSE 0 END + CASE WHEN tr > 0 THEN coalesce(r, 0) / tr ELSE 0 END) / greatest(1, CAST(tn > 0 AS INT) + CAST(tw > 0 AS INT) + CAST(tr > 0 AS INT)) AS score FROM tt CROSS JOIN generate_series(0, 3) AS q(s) LEFT JOIN sc ON sc.s = q.s {on}),
-sa AS (SELECT {k}max(score) - min(score) AS asym FROM sh {g})"""
+sa AS (SELECT {k}max(score) - min(score) AS asym, ['Winter', 'Spring', 'Summer', 'Autumn'][first(s ORDER BY score DESC, s) + 1] AS ds FROM sh {g})"""
 
 
 def _temporal_sql(year: bool) -> str:
     prefix = TEMPORAL.format(E=E, k="year, " if year else "", w="PARTITION BY year" if year else "", g="GROUP BY year" if year else "", tk="tt.year, " if year else "", on="AND sc.year = tt.year" if year else "")
     joined = "sa LEFT JOIN fg USING (year) LEFT JOIN st USING (year)" if year else "sa CROSS JOIN fg CROSS JOIN st"
-    return f"{prefix} SELECT {'year, ' if year else ''}{R6('coalesce(bu, 0)', 'burstiness')}, {R6('coalesce(lg, 0)', 'longest_gap')}, {R6('coalesce(lo + (hi - lo) * fr, 0)', 'p90_gap')}, {R6('coalesce(ls, 0)', 'long_silences')}, {R6('coalesce(fr2, 0)', 'fragility')}, {R6('asym', 'season_asymmetry')} FROM {joined}"
+    return f"{prefix} SELECT {'year, ' if year else ''}{R6('coalesce(bu, 0)', 'burstiness')}, {R6('coalesce(lg, 0)', 'longest_gap')}, {R6('coalesce(lo + (hi - lo) * fr, 0)', 'p90_gap')}, {R6('coalesce(ls, 0)', 'long_silences')}, {R6('coalesce(fr2, 0)', 'fragility')}, {R6('asym', 'season_asymmetry')}, ds AS dominant_season FROM {joined}"
 
 
 add("temporal_by_year", q_entries(lambda e: H.temporal(e, "year")), _temporal_sql(True))
@@ -169,15 +169,15 @@ _PLAIN = "tag_change * 0.45 + volume_change * 0.25 + revision_change * 0.15 + ca
 _PARTS6 = ", ".join(R6(c, c) for c in ("tag_change", "text_change", "volume_change", "revision_change", "cadence_change"))
 add("regime_shifts", q_entries(H.regime_shifts), f"WITH {_SHIFT_PARTS} SELECT from_year, to_year, {_PARTS6}, {R6(_PLAIN, 'score')} FROM (SELECT *, 0 AS text_change FROM sh)")
 _PROFILES = f"""WITH {_SHIFT_PARTS},
-y AS (SELECT b.*, t.* EXCLUDE (year), v.* EXCLUDE (year), revisit_ratio, half_life, intensity_per_word, d.entropy AS tag_entropy, d.concentration AS tag_concentration, s.score AS regime_shift
+y AS (SELECT b.*, t.* EXCLUDE (year), v.* EXCLUDE (year), revisit_ratio, median_lag, half_life, intensity AS revision_weighted_words, intensity_per_word, d.entropy AS tag_entropy, d.concentration AS tag_concentration, s.score AS regime_shift
   FROM (SELECT year, count(*) AS entries, CAST(sum(word_count) AS BIGINT) AS words, avg(word_count) AS mean_words FROM ({E} SELECT * FROM e) GROUP BY year) b
   JOIN ({exact(SQL['temporal_by_year'])}) t USING (year) JOIN ({exact(SQL['volume_by_year'])}) v USING (year) JOIN ({exact(SQL['revision_by_year'])}) r USING (year)
   LEFT JOIN ({exact(SQL['tag_distribution'])}) d USING (year) LEFT JOIN (SELECT to_year AS year, {_PLAIN} AS score FROM sh) s USING (year)),
 q AS (SELECT median(entries) AS mn, median(mean_words) AS mw, median(concentration) AS mc, median(intensity_per_word) AS mr FROM y),
 md AS (SELECT y.*, CASE WHEN revisit_ratio >= 0.25 AND intensity_per_word >= greatest(0.05, mr * 1.2) THEN 'revision-heavy layering' WHEN burstiness >= 0.2 AND mean_words <= mw THEN 'bursty short-form'
   WHEN concentration >= mc * 1.15 AND mean_words >= mw THEN 'concentrated deep-writing' WHEN entries >= mn AND mean_words >= mw THEN 'steady prolific' WHEN entries < mn AND mean_words >= mw THEN 'sparse deep-writing' ELSE 'mixed cadence' END AS mode FROM y, q)"""
-_NUMBERS = ("mean_words", "burstiness", "longest_gap", "p90_gap", "long_silences", "fragility", "season_asymmetry", "skew", "tail_ratio", "short_long", "concentration", "revisit_ratio", "half_life", "intensity_per_word", "tag_entropy", "tag_concentration", "regime_shift")
-add("year_profiles", q_entries(H.year_profiles), f"{_PROFILES} SELECT year, entries, words, mode, {', '.join(R6(c, c) for c in _NUMBERS)} FROM md")
+_NUMBERS = ("mean_words", "burstiness", "longest_gap", "p90_gap", "long_silences", "fragility", "season_asymmetry", "skew", "tail_ratio", "short_long", "concentration", "revisit_ratio", "median_lag", "half_life", "revision_weighted_words", "intensity_per_word", "tag_entropy", "tag_concentration", "regime_shift")
+add("year_profiles", q_entries(H.year_profiles), f"{_PROFILES} SELECT year, entries, words, mode, dominant_season, {', '.join(R6(c, c) for c in _NUMBERS)} FROM md")
 add("productivity_modes", q_entries(lambda e: H.year_profiles(e).select("year", "mode", "entries", "words")), f"{_PROFILES} SELECT year, mode, entries, words FROM md")
 add("predominant_mode", q_entries(lambda e: H.predominant_mode(H.year_profiles(e))), f"{_PROFILES} SELECT mode, count(*) AS years FROM md GROUP BY mode ORDER BY years DESC, mode LIMIT 1")
 add("structural_trend", q_entries(lambda e: H.year_profiles(e).select("year", "burstiness", "concentration", "tag_entropy", "regime_shift")), f"{_PROFILES} SELECT year, {', '.join(R6(c, c) for c in ('burstiness', 'concentration', 'tag_entropy', 'regime_shift'))} FROM md")

@@ -1,7 +1,6 @@
 """Recommendations for all notes against plain loops, and the rows that a hub, a common tag and a common folder make."""
 
 import random
-from collections import Counter
 
 import pytest
 
@@ -65,26 +64,8 @@ def test_other_weights(spark, monkeypatch):
         assert got == brute(notes, config)
 
 
-def most_rows(df):
-    """The largest number of rows that a join or aggregate of the plan put out."""
-    df.write.format("noop").mode("overwrite").save()
-    plan = df._jdf.queryExecution().executedPlan()
-    rows, todo = Counter(), [plan]
-    while todo:
-        node = todo.pop()
-        name = node.nodeName()
-        inner = node.executedPlan() if name.startswith("AdaptiveSparkPlan") else node.plan() if "QueryStage" in name else None
-        if inner is not None:
-            todo.append(inner)
-        if node.metrics().contains("numOutputRows"):
-            rows[name] = max(rows[name], node.metrics().apply("numOutputRows").value())
-        children = node.children()
-        todo += [children.apply(k) for k in range(children.size())]
-    return max(rows.values())
-
-
 @pytest.mark.parametrize("kind", ["hub", "tag", "folder"])
-def test_rows_stay_linear(spark, kind):
+def test_rows_stay_linear(spark, most_rows, kind):
     """20,000 notes with one thing in common: 400,000,000 pairs, of which no plan node sees more than a few a note."""
     n = 20_000
     notes = spark.range(n).selectExpr(
