@@ -222,6 +222,25 @@ def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     return words, inverse
 
 
+class Recent:
+    """A dictionary of bounded size that forgets what has not been asked for of late: two generations, each of `most` entries."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key):
+        """The value, or None; what the old generation knows moves to the young one."""
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 _SALT = b"corpuslens-spans"
 
 

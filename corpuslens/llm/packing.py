@@ -26,6 +26,7 @@ import itertools
 import json
 import re
 import zlib
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -33,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import column_bytes, map_arrow, materialize, slices
+from corpuslens.llm.common import Recent, column_bytes, map_arrow, materialize, slices
 from corpuslens.llm.pretokens import split_texts
 
 CAPACITY = 1024
 END_ID = 2
 #: Words that a worker remembers, of so many bytes at most; the store is emptied beyond, which changes no result.
-REMEMBERED, SHORT = 250_000, 64
+REMEMBERED, SHORT = 200_000, 64
 
 
 # --- the plan -------------------------------------------------------------------------------------------
@@ -186,19 +187,18 @@ def _engine(json_path: str):
     return Tokenizer.from_file(json_path)
 
 
-_WORD_IDS: dict[bytes, bytes] = {}
+_WORD_IDS = Recent(REMEMBERED)
 
 
 def _word_ids(words: list[bytes], json_path: str) -> list[bytes]:
     """The library's ids of each word; a match of its pattern alone is one match again, so they are those in a text."""
-    global _WORD_IDS
-    fresh = [w for w in words if w not in _WORD_IDS]
-    made = _engine(json_path).encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-    known = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(fresh, made, strict=True)}
-    out = [known[w] if w in known else _WORD_IDS[w] for w in words]
-    if len(_WORD_IDS) + len(known) > REMEMBERED:
-        _WORD_IDS = {}
-    _WORD_IDS.update((w, ids) for w, ids in known.items() if len(w) <= SHORT)
+    out = [_WORD_IDS.get(w) for w in words]
+    fresh = [k for k, ids in enumerate(out) if ids is None]
+    made = _engine(json_path).encode_batch_fast([words[k].decode() for k in fresh], add_special_tokens=False)
+    for k, encoding in zip(fresh, made, strict=True):
+        ids = out[k] = array("I", encoding.ids).tobytes()
+        if len(words[k]) <= SHORT:
+            _WORD_IDS.put(words[k], ids)
     return out
 
 
