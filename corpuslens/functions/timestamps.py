@@ -61,6 +61,17 @@ def epoch_day(ts: Column) -> Column:
     return F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date"))
 
 
+def local_label(ts: Column) -> Column:
+    """T6. `2021-03-04`, or `2021-03-04T05:06` for a moment that is not midnight."""
+    day = (F.hour(ts) == 0) & (F.minute(ts) == 0)
+    return F.when(day, F.date_format(ts, "yyyy-MM-dd")).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm"))
+
+
+def instant_day(ts: Column) -> Column:
+    """T8. The UTC day of a moment, whatever the session's time zone; epoch_day() is the day on the calendar there."""
+    return F.floor(F.unix_millis(ts.cast("timestamp")) / DAY).cast("int")
+
+
 def season(month: Column) -> Column:
     """0 December to February, 1, 2, 3."""
     return F.floor((month % 12) / 3).cast("int")

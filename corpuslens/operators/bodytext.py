@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import text as X
 from corpuslens.functions import timestamps as T
+from corpuslens.functions.order import named
 
 
 def texts(notes: DataFrame) -> DataFrame:
@@ -17,9 +18,9 @@ def texts(notes: DataFrame) -> DataFrame:
     tokens = notes.withColumn("tokens", X.tokens(F.col("text"))).withColumn("sentences", X.sentence_lengths(F.coalesce("text", F.lit(""))))
     more = ["word_count"] if "word_count" in notes.columns else []
     if "updated" in notes.columns:
-        more.append(T.lag_days(F.col("created"), F.col("updated")).alias("lag_days"))
+        more.append(T.lag_days(F.col("created"), F.col("updated"), True).cast("double").alias("lag_days"))
     return tokens.select(
-        "path", "created", F.year("created").alias("year"), F.month("created").alias("month"), T.epoch_day(F.col("created")).alias("epoch_day"), "tags", "tokens", F.size("tokens").cast("long").alias("token_count"),
+        "path", "created", F.year("created").alias("year"), F.month("created").alias("month"), T.instant_day(F.col("created")).alias("epoch_day"), "tags", "tokens", F.size("tokens").cast("long").alias("token_count"),
         F.array_distinct("tokens").alias("vocabulary"), F.size("sentences").cast("long").alias("sentence_count"), F.aggregate("sentences", F.lit(0).cast("long"), lambda s, x: s + x).alias("sentence_words"),
         F.aggregate("sentences", F.lit(0).cast("long"), lambda s, x: s + x.cast("long") * x).alias("sentence_squares"), X.opening_signature(X.opening_line(F.coalesce("text", F.lit("")))).alias("opening"), *more,
     )
@@ -108,7 +109,7 @@ def tag_profiles(rows: DataFrame, least: int = 1) -> DataFrame:
         F.count("*").alias("entries"), F.avg("word_count").alias("mean_words"), F.median("word_count").alias("median_words"), F.avg("richness").alias("mean_richness"), F.try_divide(F.sum("sentence_words"), F.sum("sentence_count")).alias("mean_sentence"),
         F.median("sentence").alias("median_sentence"), F.avg("lag").alias("mean_lag"), F.median("lag").alias("median_lag"),
     )
-    return out.where(F.col("entries") >= least).orderBy(F.desc("entries"), F.desc_nulls_last("mean_richness"), "tag")
+    return out.where(F.col("entries") >= least).orderBy(F.desc("entries"), F.desc_nulls_last("mean_richness"), *named("tag"))
 
 
 def period_signature(terms: DataFrame, selected_from: int, selected_to: int, compared_from: int, compared_to: int) -> DataFrame:
@@ -142,9 +143,9 @@ def period_terms(terms: DataFrame, first: int, last: int, earlier: bool = False)
 def period_lists(signature: DataFrame) -> DataFrame:
     """O6. The distinctive, emergent and fading terms in their orders: list, rank, term, selected, compared, score."""
     lists = [
-        ("distinctive", F.col("score") > 0, [F.desc("score"), F.desc("selected"), F.col("term")]),
-        ("emergent", (F.col("compared") == 0) & (F.col("selected") >= 2), [F.desc("selected_rate"), F.desc("selected"), F.col("term")]),
-        ("fading", F.col("score") < 0, [F.asc("score"), F.desc("compared"), F.col("term")]),
+        ("distinctive", F.col("score") > 0, [F.desc("score"), F.desc("selected"), *named("term")]),
+        ("emergent", (F.col("compared") == 0) & (F.col("selected") >= 2), [F.desc("selected_rate"), F.desc("selected"), *named("term")]),
+        ("fading", F.col("score") < 0, [F.asc("score"), F.desc("compared"), *named("term")]),
     ]
     out = None
     for name, keep, order in lists:
@@ -172,27 +173,18 @@ SIMPLE = ("longest-notes", "shortest-notes", "most-tags", "longest-revision-lags
 
 
 def record_sections(candidates: DataFrame, k: int = 10, ids: tuple[str, ...] | None = None) -> DataFrame:
-    """G8, G10, H19, O3, O10. The k first of each section: score, then words descending, then path. k <= 0 shows none."""
-    out = None
-    for name, score, up in SECTIONS:
-        if ids is not None and name not in ids:
-            continue
-        best = candidates.where(F.col(score).isNotNull()).select(F.lit(name).alias("section"), "path", F.col(score).cast("double").alias("score"), "word_count")
-        order = [F.asc("score") if up else F.desc("score"), F.desc("word_count"), F.col("path")]
-        best = best.orderBy(*order).limit(max(0, k))
-        best = best.withColumn("rank", F.row_number().over(Window.partitionBy("section").orderBy(*order)))  # over k rows
-        out = best if out is None else out.unionByName(best)
-    return out
+    """G8, G10, H19, O3, O10. The k first of each section: score, then words descending, then path. k <= 0 shows none.
+
+    One pass: a candidate is a row for each section that it qualifies for, of which tasks keep the first k.
+    """
+    shown = [(name, F.col(score).cast("double"), up) for name, score, up in SECTIONS if ids is None or name in ids]
+    cells = F.array(*(F.struct(F.lit(name).alias("section"), score.alias("score"), (score if up else -score).alias("key")) for name, score, up in shown))
+    rows = candidates.select("path", "word_count", F.explode(cells).alias("c")).select("c.*", "path", "word_count").where("score is not null")
+    order = Window.partitionBy("section").orderBy("key", F.desc("word_count"), *named("path"))
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(0, k)).select("section", "path", "score", "word_count", "rank")
 
 
 def revision_examples(notes: DataFrame, k: int = 25) -> DataFrame:
     """G12. The longest whole-day revision lags."""
-    return notes.select("path", "word_count", T.lag_days(F.col("created"), F.col("updated"), True).alias("lag")).where("lag > 0").orderBy(F.desc("lag"), F.desc("word_count"), "path").limit(k)
-
+    return notes.select("path", "word_count", T.lag_days(F.col("created"), F.col("updated"), True).alias("lag"), T.local_label(F.col("created")).alias("created"), T.local_label(F.col("updated")).alias("updated")).where("lag > 0").orderBy(F.desc("lag"), F.desc("word_count"), *named("path")).limit(k)
 
-def phrase_examples(rows: DataFrame, phrases: int = 10, k: int = 3) -> DataFrame:
-    """G13, O9. The latest notes that hold each of the top phrases."""
-    best = recurring_phrases(rows).orderBy(F.desc("score"), "phrase").limit(phrases)
-    found = rows.select("path", "created", F.explode(X.phrases(F.col("tokens"))).alias("phrase")).join(F.broadcast(best.select("phrase")), "phrase")
-    order = Window.partitionBy("phrase").orderBy(F.desc("created"), "path")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("phrase", "rank", "path")

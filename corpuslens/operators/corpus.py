@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import timestamps as T
+from corpuslens.functions.order import local, named, sorted_texts
 
 
 def to_entries(notes: DataFrame, per_minute: int = 230) -> DataFrame:
@@ -18,7 +19,7 @@ def to_entries(notes: DataFrame, per_minute: int = 230) -> DataFrame:
     lag, minutes = T.lag_days(made, F.col("updated")), T.reading_minutes(words, per_minute)
     return notes.where("created is not null").select(
         "path", "created", "updated", F.year(made).alias("year"), F.month(made).alias("month"), T.weekday(made).alias("weekday"), T.epoch_day(made).alias("epoch_day"),
-        words.cast("long").alias("word_count"), minutes.alias("reading_minutes"), lag.alias("lag_days"), T.note_depth(minutes, lag).alias("depth"), F.array_sort(F.array_distinct("tags")).alias("tags"),
+        words.cast("long").alias("word_count"), minutes.alias("reading_minutes"), lag.alias("lag_days"), T.note_depth(minutes, lag).alias("depth"), sorted_texts(F.array_distinct("tags")).alias("tags"),
     )
 
 
@@ -109,7 +110,7 @@ def tag_coverage(entries: DataFrame) -> DataFrame:
 def tag_year_heatmap(entries: DataFrame, least: int = 1, top: int = 10) -> DataFrame:
     """A21. The most frequent tags by year; zeros where a tag is absent."""
     tags = entries.select("year", F.explode("tags").alias("tag"))
-    best = tags.groupBy("tag").agg(F.count("*").alias("total")).where(F.col("total") >= max(1, least)).orderBy(F.desc("total"), "tag").limit(top)
+    best = tags.groupBy("tag").agg(F.count("*").alias("total")).where(F.col("total") >= max(1, least)).orderBy(F.desc("total"), *named("tag")).limit(top)
     grid = entries.select("year").distinct().join(F.broadcast(best))
     cells = tags.groupBy("year", "tag").agg(F.count("*").alias("n"))
     return grid.join(cells, ["year", "tag"], "left").select("tag", "year", "total", F.coalesce("n", F.lit(0)).alias("entries"))
@@ -117,10 +118,10 @@ def tag_year_heatmap(entries: DataFrame, least: int = 1, top: int = 10) -> DataF
 
 def combinations(tags: Column, size: int) -> Column:
     """A6. Labels of all combinations of one to `size` sorted tags."""
-    one = F.transform(tags, lambda a: F.struct(a.alias("label"), a.alias("last")))
+    one = F.transform(tags, lambda a, i: F.struct(a.alias("label"), i.alias("last")))
     out, level = one, one
     for _ in range(size - 1):
-        level = F.flatten(F.transform(level, lambda c: F.transform(F.filter(tags, lambda t: t > c["last"]), lambda t: F.struct(F.concat(c["label"], F.lit(" + "), t).alias("label"), t.alias("last")))))
+        level = F.flatten(F.transform(level, lambda c: F.filter(F.transform(tags, lambda t, i: F.struct(F.concat(c["label"], F.lit(" + "), t).alias("label"), i.alias("last"))), lambda x: x["last"] > c["last"])))
         out = F.concat(out, level)
     return F.transform(out, lambda c: c["label"])
 
@@ -135,7 +136,7 @@ def tag_rows(entries: DataFrame, size: int = 1, least: int = 1, by_year: bool =
     main = rows.groupBy(*keys).agg(F.count("*").alias("entries"), F.avg("word_count").alias("mean_words"), F.median("word_count").alias("median_words")).where(F.col("entries") >= least)
     days = rows.groupBy(*keys, "day").agg(F.count("*").alias("n")).withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "day"))).where("turn <= 2")
     top = days.groupBy(*keys).agg(F.max(F.expr("if(turn = 1, day, null)")).alias("weekday"), F.max(F.expr("if(turn = 1, n, null)")).alias("weekday_entries"), F.max(F.expr("if(turn = 2, day, null)")).alias("second_weekday"), F.max(F.expr("if(turn = 2, n, null)")).alias("second_entries"))
-    months = rows.groupBy(*keys, "month").agg(F.count("*").alias("n"), F.min("path").alias("seen"))
+    months = rows.groupBy(*keys, "month").agg(F.count("*").alias("n"), F.min(F.struct(local("path").alias("l"), F.col("path").alias("p"))).alias("seen"))
     dominant = months.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "seen"))).where("turn = 1").select(*keys, "month", F.col("n").alias("month_entries"))
     joined = main.join(top, keys).join(dominant, keys)
     joined = joined.join(base, ["year"]) if by_year else joined.join(F.broadcast(base))
@@ -144,7 +145,7 @@ def tag_rows(entries: DataFrame, size: int = 1, least: int = 1, by_year: bool =
 
 def date_issues(notes: DataFrame) -> DataFrame:
     """A3. Notes with a missing or invalid date, by path."""
-    return notes.where("created.issue is not null or updated.issue is not null").select("path", F.col("created.issue").alias("created_issue"), F.col("created.source").alias("created_source"), F.col("updated.issue").alias("updated_issue"), F.col("updated.source").alias("updated_source")).orderBy("path")
+    return notes.where("created.issue is not null or updated.issue is not null").select("path", F.col("created.issue").alias("created_issue"), F.col("created.source").alias("created_source"), F.col("updated.issue").alias("updated_issue"), F.col("updated.source").alias("updated_source")).orderBy(*named("path"))
 
 
 def _file_counts(facts: DataFrame):
@@ -183,4 +184,4 @@ def file_years(facts: DataFrame, per_minute: int = 230) -> DataFrame:
 
 def ordered_tag_rows(rows: DataFrame) -> DataFrame:
     """O1. Tag rows as a report lists them: entries, size of the mean's delta, weekday share, label."""
-    return rows.orderBy(F.desc("entries"), F.desc(F.abs("mean_delta")), F.desc("weekday_share"), "label")
+    return rows.orderBy(F.desc("entries"), F.desc(F.abs("mean_delta")), F.desc("weekday_share"), *named("label"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import czech as Z
+from corpuslens.functions.order import named
 from corpuslens.functions.text import richness
 from corpuslens.operators import bodytext as B
 
@@ -50,18 +51,8 @@ def pairs(found: DataFrame) -> DataFrame:
     both = F.flatten(F.transform("keys", lambda a: F.transform(F.filter("keys", lambda b: b > a), lambda b: F.struct(a.alias("left_key"), b.alias("right_key")))))
     rows = keys.select("created", F.explode(both).alias("p")).select("created", "p.*").groupBy("left_key", "right_key").agg(F.count("*").alias("support"), F.count_distinct(F.year("created")).alias("years"), (F.max(F.year("created")) - F.min(F.year("created")) + 1).alias("span")).where("support >= 2")
     labels = preferred_labels(found)
-    named = rows.join(labels.select(F.col("key").alias("left_key"), F.col("label").alias("left_label")), "left_key").join(labels.select(F.col("key").alias("right_key"), F.col("label").alias("right_label")), "right_key")
-    return named.withColumn("strength", F.col("support") * F.log2(F.col("years") + 1) * F.sqrt("span"))
-
-
-def shift_examples(notes: DataFrame, shifts: DataFrame, k: int = 3) -> DataFrame:
-    """G13. Notes on either side of each regime shift: the last of the year before, the first of the year after."""
-    own = notes.select("path", "created", F.year("created").alias("year"))
-    late = Window.partitionBy("to_year").orderBy(F.desc("created"), "path")
-    early = Window.partitionBy("to_year").orderBy("created", "path")
-    before = shifts.select("to_year", "from_year").join(own, F.col("from_year") == F.col("year")).withColumn("rank", F.row_number().over(late)).where(F.col("rank") <= k)
-    after = shifts.select("to_year", "from_year").join(own, F.col("to_year") == F.col("year")).withColumn("rank", F.row_number().over(early)).where(F.col("rank") <= k)
-    return before.select("from_year", "to_year", F.lit("before").alias("side"), "rank", "path").unionByName(after.select("from_year", "to_year", F.lit("after").alias("side"), "rank", "path"))
+    joined = rows.join(labels.select(F.col("key").alias("left_key"), F.col("label").alias("left_label")), "left_key").join(labels.select(F.col("key").alias("right_key"), F.col("label").alias("right_label")), "right_key")
+    return joined.withColumn("strength", F.col("support") * F.log2(F.col("years") + 1) * F.sqrt("span"))
 
 
 def deep_signature(rows: DataFrame, *years: int) -> DataFrame:
@@ -73,10 +64,10 @@ def top_candidates(rows: DataFrame, k: int = 10) -> DataFrame:
     """O5. The first names by persistence, bridge score, first appearance and length of life: list, rank, label."""
     first, last = F.year("first_seen"), F.year("last_seen")
     lists = {
-        "persistent": [F.desc("support"), F.desc("years"), first.asc(), F.col("label").asc()],
-        "bridge": [F.desc("bridge"), F.desc("years"), F.desc("support"), F.col("label").asc()],
-        "newest": [first.desc(), F.desc("support"), F.desc("years"), F.col("label").asc()],
-        "longest-lived": [(last - first).desc(), F.desc("years"), F.desc("support"), F.col("label").asc()],
+        "persistent": [F.desc("support"), F.desc("years"), first.asc(), *named("label")],
+        "bridge": [F.desc("bridge"), F.desc("years"), F.desc("support"), *named("label")],
+        "newest": [first.desc(), F.desc("support"), F.desc("years"), *named("label")],
+        "longest-lived": [(last - first).desc(), F.desc("years"), F.desc("support"), *named("label")],
     }
     out = None
     for name, order in lists.items():
@@ -88,4 +79,4 @@ def top_candidates(rows: DataFrame, k: int = 10) -> DataFrame:
 
 def top_pairs(rows: DataFrame, k: int = 10) -> DataFrame:
     """O5. The strongest pairs of names."""
-    return rows.orderBy(F.desc("strength"), F.desc("support"), F.desc("years"), "left_label", "right_label").limit(k)
+    return rows.orderBy(F.desc("strength"), F.desc("support"), F.desc("years"), *named("left_label", "right_label")).limit(k)

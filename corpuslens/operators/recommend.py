@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.config import RecommendConfig
+from corpuslens.functions.order import named
 
 
 #: Notes of a feature up to which its pairs are met, heavy classes of a note at most, and notes that may have more.
@@ -107,19 +108,19 @@ def _best_pairs(notes: DataFrame, config: RecommendConfig) -> DataFrame:
     # What shares heavy classes only. Equal sets have the same first notes.
     limit = config.limit
     plain = narrow.select("path", F.transform("classes", lambda c: F.struct(c["class"].alias("class"), F.lit(0.0).alias("weight"))).alias("set"))
-    few = _first(plain, "set", ["path"], limit + 2)
+    few = _first(plain, "set", named("path"), limit + 2)
     having = few.select("path", F.explode(_subsets(F.col("set"))).alias("s")).select(F.col("s.classes").alias("subset"), F.col("path").alias("dst"))
-    heads = _first(having, "subset", ["dst"], limit + 2)
+    heads = _first(having, "subset", named("dst"), limit + 2)
     enough = heads.groupBy("subset").agg((F.count("*") >= limit + 2).alias("enough"))
     sources = narrow.select("classes").distinct()
     parts = sources.select("classes", F.explode(_subsets(F.col("classes"))).alias("s")).select("classes", F.col("s.classes").alias("subset"), F.col("s.weight").alias("score")).join(enough, "subset")
     bar = F.coalesce(F.max(F.when(F.col("enough"), F.col("score"))).over(Window.partitionBy("classes")), F.lit(0.0))
     parts = parts.withColumn("bar", bar).where("score >= bar").select("classes", "subset", "score")
     found = parts.join(heads, "subset").groupBy("classes", "dst").agg(F.max("score").alias("score"))
-    best = _first(found, "classes", [F.desc("score"), "dst"], limit + 1)
+    best = _first(found, "classes", [F.desc("score"), *named("dst")], limit + 1)
     far = narrow.select(F.col("path").alias("src"), "classes").join(best, "classes").where("src != dst").select("src", "dst", "score")
     rows = near.unionByName(far).groupBy("src", "dst").agg(F.max("score").alias("score")).where("score > 0")
-    return _first(rows, "src", [F.desc("score"), "dst"], limit).select("src", "dst")
+    return _first(rows, "src", [F.desc("score"), *named("dst")], limit).select("src", "dst")
 
 
 def _between(pairs: DataFrame, notes: DataFrame) -> DataFrame:
@@ -161,10 +162,10 @@ def recommend_all(notes: DataFrame, config: RecommendConfig = RecommendConfig())
     weights = (config.out_link, config.back_link, config.shared_tag, config.shared_neighbour, config.same_folder)
     # Bounds by parts of a score hold where no part takes away.
     linked = _between(_best_pairs(notes, config), notes) if min(weights) >= 0 else None
-    order = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
+    order = Window.partitionBy("src").orderBy(F.desc("score"), *named("dst"))
     return score_pairs(notes, config, linked=linked).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.limit)
 
 
 def recommend(notes: DataFrame, path: str, config: RecommendConfig = RecommendConfig()) -> DataFrame:
     """R1. The best notes for one; none for an unknown path."""
-    return score_pairs(notes, config, path).orderBy(F.desc("score"), "dst").limit(config.limit)
+    return score_pairs(notes, config, path).orderBy(F.desc("score"), *named("dst")).limit(config.limit)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import timestamps as T
+from corpuslens.functions.order import local, named
 from corpuslens.operators import ranks as R
 from corpuslens.operators.tagstructure import tag_distribution
 
@@ -198,10 +199,15 @@ def longest_streak(entries: DataFrame) -> DataFrame:
 
 def silence_gaps(entries: DataFrame, k: int = 25) -> DataFrame:
     """W14. The longest silences and the entries on either side of them."""
-    ends = entries.groupBy("epoch_day").agg(F.min("path").alias("first_path"), F.max("path").alias("last_path"))
+    at = F.struct(local("path").alias("l"), F.col("path").alias("p"), T.local_label(F.col("created")).alias("d"))
+    days = entries.groupBy(T.instant_day(F.col("created")).alias("epoch_day")).agg(F.min(at).alias("first"), F.max(at).alias("last"))
     w = Window.partitionBy().orderBy("epoch_day")  # one row a day
-    rows = ends.select(F.lag("last_path").over(w).alias("from_path"), F.col("first_path").alias("to_path"), F.lag("epoch_day").over(w).alias("from_day"), F.col("epoch_day").alias("to_day"))
-    rows = rows.withColumn("gap_days", F.col("to_day") - F.col("from_day") - 1).where("gap_days > 0").orderBy(F.desc("gap_days"), "from_day").limit(k)
+    before = lambda c: F.lag(c).over(w)
+    rows = days.select(
+        before("last.p").alias("from_path"), F.col("first.p").alias("to_path"), before("epoch_day").alias("from_day"), F.col("epoch_day").alias("to_day"),
+        before("last.d").alias("from_date"), F.col("first.d").alias("to_date"),
+    )
+    rows = rows.withColumn("gap_days", F.col("to_day") - F.col("from_day") - 1).where("gap_days > 0").orderBy(F.desc("gap_days"), *named("from_path", "to_path")).limit(k)
     return rows
 
 
@@ -233,13 +239,13 @@ def year_profiles(entries: DataFrame, texts: DataFrame | None = None, strict: bo
 
 def predominant_mode(profiles: DataFrame) -> DataFrame:
     """A35."""
-    return profiles.groupBy("mode").agg(F.count("*").alias("years")).orderBy(F.desc("years"), "mode").limit(1)
+    return profiles.groupBy("mode").agg(F.count("*").alias("years")).orderBy(F.desc("years"), *named("mode")).limit(1)
 
 
 def tag_change(entries: DataFrame, strict: bool = True) -> DataFrame:
     """Q-2, M9. Jensen-Shannon distance of each year's tags to the year before; strict: compared by position of the sorted tags."""
     tags = entries.select("year", F.explode("tags").alias("tag")).groupBy("year", "tag").agg(F.count("*").alias("n"))
-    shares = tags.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("year"))).withColumn("place", F.row_number().over(Window.partitionBy("year").orderBy("tag")))
+    shares = tags.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("year"))).withColumn("place", F.row_number().over(Window.partitionBy("year").orderBy(*named("tag"))))
     key = "place" if strict else "tag"
     years = entries.select("year").distinct().withColumn("before", F.lag("year").over(Window.partitionBy().orderBy("year"))).where("before is not null")  # one row a year
     now = years.join(shares, "year").select("year", F.col(key).alias("key"), "p")

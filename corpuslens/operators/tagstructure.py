@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import timestamps as T
+from corpuslens.functions.order import named, sorted_texts
 
 TOP = 10
 
@@ -16,7 +17,7 @@ def qualified(entries: DataFrame, least: int = 1) -> DataFrame:
         return entries.where(F.size("tags") > 0)
     rows = entries.withColumn("tag", F.explode("tags"))
     good = rows.groupBy("tag").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("tag")
-    kept = rows.join(good, "tag").groupBy("path").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    kept = rows.join(good, "tag").groupBy("path").agg(sorted_texts(F.collect_set("tag")).alias("tags"))
     return entries.drop("tags").join(kept, "path")
 
 
@@ -25,7 +26,8 @@ def tag_counts(entries: DataFrame) -> DataFrame:
 
 
 def _pairs(tags: Column) -> Column:
-    return F.flatten(F.transform(tags, lambda a: F.transform(F.filter(tags, lambda b: b > a), lambda b: F.struct(a.alias("left"), b.alias("right")))))
+    """Pairs of sorted tags, by place."""
+    return F.flatten(F.transform(tags, lambda a, i: F.transform(F.filter(tags, lambda b, j: j > i), lambda b: F.struct(a.alias("left"), b.alias("right")))))
 
 
 def pair_counts(entries: DataFrame) -> DataFrame:
@@ -52,7 +54,7 @@ def pair_lift(entries: DataFrame, top: int = TOP) -> DataFrame:
     pairs = grain.where("right is not null and support >= 2")
     both = pairs.join(counts.select(F.col("tag").alias("left"), F.col("n").alias("nl")), "left").join(counts.select(F.col("tag").alias("right"), F.col("n").alias("nr")), "right").join(F.broadcast(n))
     lift = (F.col("support") / F.col("entries")) / ((F.col("nl") / F.col("entries")) * (F.col("nr") / F.col("entries")))
-    return both.select("left", "right", "support", lift.alias("lift")).orderBy(F.desc("lift"), F.desc("support"), "left", "right").limit(top)
+    return both.select("left", "right", "support", lift.alias("lift")).orderBy(F.desc("lift"), F.desc("support"), *named("left", "right")).limit(top)
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -78,7 +80,7 @@ def bridge_tags(entries: DataFrame, top: int = TOP) -> DataFrame:
     rows = _single(grain).join(degree, "tag", "left").join(triangles(pairs), "tag", "left").na.fill(0, ["degree", "closed"])
     cluster = F.when(F.col("degree") >= 2, F.col("closed") / (F.col("degree") * (F.col("degree") - 1) / 2)).otherwise(0.0)
     rows = rows.withColumn("clustering", cluster).withColumn("score", F.col("degree") * (1 - F.col("clustering")) * F.log1p("n"))
-    return rows.select("tag", "n", "degree", "clustering", "score").orderBy(F.desc("score"), F.desc("degree"), "tag").limit(top)
+    return rows.select("tag", "n", "degree", "clustering", "score").orderBy(F.desc("score"), F.desc("degree"), *named("tag")).limit(top)
 
 
 def weekday_bias(entries: DataFrame, top: int = TOP) -> DataFrame:
@@ -87,7 +89,7 @@ def weekday_bias(entries: DataFrame, top: int = TOP) -> DataFrame:
     n = entries.agg(F.count("*").alias("entries"))
     rows = entries.select("weekday", F.explode("tags").alias("tag")).groupBy("tag", "weekday").agg(F.count("*").alias("support")).where("support >= 2").join(tag_counts(entries), "tag").join(F.broadcast(days), "weekday").join(F.broadcast(n))
     bias = (F.col("support") / F.col("n")) / (F.col("day_n") / F.col("entries"))
-    return rows.select("tag", T.monday_first(F.col("weekday")).alias("weekday"), "support", bias.alias("bias")).orderBy(F.desc("bias"), F.desc("support"), "tag", "weekday").limit(top)
+    return rows.select("tag", T.monday_first(F.col("weekday")).alias("weekday"), "support", bias.alias("bias")).orderBy(F.desc("bias"), F.desc("support"), *named("tag"), "weekday").limit(top)
 
 
 def tag_gaps(entries: DataFrame) -> DataFrame:
@@ -97,7 +99,7 @@ def tag_gaps(entries: DataFrame) -> DataFrame:
 
 def fastest_tag(entries: DataFrame) -> DataFrame:
     """A32."""
-    return tag_gaps(entries).where("mean_gap is not null").orderBy("mean_gap", F.desc("days"), "tag").limit(1)
+    return tag_gaps(entries).where("mean_gap is not null").orderBy("mean_gap", F.desc("days"), *named("tag")).limit(1)
 
 
 def persistence(entries: DataFrame) -> DataFrame:
@@ -110,16 +112,16 @@ def persistence(entries: DataFrame) -> DataFrame:
 def persistence_leaders(entries: DataFrame) -> DataFrame:
     """A33. The tag of the longest run of years and the tag of the most active years; the other measure, then the name, on ties."""
     rows = persistence(entries)
-    first = rows.orderBy(F.desc("longest_run"), F.desc("active_years"), "tag").limit(1).withColumn("leader", F.lit("most persistent"))
-    return first.unionByName(rows.orderBy(F.desc("active_years"), F.desc("longest_run"), "tag").limit(1).withColumn("leader", F.lit("longest lifespan")))
+    first = rows.orderBy(F.desc("longest_run"), F.desc("active_years"), *named("tag")).limit(1).withColumn("leader", F.lit("most persistent"))
+    return first.unionByName(rows.orderBy(F.desc("active_years"), F.desc("longest_run"), *named("tag")).limit(1).withColumn("leader", F.lit("longest lifespan")))
 
 
 def length_coupling(entries: DataFrame, top: int = TOP) -> DataFrame:
     """A34. Mean words with a tag less the mean of all entries: the ten highest and the ten lowest."""
     base = entries.agg(F.avg("word_count").alias("base"))
     rows = entries.select("word_count", F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"), F.avg("word_count").alias("mean_words")).join(F.broadcast(base)).select("tag", "n", (F.col("mean_words") - F.col("base")).alias("delta"))
-    up = rows.where("delta > 0").orderBy(F.desc("delta"), "tag").limit(top).withColumn("side", F.lit("longer"))
-    return up.unionByName(rows.where("delta < 0").orderBy("delta", "tag").limit(top).withColumn("side", F.lit("shorter")))
+    up = rows.where("delta > 0").orderBy(F.desc("delta"), *named("tag")).limit(top).withColumn("side", F.lit("longer"))
+    return up.unionByName(rows.where("delta < 0").orderBy("delta", *named("tag")).limit(top).withColumn("side", F.lit("shorter")))
 
 
 def tag_distribution(entries: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from corpuslens.config import AnalysisConfig
 from corpuslens.operators import bodytext as B
 from corpuslens.operators import corpus as C
 from corpuslens.operators import entities as N
+from corpuslens.operators import examples as EX
 from corpuslens.operators import readings as RD
 from corpuslens.operators import rhythm as H
 from corpuslens.operators import tagstructure as G
@@ -29,5 +30,5 @@ def analyze(notes: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> dict
         "temporal": H.temporal(entries, strict=config.strict_parity), "volume": H.volume(entries), "revision": H.revision(entries), "weekday_stability": H.weekday_stability(entries), "cadence_depth": H.cadence_depth_correlation(entries), "revision_length": H.revision_length_correlation(entries), "predominant_mode": H.predominant_mode(H.year_profiles(entries, profiles)),
         "year_profiles": H.year_profiles(entries, profiles), "text_years": B.year_profiles(texts), "headlines": RD.headlines(H.year_profiles(entries, profiles), pairs, shifts, **more), "readings": RD.structural_readings(H.year_profiles(entries, profiles), pairs, shifts, **(more | {"phrases": B.recurring_phrases(texts), "tags": B.tag_profiles(texts, config.min_tag_count)} if more else {})), "regime_shifts": shifts, "longest_streak": H.longest_streak(entries), "silence_gaps": H.silence_gaps(entries), **G.all_tag_structures(scoped, config.min_tag_count),
         "lexical": B.lexical_by_year(texts), "novelty": B.novelty(texts), "month_climate": B.month_climate(texts), "openings": B.opening_signatures(texts), "opening_shift": openings, "phrases": B.recurring_phrases(texts), "tag_texts": B.tag_profiles(texts, config.min_tag_count),
-        "records": B.record_sections(B.records(notes, texts)), "revision_examples": B.revision_examples(notes), "phrase_examples": B.phrase_examples(texts), "deep_years": N.deep_years(texts), "entities": N.candidates(found), "entity_pairs": N.pairs(found), "shift_examples": N.shift_examples(notes, shifts),
+        "records": B.record_sections(B.records(notes, texts)), "revision_examples": B.revision_examples(notes), "phrase_examples": EX.phrase_examples(texts), "deep_years": N.deep_years(texts), "entities": N.candidates(found), "entity_pairs": N.pairs(found), "shift_examples": EX.shift_examples(notes, shifts), "pair_examples": EX.pair_examples(entries, pairs), "bridge_examples": EX.bridge_examples(entries, G.bridge_tags(G.qualified(scoped, config.min_tag_count))),
     }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuslens.operators import bodytext as B
 from corpuslens.operators import corpus as C
 from corpuslens.operators import entities as M
+from corpuslens.operators import examples as EX
 from corpuslens.operators import readings as RD
 from corpuslens.operators import recommend as R
 from corpuslens.operators import rhythm as H
@@ -74,6 +75,12 @@ def add(name, query, sql=None):
         SQL[name] = sql
 
 
+def _label(ts: str) -> str:
+    """SQL of local_label()."""
+    ts = f"CAST({ts} AS TIMESTAMP)"
+    return f"CASE WHEN hour({ts}) = 0 AND minute({ts}) = 0 THEN strftime({ts}, '%Y-%m-%d') ELSE strftime({ts}, '%Y-%m-%dT%H:%M') END"
+
+
 def R6(x, name):
     return f"round(CAST({x} AS DOUBLE), 6) AS {name}"
 
@@ -145,12 +152,30 @@ add("tag_distribution", q_entries(G.tag_distribution), f"{E}, c AS (SELECT year,
 _PAIRS = ", pc AS (SELECT a.tag AS l, b.tag AS r, count(*) AS support FROM et a JOIN et b ON a.path = b.path AND a.tag < b.tag GROUP BY ALL), tc AS (SELECT tag, count(*) AS n FROM et GROUP BY 1), nn AS (SELECT count(*) AS q FROM e)"
 add("tag_pair_lift", q_entries(lambda e: G.pair_lift(G.qualified(e))), f"{E}{_PAIRS} SELECT l AS \"left\", r AS \"right\", support, {R6('(support / q) / ((a.n / q) * (b.n / q))', 'lift')} FROM pc JOIN tc a ON a.tag = l JOIN tc b ON b.tag = r CROSS JOIN nn WHERE support >= 2 ORDER BY (support / q) / ((a.n / q) * (b.n / q)) DESC, support DESC, l, r LIMIT 10")
 add("bridge_tags", q_entries(lambda e: G.bridge_tags(G.qualified(e))), f"{E}{_PAIRS}, ed AS (SELECT l AS t, r AS o FROM pc UNION ALL SELECT r, l FROM pc), dg AS (SELECT t, count(*) AS d FROM ed GROUP BY 1), cl AS (SELECT x.t, count(*) AS c FROM ed x JOIN ed y ON x.t = y.t AND x.o < y.o JOIN pc ON l = x.o AND r = y.o GROUP BY 1), f AS (SELECT tag, n, coalesce(d, 0) AS degree, CASE WHEN coalesce(d, 0) >= 2 THEN coalesce(c, 0) / (d * (d - 1) / 2) ELSE 0 END AS cc FROM tc LEFT JOIN dg ON dg.t = tag LEFT JOIN cl ON cl.t = tag) SELECT tag, n, degree, {R6('cc', 'clustering')}, {R6('degree * (1 - cc) * ln(1 + n)', 'score')} FROM f ORDER BY degree * (1 - cc) * ln(1 + n) DESC, degree DESC, tag LIMIT 10")
+_PAIR_NOTES = f"""{E} SELECT b."left", b."right", CAST(row_number() OVER (PARTITION BY b."left", b."right" ORDER BY epoch_day, path) AS INT) AS rank, path
+FROM ({SQL['tag_pair_lift']}) b JOIN e ON list_contains(tags, b."left") AND list_contains(tags, b."right") QUALIFY rank <= 3"""
+_BRIDGE_NOTES = f"""{E} SELECT b.tag, CAST(row_number() OVER (PARTITION BY b.tag ORDER BY epoch_day, path) AS INT) AS rank, path FROM ({SQL['bridge_tags']}) b JOIN e ON list_contains(tags, b.tag) QUALIFY rank <= 3"""
+add("pair_examples", q_entries(lambda e: EX.pair_examples(e, G.pair_lift(G.qualified(e)))), _PAIR_NOTES)
+add("bridge_examples", q_entries(lambda e: EX.bridge_examples(e, G.bridge_tags(G.qualified(e)))), _BRIDGE_NOTES)
+#: A threshold that some tags do not reach.
+LEAST_TAG = 500
+
+
+def at_least(sql: str) -> str:
+    """The same query over the entries that keep a tag which is frequent enough, with those tags only."""
+    every = E.replace("e AS (", "e0 AS (", 1).replace("et AS (", "et0 AS (", 1).replace("FROM e)", "FROM e0)")
+    return sql.replace(E, f"""{every}, kt AS (SELECT tag FROM et0 GROUP BY tag HAVING count(*) >= {LEAST_TAG}), kf AS (SELECT path, list_sort(list(tag)) AS tags FROM et0 SEMI JOIN kt USING (tag) GROUP BY path),
+e AS (SELECT e0.* EXCLUDE (tags), kf.tags FROM e0 JOIN kf USING (path)), et AS (SELECT * EXCLUDE (tags), unnest(tags) AS tag FROM e)""")
+
+
+for _name, _query in {"tag_pair_lift": G.pair_lift, "bridge_tags": G.bridge_tags, "tag_distribution": G.tag_distribution}.items():
+    add(f"{_name}_of_frequent", q_entries(lambda e, f=_query: f(G.qualified(e, LEAST_TAG))), at_least(SQL[_name]))
 add("weekday_bias", q_entries(G.weekday_bias), f"{E}, d AS (SELECT weekday, count(*) AS dn FROM e GROUP BY 1), tc AS (SELECT tag, count(*) AS n FROM et GROUP BY 1), s AS (SELECT tag, weekday, count(*) AS support FROM et GROUP BY ALL HAVING count(*) >= 2), x AS (SELECT tag, CAST((weekday + 6) % 7 AS INT) AS weekday, support, (support / n) / (dn / (SELECT count(*) FROM e)) AS b FROM s JOIN tc USING (tag) JOIN d USING (weekday)) SELECT tag, weekday, support, {R6('b', 'bias')} FROM x ORDER BY b DESC, support DESC, tag, weekday LIMIT 10")
 add("fastest_tag", q_entries(G.fastest_tag), f"{E}, x AS (SELECT tag, count(DISTINCT epoch_day) AS days, (max(epoch_day) - min(epoch_day)) / (count(DISTINCT epoch_day) - 1) AS g FROM et GROUP BY tag HAVING count(DISTINCT epoch_day) >= 2) SELECT tag, days, {R6('g', 'mean_gap')} FROM x ORDER BY g, days DESC, tag LIMIT 1")
 add("tag_persistence", q_entries(G.persistence), f"{E}, y AS (SELECT DISTINCT tag, year FROM et), i AS (SELECT tag, year - row_number() OVER (PARTITION BY tag ORDER BY year) AS i FROM y), r AS (SELECT tag, i, count(*) AS run FROM i GROUP BY ALL) SELECT tag, CAST(sum(run) AS BIGINT) AS active_years, max(run) AS longest_run, {R6('max(run) / sum(run)', 'ratio')} FROM r GROUP BY tag")
 add("tag_length_coupling", q_entries(G.length_coupling), f"{E}, x AS (SELECT tag, count(*) AS n, avg(word_count) - (SELECT avg(word_count) FROM e) AS d FROM et GROUP BY tag), u AS (SELECT *, 'longer' AS side FROM x WHERE d > 0 ORDER BY d DESC, tag LIMIT 10), v AS (SELECT *, 'shorter' AS side FROM x WHERE d < 0 ORDER BY d, tag LIMIT 10) SELECT tag, n, {R6('d', 'delta')}, side FROM (SELECT * FROM u UNION ALL SELECT * FROM v)")
 add("longest_streak", q_entries(H.longest_streak), f"{E}, d AS (SELECT epoch_day, count(*) AS n FROM e GROUP BY 1), i AS (SELECT *, epoch_day - row_number() OVER (ORDER BY epoch_day) AS i FROM d) SELECT min(epoch_day) AS first_day, max(epoch_day) AS last_day, count(*) AS days, CAST(sum(n) AS BIGINT) AS entries FROM i GROUP BY i ORDER BY days DESC, entries DESC, first_day LIMIT 1")
-add("silence_gaps", q_entries(H.silence_gaps), f"{E}, d AS (SELECT epoch_day, min(path) AS a, max(path) AS b FROM e GROUP BY 1), l AS (SELECT lag(b) OVER (ORDER BY epoch_day) AS from_path, a AS to_path, lag(epoch_day) OVER (ORDER BY epoch_day) AS from_day, epoch_day AS to_day FROM d) SELECT *, to_day - from_day - 1 AS gap_days FROM l WHERE to_day - from_day - 1 > 0 ORDER BY gap_days DESC, from_day LIMIT 25")
+add("silence_gaps", q_entries(H.silence_gaps), f"{E}, d AS (SELECT epoch_day, min(path) AS a, max(path) AS b, {_label('arg_min(created, path)')} AS ca, {_label('arg_max(created, path)')} AS cb FROM e GROUP BY 1), l AS (SELECT lag(b) OVER (ORDER BY epoch_day) AS from_path, a AS to_path, lag(epoch_day) OVER (ORDER BY epoch_day) AS from_day, epoch_day AS to_day, lag(cb) OVER (ORDER BY epoch_day) AS from_date, ca AS to_date FROM d) SELECT *, to_day - from_day - 1 AS gap_days FROM l WHERE to_day - from_day - 1 > 0 ORDER BY gap_days DESC, from_path, to_path LIMIT 25")
 add("revision_length_correlation", q_entries(H.revision_length_correlation), f"{E} SELECT {R6('corr(lag_days, word_count)', 'correlation')}, count(*) AS pairs FROM e WHERE lag_days > 0")
 add("cadence_depth_correlation", q_entries(H.cadence_depth_correlation), f"{E}, o AS (SELECT epoch_day - lag(epoch_day) OVER (ORDER BY epoch_day, word_count, path) AS g, reading_minutes * (1 + ln(1 + greatest(0, coalesce(lag_days, 0))) / 4) AS d FROM e) SELECT {R6('corr(g, d)', 'correlation')}, count(*) AS pairs FROM o WHERE g IS NOT NULL")
 _TAGCHANGE = ", sy AS (SELECT year, tag, count(*) AS n FROM et GROUP BY ALL), sp AS (SELECT year, row_number() OVER (PARTITION BY year ORDER BY tag) AS k, n / sum(n) OVER (PARTITION BY year) AS p FROM sy), yy AS (SELECT year, lag(year) OVER (ORDER BY year) AS b FROM (SELECT DISTINCT year FROM e)), j AS (SELECT coalesce(a.year, c.year) AS year, coalesce(a.p, 0) AS p, coalesce(c.p, 0) AS q FROM (SELECT yy.year, k, p FROM yy JOIN sp ON sp.year = yy.year WHERE b IS NOT NULL) a FULL JOIN (SELECT yy.year, k, p FROM yy JOIN sp ON sp.year = b) c ON a.year = c.year AND a.k = c.k), tch AS (SELECT year, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS tag_change FROM j GROUP BY year)"
@@ -187,9 +212,9 @@ add("month_climate", q_texts(B.month_climate), f"{D}, m AS (SELECT month, sum(to
 add("opening_signatures", q_texts(B.opening_signatures), f"{D}{OPEN} SELECT opening, count(*) AS n, {R6('count(*) / sum(count(*)) OVER ()', 'share')} FROM o3 WHERE opening IS NOT NULL GROUP BY opening")
 add("opening_shift", q_texts(B.opening_shift), f"{D}{OPEN}, y AS (SELECT year, count(opening) AS tot FROM o3 GROUP BY 1), c AS (SELECT year, opening, count(*) AS n FROM o3 GROUP BY ALL), g AS (SELECT y.year, s.o, CASE WHEN tot > 0 THEN coalesce(n, 0) / tot ELSE 0 END AS p FROM y CROSS JOIN (SELECT unnest(['temporal', 'emotional', 'scene-setting', 'fragmentary', 'descriptive', 'declarative', 'other']) AS o) AS s LEFT JOIN c ON c.year = y.year AND c.opening = s.o), d AS (SELECT year, lag(year) OVER (PARTITION BY o ORDER BY year) AS b, abs(p - lag(p) OVER (PARTITION BY o ORDER BY year)) AS d FROM g) SELECT b AS \"before\", year, {R6('sum(d) / 2', 'distance')} FROM d WHERE b IS NOT NULL GROUP BY ALL")
 add("recurring_phrases", q_texts(B.recurring_phrases), f"{D}{PHRASES} SELECT phrase, entries, first_year, last_year, {R6('mean_gap', 'mean_gap')}, {R6('score', 'score')} FROM rs")
-add("phrase_examples", q_texts(B.phrase_examples), f"{D}{PHRASES}, b AS (SELECT phrase FROM rs ORDER BY score DESC, phrase LIMIT 10) SELECT phrase, CAST(row_number() OVER (PARTITION BY phrase ORDER BY created DESC, path) AS INT) AS rank, path FROM p JOIN b USING (phrase) QUALIFY rank <= 3")
+add("phrase_examples", q_texts(EX.phrase_examples), f"{D}{PHRASES}, b AS (SELECT phrase FROM rs ORDER BY score DESC, icu_sort_key(phrase, 'und'), phrase LIMIT 10) SELECT phrase, CAST(row_number() OVER (PARTITION BY phrase ORDER BY epoch_day, path) AS INT) AS rank, path FROM p JOIN b USING (phrase) QUALIFY rank <= 3")
 add("tag_text_profiles", q_texts(B.tag_profiles), f"""{D}, x AS (SELECT unnest(list_distinct(tags)) AS tag, token_count AS k, CASE WHEN token_count >= 2 AND len(vocabulary) >= 2 THEN ln(len(vocabulary)) / ln(token_count) END AS r, len(sentences) AS sn, coalesce(list_sum(sentences), 0) AS sw,
-  CASE WHEN len(sentences) > 0 THEN list_sum(sentences) / len(sentences) END AS s, CASE WHEN updated > created THEN (epoch_ms(updated) - epoch_ms(created)) / 86400000.0 END AS lag FROM t)
+  CASE WHEN len(sentences) > 0 THEN list_sum(sentences) / len(sentences) END AS s, nullif(CASE WHEN updated > created THEN floor((epoch_ms(updated) - epoch_ms(created)) / 86400000.0) END, 0) AS lag FROM t)
 SELECT tag, count(*) AS entries, {R6('avg(k)', 'mean_words')}, {R6('median(k)', 'median_words')}, {R6('avg(r)', 'mean_richness')}, {R6('sum(sw) / sum(sn)', 'mean_sentence')}, {R6('median(s) FILTER (s > 0)', 'median_sentence')}, {R6('avg(lag)', 'mean_lag')}, {R6('median(lag)', 'median_lag')} FROM x GROUP BY tag""")
 _TEXTS = f"""{D}{OPEN.replace("SELECT year, CASE", "SELECT path, year, CASE")}{PHRASES.replace(", g AS", ", g AS", 1)}, rp AS (SELECT DISTINCT path FROM p JOIN r USING (phrase)),
 sy AS (SELECT year, count(*) AS entries, avg(CAST(rp.path IS NOT NULL AS INT)) AS recurring_share, sum(token_count) AS tk, sum(len(sentences)) AS sn, sum(list_sum(sentences)) AS sw, sum(list_sum(list_transform(sentences, lambda x: x * x))) AS sq FROM t LEFT JOIN rp ON rp.path = t.path GROUP BY year),
@@ -200,7 +225,7 @@ _TEXT_NUMBERS = ("richness", "novelty", "sentence_mean", "sentence_variation", "
 add("text_year_profiles", q_texts(B.year_profiles), f"{_TEXTS} SELECT year, entries, opening, {', '.join(R6(c, c) for c in _TEXT_NUMBERS)} FROM ty")
 add("text_trend", q_texts(lambda r: B.year_profiles(r).select("year", "richness", "novelty", "sentence_mean", "recurring_share")), f"{_TEXTS} SELECT year, {', '.join(R6(c, c) for c in ('richness', 'novelty', 'sentence_mean', 'recurring_share'))} FROM ty")
 add("period_signature", q_texts(lambda r: B.period_signature(terms(r), 2021, 2023, 2018, 2020)), f"{D}, w AS (SELECT year, unnest(tokens) AS term FROM t), c AS (SELECT term, count(*) FILTER (year BETWEEN 2021 AND 2023) AS s, count(*) FILTER (year BETWEEN 2018 AND 2020) AS o FROM w WHERE length(term) >= 3 GROUP BY term HAVING s + o > 0), z AS (SELECT count(*) AS v, sum(s) AS ns, sum(o) AS nc FROM c), q AS (SELECT term, s, o, (s + 0.5) / (ns + 0.5 * v) AS sr, (o + 0.5) / (nc + 0.5 * v) AS cr FROM c CROSS JOIN z) SELECT term, s AS selected, o AS compared, {R6('sr', 'selected_rate')}, {R6('cr', 'compared_rate')}, {R6('log2(sr / cr)', 'score')}, CASE WHEN o = 0 THEN 'emergent' WHEN s = 0 THEN 'fading' ELSE 'distinctive' END AS kind FROM q WHERE s + o >= 2")
-add("revision_examples", lambda spark, sf: B.revision_examples(X.notes(spark, sf)), f"{D} SELECT path, CAST(token_count AS BIGINT) AS word_count, CAST(floor((epoch_ms(updated) - epoch_ms(created)) / 86400000) AS BIGINT) AS lag FROM t WHERE floor((epoch_ms(updated) - epoch_ms(created)) / 86400000) > 0 ORDER BY lag DESC, word_count DESC, path LIMIT 25")
+add("revision_examples", lambda spark, sf: B.revision_examples(X.notes(spark, sf)), f"{D} SELECT path, CAST(token_count AS BIGINT) AS word_count, CAST(floor((epoch_ms(updated) - epoch_ms(created)) / 86400000) AS BIGINT) AS lag, {_label('t.created')} AS created, {_label('t.updated')} AS updated FROM t WHERE floor((epoch_ms(updated) - epoch_ms(created)) / 86400000) > 0 ORDER BY lag DESC, word_count DESC, path LIMIT 25")
 
 
 def record_sections(spark, sf):
@@ -239,7 +264,7 @@ add("entity_lists", q_names(lambda found: M.top_candidates(M.candidates(found)))
 add("deep_period_lists", q_texts(lambda r: B.period_lists(B.period_terms(M.term_rows(r), 2023, 2023, True))))
 add("period_lists", q_texts(lambda r: B.period_lists(B.period_terms(terms(r), 2023, 2023, True))), f"""{D}, w AS (SELECT year, unnest(tokens) AS term FROM t), c AS (SELECT term, count(*) FILTER (year = 2023) AS s, count(*) FILTER (year < 2023) AS o FROM w WHERE length(term) >= 3 AND year <= 2023 GROUP BY term), z AS (SELECT count(*) AS v, sum(s) AS ns, sum(o) AS nc FROM c),
 q AS (SELECT term, s, o, (s + 0.5) / (ns + 0.5 * v) AS sr, log2(((s + 0.5) / (ns + 0.5 * v)) / ((o + 0.5) / (nc + 0.5 * v))) AS score FROM c CROSS JOIN z WHERE s + o >= 2),
-a AS (SELECT 'distinctive' AS list, row_number() OVER (ORDER BY round(score, 9) DESC, s DESC, term) AS rank, * FROM q WHERE score > 0 QUALIFY rank <= 10), b AS (SELECT 'emergent' AS list, row_number() OVER (ORDER BY s DESC, term) AS rank, * FROM q WHERE o = 0 AND s >= 2 QUALIFY rank <= 10), f AS (SELECT 'fading' AS list, row_number() OVER (ORDER BY round(score, 9), o DESC, term) AS rank, * FROM q WHERE score < 0 QUALIFY rank <= 10)
+a AS (SELECT 'distinctive' AS list, row_number() OVER (ORDER BY round(score, 9) DESC, s DESC, icu_sort_key(term, 'und'), term) AS rank, * FROM q WHERE score > 0 QUALIFY rank <= 10), b AS (SELECT 'emergent' AS list, row_number() OVER (ORDER BY s DESC, icu_sort_key(term, 'und'), term) AS rank, * FROM q WHERE o = 0 AND s >= 2 QUALIFY rank <= 10), f AS (SELECT 'fading' AS list, row_number() OVER (ORDER BY round(score, 9), o DESC, icu_sort_key(term, 'und'), term) AS rank, * FROM q WHERE score < 0 QUALIFY rank <= 10)
 SELECT list, CAST(rank AS INT) AS rank, term, s AS selected, o AS compared, round(score, 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM f)""")
 
 
@@ -262,8 +287,8 @@ tp AS (SELECT *, lag(year) OVER (ORDER BY year) AS b, lag(coalesce(richness, 0))
 tc2 AS (SELECT b AS from_year, year AS to_year, least(1, abs(coalesce(richness, 0) - r0) * 4) * 0.35 + least(1, abs(coalesce(novelty, 0) - n0) * 2) * 0.25 + least(1, abs(ln((coalesce(sentence_mean, 0) + 1) / (s0 + 1)))) * 0.2 + least(1, abs(coalesce(recurring_share, 0) - p0) * 2) * 0.2 AS text_change FROM tp WHERE b IS NOT NULL),
 ts AS (SELECT sh.*, text_change, tag_change * 0.35 + text_change * 0.2 + volume_change * 0.2 + revision_change * 0.125 + cadence_change * 0.125 AS score FROM sh JOIN tc2 USING (from_year, to_year))"""
 add("text_regime_shifts", text_shifts, f"{_TEXT_SHIFTS} SELECT from_year, to_year, {_PARTS6}, {R6('score', 'score')} FROM ts")
-add("shift_examples", lambda spark, sf: M.shift_examples(X.notes(spark, sf), text_shifts(spark, sf).select("from_year", "to_year")), f"""{_TEXT_SHIFTS}, sx AS (SELECT from_year, to_year, 'before' AS side, CAST(row_number() OVER (PARTITION BY to_year ORDER BY created DESC, path) AS INT) AS rank, path FROM ts JOIN t ON t.year = from_year QUALIFY rank <= 3),
-sz AS (SELECT from_year, to_year, 'after' AS side, CAST(row_number() OVER (PARTITION BY to_year ORDER BY created, path) AS INT) AS rank, path FROM ts JOIN t ON t.year = to_year QUALIFY rank <= 3) SELECT * FROM sx UNION ALL SELECT * FROM sz""")
+add("shift_examples", lambda spark, sf: EX.shift_examples(X.notes(spark, sf), text_shifts(spark, sf).select("from_year", "to_year")), f"""{_TEXT_SHIFTS}, sx AS (SELECT from_year, to_year, 'before' AS side, CAST(row_number() OVER (PARTITION BY to_year ORDER BY epoch_day DESC, path) AS INT) AS rank, path FROM ts JOIN t ON t.year = from_year QUALIFY rank <= 3),
+sz AS (SELECT from_year, to_year, 'after' AS side, CAST(row_number() OVER (PARTITION BY to_year ORDER BY epoch_day, path) AS INT) AS rank, path FROM ts JOIN t ON t.year = to_year QUALIFY rank <= 3) SELECT * FROM sx UNION ALL SELECT * FROM sz""")
 
 
 def _structure(spark, sf):
@@ -328,6 +353,7 @@ def flat_tables(spark, sf):
     return {
         "file_totals": C.file_totals(files, 230, "median"), "file_years": C.file_years(files), "tag_summary": C.tag_summary(e), "tags": C.tag_rows(e), "tag_coverage": C.tag_coverage(e), "tags_by_year": C.tag_rows(e, 1, 1, True), "year_profiles": H.year_profiles(e),
         "pair_lift": G.pair_lift(G.qualified(e)), "bridge_tags": G.bridge_tags(G.qualified(e)), "regime_shifts": H.regime_shifts(e), "longest_streak": H.longest_streak(e), "hours": C.hourly_activity(events, "ts"), "tag_years": C.tag_year_heatmap(e), "month_profile": C.month_profile(e),
+        "pair_examples": EX.pair_examples(e, G.pair_lift(G.qualified(e))), "bridge_examples": EX.bridge_examples(e, G.bridge_tags(G.qualified(e))),
         "silence_gaps": H.silence_gaps(e), "headlines": RD.headlines(H.year_profiles(e), G.pair_lift(G.qualified(e)), H.regime_shifts(e)),
     }
 
@@ -383,7 +409,12 @@ def _flat_sql() -> str:
     advanced("extra_month", of("month_length_profile"), "extra_metrics", f"{months}[month]", "entries", said(("mean_words", d("mean_words")), ("median_words", d("median_words"))), d("mean_words"))
     advanced("extra_hour", f"(SELECT * FROM ({hours}) WHERE entries > 0)", "extra_metrics", "printf('%02d:00', hour)", "entries", said(("mean_words", "'0'")), d("entries"))
     advanced("extra_tag_frequency", f"(SELECT * FROM {of('tag_year_heatmap')} WHERE entries > 0)", "extra_metrics", "tag", "entries", "'tag_frequency_over_years'", d("entries"), "year")
-    advanced("structural_example_silence_gap", f"(SELECT * FROM {of('silence_gaps')} ORDER BY gap_days DESC, from_day LIMIT 5)", "structural_examples", "'silence_gap'", d("gap_days"), said(("before", "from_path"), ("after", "to_path")), d("gap_days"))
+    advanced("structural_example_silence_gap", f"(SELECT * FROM {of('silence_gaps')} ORDER BY gap_days DESC, from_path, to_path LIMIT 5)", "structural_examples", "'silence_gap'", d("gap_days"), said(("before", "from_path"), ("before_date", "from_date"), ("after", "to_path"), ("after_date", "to_date")), d("gap_days"))
+    notes = "string_agg(path, ' | ' ORDER BY rank) AS notes"
+    pairs = f"""(SELECT * FROM {of('tag_pair_lift')} LEFT JOIN (SELECT "left", "right", {notes} FROM ({_PAIR_NOTES}) GROUP BY ALL) USING ("left", "right") ORDER BY lift DESC, support DESC, "left", "right" LIMIT 5)"""
+    advanced("structural_example_tag_pair", pairs, "structural_examples", "\"left\" || ' + ' || \"right\"", "support", said(("lift", d("lift")), ("notes", "notes")), d("lift"))
+    bridges = f"(SELECT * FROM {of('bridge_tags')} LEFT JOIN (SELECT tag, {notes} FROM ({_BRIDGE_NOTES}) GROUP BY ALL) USING (tag) ORDER BY score DESC, degree DESC, tag LIMIT 5)"
+    advanced("structural_example_bridge_tag", bridges, "structural_examples", "tag", "n", said(("degree", t("degree")), ("notes", "notes")), d("score"))
     return " UNION ALL ".join(f"SELECT * FROM ({b})" for b in blocks)
 
 

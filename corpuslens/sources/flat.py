@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import timestamps as T
+from corpuslens.functions.order import named as keys
 
 # The columns of the format, in their order.
 COLUMNS = [
@@ -131,7 +132,7 @@ def _years_and_texts(flat: Flat, t: dict[str, DataFrame], scope: str | None, top
         detail = facts(("novelty", decimal("novelty")), ("avg_sentence", decimal("sentence_mean")), ("opening", whole("opening")))
         flat.advanced(t["text_years"], "advanced_text_year", "body_text", F.lit("year_profile"), decimal("richness"), detail, decimal("recurring_share"), place=[F.col("year")], **_year())
     if "phrases" in t:
-        best = t["phrases"].orderBy(F.desc("score"), F.desc("entries"), "phrase").limit(top)
+        best = t["phrases"].orderBy(F.desc("score"), F.desc("entries"), *keys("phrase")).limit(top)
         detail = facts(("first_year", whole("first_year")), ("last_year", whole("last_year")), ("avg_gap_days", decimal("mean_gap")))
         flat.advanced(best, "advanced_text_phrase", "body_text", F.col("phrase"), whole("entries"), detail, decimal("score"), place=[-F.col("score"), -F.col("entries")], tie=F.col("phrase"), year=F.col("last_year"))
     if "tag_texts" in t:
@@ -169,7 +170,7 @@ def _deep(flat: Flat, t: dict[str, DataFrame], top: int) -> None:
     if "entity_pairs" in t:
         order = [-F.col("strength"), -F.col("support"), -F.col("years")]
         label = F.concat_ws(" + ", "left_label", "right_label")
-        best = t["entity_pairs"].orderBy(*order, "left_label", "right_label").limit(top)
+        best = t["entity_pairs"].orderBy(*order, *keys("left_label", "right_label")).limit(top)
         detail = facts(("left", whole("left_label")), ("right", whole("right_label")), ("active_years", whole("years")))
         flat.advanced(best, "advanced_entity_pair", "entity_candidates", label, whole("support"), detail, decimal("strength"), place=order, tie=label)
 
@@ -219,17 +220,26 @@ def _examples(flat: Flat, t: dict[str, DataFrame], limit: int) -> None:
     """The example rows, at most `limit` of each kind (at least one)."""
     limit, group = max(1, limit), "structural_examples"
     if "silence_gaps" in t:
-        rows = t["silence_gaps"].orderBy(F.desc("gap_days"), "from_day").limit(limit)
-        detail = facts(("before", whole("from_path")), ("after", whole("to_path")))
-        flat.advanced(rows, "structural_example_silence_gap", group, F.lit("silence_gap"), decimal("gap_days"), detail, decimal("gap_days"), place=[-F.col("gap_days"), F.col("from_day")])
+        rows = t["silence_gaps"].orderBy(F.desc("gap_days"), *keys("from_path", "to_path")).limit(limit)
+        detail = facts(("before", whole("from_path")), ("before_date", whole("from_date")), ("after", whole("to_path")), ("after_date", whole("to_date")))
+        flat.advanced(rows, "structural_example_silence_gap", group, F.lit("silence_gap"), decimal("gap_days"), detail, decimal("gap_days"), place=[-F.col("gap_days")], tie=F.col("from_path"))
     if "revision_examples" in t:
-        rows = t["revision_examples"].orderBy(F.desc("lag"), F.desc("word_count"), "path").limit(limit)
-        flat.advanced(rows, "structural_example_revision_lag", group, F.col("path"), decimal("lag"), facts(("words", decimal("word_count"))), decimal("lag"), place=[-F.col("lag"), -F.col("word_count")], tie=F.col("path"))
+        rows = t["revision_examples"].orderBy(F.desc("lag"), F.desc("word_count"), *keys("path")).limit(limit)
+        flat.advanced(rows, "structural_example_revision_lag", group, F.col("path"), decimal("lag"), facts(("created", whole("created")), ("updated", whole("updated")), ("words", decimal("word_count"))), decimal("lag"), place=[-F.col("lag"), -F.col("word_count")], tie=F.col("path"))
     notes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda p: p["path"]), " | ")
     if "phrase_examples" in t and "phrases" in t:
         shown = t["phrase_examples"].groupBy("phrase").agg(notes.alias("notes")).join(t["phrases"], "phrase")
-        rows = shown.orderBy(F.desc("score"), F.desc("entries"), "phrase").limit(limit)
+        rows = shown.orderBy(F.desc("score"), F.desc("entries"), *keys("phrase")).limit(limit)
         flat.advanced(rows, "structural_example_phrase", group, F.col("phrase"), whole("entries"), facts(("avg_gap_days", decimal("mean_gap")), ("notes", F.col("notes"))), decimal("score"), place=[-F.col("score"), -F.col("entries")], tie=F.col("phrase"))
+    if "pair_examples" in t and "pair_lift" in t:
+        shown = t["pair_lift"].join(t["pair_examples"].groupBy("left", "right").agg(notes.alias("notes")), ["left", "right"], "left")
+        label = F.concat_ws(" + ", "left", "right")
+        rows = shown.orderBy(F.desc("lift"), F.desc("support"), *keys("left", "right")).limit(limit)
+        flat.advanced(rows, "structural_example_tag_pair", group, label, whole("support"), facts(("lift", decimal("lift")), ("notes", whole("notes"))), decimal("lift"), place=[-F.round("lift", 9), -F.col("support")], tie=label)
+    if "bridge_examples" in t and "bridge_tags" in t:
+        shown = t["bridge_tags"].join(t["bridge_examples"].groupBy("tag").agg(notes.alias("notes")), "tag", "left")
+        rows = shown.orderBy(F.desc("score"), F.desc("degree"), *keys("tag")).limit(limit)
+        flat.advanced(rows, "structural_example_bridge_tag", group, F.col("tag"), whole("n"), facts(("degree", whole("degree")), ("notes", whole("notes"))), decimal("score"), place=[-F.round("score", 9), -F.col("degree")], tie=F.col("tag"))
     if "shift_examples" in t and "regime_shifts" in t:
         sides = t["shift_examples"].groupBy("from_year", "to_year", "side").agg(notes.alias("notes"))
         both = sides.groupBy("from_year", "to_year").agg(*(F.coalesce(F.max(F.when(F.col("side") == s, F.col("notes"))), F.lit("")).alias(s) for s in ("before", "after")))

@@ -224,7 +224,7 @@ class Report:
         if "revision_examples" in self.t:
             rows = self.rows("revision_examples", F.desc("lag"), F.desc("word_count"), "path", limit=k)
             out += ["#### Revision lags", ""] + grid(["Note", "Days", "Words"], [[link(r["path"]), number(r["lag"]), str(r["word_count"])] for r in rows], {0})
-        for name, title, keys in (("phrase_examples", "Recurring phrases", ["phrase"]), ("shift_examples", "Regime shifts", ["from_year", "to_year", "side"])):
+        for name, title, keys in (("phrase_examples", "Recurring phrases", ["phrase"]), ("pair_examples", "Tag pairs", ["left", "right"]), ("bridge_examples", "Bridge tags", ["tag"]), ("shift_examples", "Regime shifts", ["from_year", "to_year", "side"])):
             if name in self.t:
                 notes = F.array_sort(F.collect_list(F.struct("rank", "path"))).alias("notes")
                 rows = self.t[name].groupBy(*keys).agg(notes).orderBy(*keys).limit(k).collect()
