@@ -7,6 +7,68 @@ from dataclasses import dataclass, field
 ALGORITHM, CACHE_VERSION = 9, 4
 
 
+@dataclass(frozen=True)
+class YearScope:
+    """P2, P3. The years of the hour or body-text metrics; without both ends, every year (no other limit than those given)."""
+
+    from_year: int | None = None
+    to_year: int | None = None
+
+    def holds(self, year):
+        """Column condition; a null year is in no scope."""
+        ok = year.isNotNull()
+        ok = ok if self.from_year is None else ok & (year >= self.from_year)
+        return ok if self.to_year is None else ok & (year <= self.to_year)
+
+    def label(self) -> str:
+        """P11."""
+        if self.from_year is None and self.to_year is None:
+            return "All eligible years"
+        return f"{'start' if self.from_year is None else self.from_year} to {'end' if self.to_year is None else self.to_year}"
+
+
+@dataclass(frozen=True)
+class DeepScope:
+    """P4, P5. Notes for deep text: all, or those of some years with any of some tags and none of others."""
+
+    defined: bool = False
+    years: YearScope = YearScope()
+    included: tuple[str, ...] = ()
+    excluded: tuple[str, ...] = ()
+
+    def resolved(self, config: "AnalysisConfig") -> "DeepScope":
+        """The tags as notes have them: normalised, aliased, without ignored ones, distinct."""
+
+        def norm(tag: str) -> str:
+            import re
+
+            parts = [x.strip() for x in re.sub(r"\s+", " ", re.sub("^#+", "", tag.strip().replace("\\", "/"))).lower().split("/") if x.strip()]
+            return (parts[-1] if parts else "") if config.tag_mode == "leaf" else "/".join(parts)
+
+        aliases = {norm(a): norm(b) for a, b in config.tag_aliases.items() if norm(a) and norm(b)}
+        ignored = {norm(t) for t in config.ignored_tags}
+        clean = lambda tags: tuple(dict.fromkeys(t for t in (aliases.get(norm(x), norm(x)) for x in tags) if t and t not in ignored))
+        return DeepScope(self.defined, self.years, clean(self.included), clean(self.excluded))
+
+    def label(self) -> str:
+        """P11."""
+        if not self.defined:
+            return "Analyze everything"
+        ends = ("start" if self.years.from_year is None else self.years.from_year, "end" if self.years.to_year is None else self.years.to_year)
+        return f"{ends[0]} to {ends[1]}"
+
+    def holds(self, year, tags):
+        """Column condition over a note's year and tags."""
+        from pyspark.sql import functions as F
+
+        if not self.defined:
+            return F.lit(True)
+        among = lambda names: F.coalesce(F.arrays_overlap(tags, F.array(*map(F.lit, names))), F.lit(False))
+        ok = self.years.holds(year)
+        ok = ok & among(self.included) if self.included else ok
+        return ok & ~among(self.excluded) if self.excluded else ok
+
+
 @dataclass(frozen=True)
 class AnalysisConfig:
     """What an analysis reads and how; years are empty for no limit."""
@@ -34,6 +96,9 @@ class AnalysisConfig:
     include_years: tuple[int, ...] = ()
     exclude_years: tuple[int, ...] = ()
     strict_parity: bool = True
+    hour_years: YearScope = YearScope()
+    text_years: YearScope = YearScope()
+    deep: DeepScope = DeepScope()
 
     def __post_init__(self):
         if self.scope_mode not in ("all", "include", "exclude") or self.tag_mode not in ("full", "leaf"):
@@ -72,61 +137,6 @@ class AnalysisConfig:
         return f"{self.from_year if self.from_year is not None else 'start'} to {self.to_year if self.to_year is not None else 'now'}"
 
 
-@dataclass(frozen=True)
-class YearScope:
-    """P2, P3. The years of the hour or body-text metrics; without both ends, every year (no other limit than those given)."""
-
-    from_year: int | None = None
-    to_year: int | None = None
-
-    def holds(self, year):
-        """Column condition; a null year is in no scope."""
-        ok = year.isNotNull()
-        ok = ok if self.from_year is None else ok & (year >= self.from_year)
-        return ok if self.to_year is None else ok & (year <= self.to_year)
-
-    def label(self) -> str:
-        """P11."""
-        if self.from_year is None and self.to_year is None:
-            return "All eligible years"
-        return f"{'start' if self.from_year is None else self.from_year} to {'end' if self.to_year is None else self.to_year}"
-
-
-@dataclass(frozen=True)
-class DeepScope:
-    """P4, P5. Notes for deep text: all, or those of some years with any of some tags and none of others."""
-
-    defined: bool = False
-    years: YearScope = YearScope()
-    included: tuple[str, ...] = ()
-    excluded: tuple[str, ...] = ()
-
-    def resolved(self, config: AnalysisConfig) -> "DeepScope":
-        """The tags as notes have them: normalised, aliased, without ignored ones, distinct."""
-
-        def norm(tag: str) -> str:
-            import re
-
-            parts = [x.strip() for x in re.sub(r"\s+", " ", re.sub("^#+", "", tag.strip().replace("\\", "/"))).lower().split("/") if x.strip()]
-            return (parts[-1] if parts else "") if config.tag_mode == "leaf" else "/".join(parts)
-
-        aliases = {norm(a): norm(b) for a, b in config.tag_aliases.items() if norm(a) and norm(b)}
-        ignored = {norm(t) for t in config.ignored_tags}
-        clean = lambda tags: tuple(dict.fromkeys(t for t in (aliases.get(norm(x), norm(x)) for x in tags) if t and t not in ignored))
-        return DeepScope(self.defined, self.years, clean(self.included), clean(self.excluded))
-
-    def holds(self, year, tags):
-        """Column condition over a note's year and tags."""
-        from pyspark.sql import functions as F
-
-        if not self.defined:
-            return F.lit(True)
-        among = lambda names: F.coalesce(F.arrays_overlap(tags, F.array(*map(F.lit, names))), F.lit(False))
-        ok = self.years.holds(year)
-        ok = ok & among(self.included) if self.included else ok
-        return ok & ~among(self.excluded) if self.excluded else ok
-
-
 @dataclass(frozen=True)
 class RecommendConfig:
     """Which notes a recommendation reads, and its weights."""
@@ -141,6 +151,8 @@ class RecommendConfig:
     same_folder: float = 1.0
     limit: int = 10
     diversity: float = 0.3
+    #: Not in strict mode: pick notes that are unlike those already picked, from so many of the best (0: off).
+    diverse_pool: int = 0
 
 
 def parse_lines(text: str) -> tuple[str, ...]:

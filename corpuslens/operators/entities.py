@@ -25,6 +25,12 @@ def deep_years(rows: DataFrame) -> DataFrame:
     return tokens.join(by_year, "year", "left").select("year", "entries", "tokens", F.coalesce("content", F.lit(0)).alias("content"), F.coalesce("vocabulary", F.lit(0)).alias("vocabulary"), richness(F.col("content"), F.col("vocabulary")).alias("richness"), F.try_divide("content", "tokens").alias("content_share"), "novelty")
 
 
+def deep_leaders(years: DataFrame) -> DataFrame:
+    """A42. One row: the years of the richest, the most novel and the densest content; of equal ones the first."""
+    lead = lambda c: F.max_by("year", F.when(F.col(c).isNotNull(), F.struct(F.col(c), -F.col("year"))))
+    return years.agg(lead("richness").alias("richest_year"), lead("novelty").alias("most_novel_year"), lead("content_share").alias("densest_year"))
+
+
 def mentions(notes: DataFrame) -> DataFrame:
     """path, created, key, label: each name once for a note."""
     found = notes.select("path", "created", F.explode(Z.names_column("text")).alias("label"))

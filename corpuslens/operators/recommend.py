@@ -6,8 +6,11 @@ all pairs of a common tag, folder or link target; recommend() is the plain plan
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from corpuslens.config import RecommendConfig
 from corpuslens.functions.order import named
@@ -163,9 +166,43 @@ def recommend_all(notes: DataFrame, config: RecommendConfig = RecommendConfig())
     # Bounds by parts of a score hold where no part takes away.
     linked = _between(_best_pairs(notes, config), notes) if min(weights) >= 0 else None
     order = Window.partitionBy("src").orderBy(F.desc("score"), *named("dst"))
+    if config.diverse_pool > 0:
+        return _diverse(notes, config)
     return score_pairs(notes, config, linked=linked).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.limit)
 
 
+def _diverse(notes: DataFrame, config: RecommendConfig) -> DataFrame:
+    """R4, not strict. From the `diverse_pool` best notes of each source, one after another, the one whose score less
+    10 x diversity x its largest similarity to those already picked is highest, while that is not negative.
+
+    Two notes are as similar as their tags and links overlap (Jaccard). A source's pool is an array of bounded size.
+    """
+    pool = recommend_all(notes, replace(config, limit=max(config.limit, config.diverse_pool), diverse_pool=0))
+    mark = lambda c, kind: F.transform(F.coalesce(F.col(c), F.array()), lambda x: F.concat(F.lit(kind), x))
+    traits = notes.select(F.col("path").alias("dst"), F.array_distinct(F.concat(mark("tags", "#"), mark("links", "@"))).alias("traits"))
+    shown = [c for c in pool.columns if c not in ("src", "rank")]
+    rows = pool.join(traits, "dst").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("rank", "traits", F.struct(*shown).alias("row")))).alias("pool"))
+    one = rows.select("src", "pool").schema["pool"].dataType.elementType
+
+    def alike(a: Column, b: Column) -> Column:
+        return F.coalesce(F.try_divide(F.size(F.array_intersect(a["traits"], b["traits"])), F.size(F.array_union(a["traits"], b["traits"]))), F.lit(0.0))
+
+    def less(candidate: Column, picked: Column) -> Column:
+        likest = F.aggregate(picked, F.lit(0.0), lambda s, p: F.greatest(s, alike(candidate, p)))
+        return candidate["row"]["score"] - likest * (10 * config.diversity)
+
+    def step(state: Column, _: Column) -> Column:
+        # Ranks are the order of equal scores: the smallest of the best.
+        scored = F.transform(state["left"], lambda c: F.struct((-less(c, state["picked"])).alias("cost"), c["rank"].alias("rank"), c.alias("c")))
+        best = F.array_min(F.filter(scored, lambda x: (x["cost"] <= 0) | (F.size(state["picked"]) == 0)))
+        return F.when(best.isNull(), state).otherwise(F.struct(F.concat(state["picked"], F.array(best["c"])).alias("picked"), F.filter(state["left"], lambda c: c["rank"] != best["rank"]).alias("left")))
+
+    start = F.struct(F.array().cast(ArrayType(one, False)).alias("picked"), F.col("pool").alias("left"))
+    picked = F.aggregate(F.sequence(F.lit(1), F.lit(config.limit)), start, step, lambda s: s["picked"])
+    found = rows.select("src", F.posexplode(picked).alias("at", "c"))
+    return found.select("src", "c.row.*", (F.col("at") + 1).alias("rank"))
+
+
 def recommend(notes: DataFrame, path: str, config: RecommendConfig = RecommendConfig()) -> DataFrame:
     """R1. The best notes for one; none for an unknown path."""
     return score_pairs(notes, config, path).orderBy(F.desc("score"), *named("dst")).limit(config.limit)

@@ -350,11 +350,13 @@ for _name, _query in {
 def flat_tables(spark, sf):
     """What the registered flat export holds: files of facts(), entries of entries(), hours of the events."""
     e, files, events = X.entries(spark, sf), X.facts(spark, sf), X.table(spark, sf, "events")
+    years, shifts = H.year_profiles(e), H.regime_shifts(e)
+    pairs, bridges = G.pair_lift(G.qualified(e)), G.bridge_tags(G.qualified(e))
     return {
-        "file_totals": C.file_totals(files, 230, "median"), "file_years": C.file_years(files), "tag_summary": C.tag_summary(e), "tags": C.tag_rows(e), "tag_coverage": C.tag_coverage(e), "tags_by_year": C.tag_rows(e, 1, 1, True), "year_profiles": H.year_profiles(e),
-        "pair_lift": G.pair_lift(G.qualified(e)), "bridge_tags": G.bridge_tags(G.qualified(e)), "regime_shifts": H.regime_shifts(e), "longest_streak": H.longest_streak(e), "hours": C.hourly_activity(events, "ts"), "tag_years": C.tag_year_heatmap(e), "month_profile": C.month_profile(e),
-        "pair_examples": EX.pair_examples(e, G.pair_lift(G.qualified(e))), "bridge_examples": EX.bridge_examples(e, G.bridge_tags(G.qualified(e))),
-        "silence_gaps": H.silence_gaps(e), "headlines": RD.headlines(H.year_profiles(e), G.pair_lift(G.qualified(e)), H.regime_shifts(e)),
+        "file_totals": C.file_totals(files, 230, "median"), "file_years": C.file_years(files), "tag_summary": C.tag_summary(e), "tags": C.tag_rows(e), "tag_coverage": C.tag_coverage(e), "tags_by_year": C.tag_rows(e, 1, 1, True), "year_profiles": years,
+        "pair_lift": pairs, "bridge_tags": bridges, "regime_shifts": shifts, "longest_streak": H.longest_streak(e), "hours": C.hourly_activity(events, "ts"), "tag_years": C.tag_year_heatmap(e), "month_profile": C.month_profile(e),
+        "pair_examples": EX.pair_examples(e, pairs), "bridge_examples": EX.bridge_examples(e, bridges),
+        "silence_gaps": H.silence_gaps(e), "headlines": RD.headlines(years, pairs, shifts),
     }
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.config import AnalysisConfig, YearScope
 from corpuslens.functions import timestamps as T
 from corpuslens.functions.order import named as keys
 
@@ -122,7 +123,7 @@ def _totals(flat: Flat, t: dict[str, DataFrame], method: str, duration: str) ->
         flat.add(t["tags_by_year"].join(sizes, "year"), "tag_year", [F.col("year"), *order], F.col("label"), **_year(), **_tag_cells())
 
 
-def _years_and_texts(flat: Flat, t: dict[str, DataFrame], scope: str | None, top: int) -> None:
+def _years_and_texts(flat: Flat, t: dict[str, DataFrame], scope: str | None, top: int, config: AnalysisConfig | None) -> None:
     if "headlines" in t:
         flat.advanced(t["headlines"], "advanced_headline", "headline", F.col("label"), F.col("value"), F.col("detail"), place=[F.col("place")])
     if "year_profiles" in t:
@@ -142,9 +143,20 @@ def _years_and_texts(flat: Flat, t: dict[str, DataFrame], scope: str | None, top
         )
         order = [-F.col("entries"), -F.coalesce("mean_richness", F.lit(-1.0))]
         flat.advanced(t["tag_texts"], "advanced_text_tag", "body_text", F.col("tag"), whole("entries"), detail, decimal("mean_richness"), place=order, tie=F.col("tag"))
-    if scope is not None and flat.blocks:
-        one = flat.blocks[0].sparkSession.range(1)
-        flat.advanced(one, "advanced_text_scope", "body_text", F.lit("time_scope"), F.lit(scope), F.lit("mode=all" if scope == "All eligible years" else "mode=year-range"))
+    if flat.blocks and (scope is not None or config is not None):
+        label = config.text_years.label() if config is not None else scope
+        flat.advanced(_one(flat), "advanced_text_scope", "body_text", F.lit("time_scope"), F.lit(label), F.lit(_mode(label, config and config.text_years)))
+
+
+def _one(flat: Flat) -> DataFrame:
+    return flat.blocks[0].sparkSession.range(1)
+
+
+def _mode(label: str, years: YearScope | None) -> str:
+    if label == "All eligible years":
+        return "mode=all-years"
+    ends = lambda x: "" if x is None else x
+    return "mode=year-range" + (f"; from={ends(years.from_year)}; to={ends(years.to_year)}" if years else "")
 
 
 def _deep(flat: Flat, t: dict[str, DataFrame], top: int) -> None:
@@ -248,18 +260,25 @@ def _examples(flat: Flat, t: dict[str, DataFrame], limit: int) -> None:
         flat.advanced(rows, "structural_example_regime_shift", group, name, decimal("score"), facts(("from_notes", F.col("before")), ("to_notes", F.col("after"))), decimal("score"), place=[-F.col("score"), -F.col("to_year")], year=F.col("to_year"))
 
 
-def flat_rows(tables: dict[str, DataFrame], method: str = "mean", duration: str = "", text_scope: str | None = None, top: int = 10, examples: int = 0) -> DataFrame:
+def flat_rows(tables: dict[str, DataFrame], method: str = "mean", duration: str = "", text_scope: str | None = None, top: int = 10, examples: int = 0, config: AnalysisConfig | None = None) -> DataFrame:
     """G15, S19, U5, H26-H29. The 34 columns as text, with part, place and tie for their order.
 
     tables: as analyze() names them; file_totals, file_years, tag_summary, hours, readings and period_lists besides.
-    examples: how many example rows of each kind; 0 for none.
+    examples: how many example rows of each kind; 0 for none. config: adds the rows that say which years and tags count.
     """
     flat = Flat()
     _totals(flat, tables, method, duration)
-    _years_and_texts(flat, tables, text_scope, top)
+    _years_and_texts(flat, tables, text_scope, top, config)
+    if config is not None and config.deep_text and flat.blocks:
+        deep = config.deep.resolved(config)
+        ends = ["" if x is None else x for x in (deep.years.from_year, deep.years.to_year)]
+        tags = f"; from={ends[0]}; to={ends[1]}; included={'|'.join(deep.included)}; excluded={'|'.join(deep.excluded)}"
+        flat.advanced(_one(flat), "advanced_czech_scope", "czech_normalized_text", F.lit("scope"), F.lit(deep.label()), F.lit(f"mode=defined{tags}" if deep.defined else "mode=all"))
     _deep(flat, tables, top)
     _structure(flat, tables)
     _extra(flat, tables)
+    if config is not None and flat.blocks:
+        flat.advanced(_one(flat), "extra_metric", "extra_metrics", F.lit("hour_metric_scope"), F.lit(config.hour_years.label()))
     if examples > 0:
         _examples(flat, tables, examples)
     if not flat.blocks:

@@ -78,3 +78,79 @@ def test_rows_stay_linear(spark, most_rows, kind):
     assert most_rows(found) <= 12 * n
     rows = {r["rank"]: r.dst for r in found.where("src = 'n019999.md'").collect()}
     assert rows == {1: "n000000.md", 2: "n000001.md", 3: "n000002.md"}
+
+
+def diverse(notes, config):
+    """Greedy selection by plain loops over the brute-force pool."""
+    pool = brute(notes, RecommendConfig(**{**config.__dict__, "limit": max(config.limit, config.diverse_pool)}))
+    traits = {p: {"#" + t for t in tags or []} | {"@" + x for x in links or []} for p, links, tags, _ in notes}
+    out = {}
+    for p, ranked in pool.items():
+        left, picked = list(enumerate(ranked)), []
+        while left and len(picked) < config.limit:
+            cost = lambda c: c[1][1] - 10 * config.diversity * max((len(traits[c[1][0]] & traits[q]) / len(traits[c[1][0]] | traits[q]) if traits[c[1][0]] | traits[q] else 0 for q in picked), default=0)  # noqa: B023, E731
+            best = max(left, key=lambda c: (round(cost(c), 9), -c[0]))
+            if picked and cost(best) < 0:
+                break
+            picked.append(best[1][0])
+            left.remove(best)
+        out[p] = picked
+    return out
+
+
+def test_diverse_selection(spark):
+    notes = made(30, 2)
+    config = RecommendConfig(limit=4, diversity=0.4, diverse_pool=12)
+    got = {p: [] for p, *_ in notes}
+    for r in sorted(R.recommend_all(spark.createDataFrame(notes, SCHEMA), config).collect(), key=lambda r: r["rank"]):
+        got[r.src].append(r.dst)
+    want = diverse(notes, config)
+    assert got == want and want != {p: [q for q, _ in x] for p, x in brute(notes, RecommendConfig(limit=4)).items()}
+
+
+def resolved(notes):
+    """Q-10, not strict, by plain loops."""
+    paths = [p for p, *_ in notes]
+    bare = lambda p: p.rsplit(".", 1)[0] if "." in p.rsplit("/", 1)[-1] else p
+    folders = lambda p: p.split("/")[:-1]
+    out = {}
+    for p, links in notes:
+        own = []
+        for link in links or []:
+            text = link.split("#")[0].strip()
+            found = [q for q in paths if q == text] or sorted(q for q in paths if bare(q) == text)
+            if not found and text and "/" not in text:
+                near = []
+                for q in paths:
+                    if bare(q.rsplit("/", 1)[-1]) == bare(text):
+                        a, b = folders(p), folders(q)
+                        same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+                        near.append((len(a) + len(b) - 2 * same, q))
+                found = [min(near)[1]] if near else []
+            own.append(found[0] if found else link)
+        out[p] = own if links is not None else None
+    return out
+
+
+def test_links_are_resolved(spark):
+    from corpuslens.operators.links import resolve_links
+
+    rng = random.Random(10)
+    places = ["", "a/", "a/b/", "a/b/c/", "a/d/", "e/", "e/f/"]
+    paths = sorted({rng.choice(places) + rng.choice(["index", "note", "plan", "x.y"]) + ".md" for _ in range(22)})
+    texts = [*paths, *(p[:-3] for p in paths), "index", "note", "plan#head", "x.y", "x.y.md", "index.md", "missing", "", "#only", " note "]
+    notes = [(p, rng.choices(texts, k=rng.randint(0, 8)) if k else None) for k, p in enumerate(paths)]
+    df = spark.createDataFrame([(p, x, "kept") for p, x in notes], "path string, links array<string>, other string")
+    out = resolve_links(df)
+    assert out.columns == df.columns
+    assert {r.path: r.links for r in out.collect()} == resolved(notes)
+
+
+def test_a_common_name_stays_linear(spark, most_rows):
+    """10,000 folders with an index each, which all notes link to by name."""
+    from corpuslens.operators.links import resolve_links
+
+    notes = spark.range(10_000).selectExpr("concat('top/f', id, '/index.md') AS path", "array('index') AS links")
+    out = resolve_links(notes)
+    assert most_rows(out) <= 8 * 10_000
+    assert out.where("links[0] = path").count() == 10_000
