@@ -48,6 +48,18 @@ def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.join(F.broadcast(n)).select(name(F.col("page_id")).alias("path"), F.concat(hrefs, F.array(name((F.col("page_id") * 17 + 1) % F.col("n")))).alias("links"), F.array(lang).alias("tags"), lang.alias("folder"))
 
 
+def named_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is a note in one of seven folders of folders, with a name that others have too; it links to pages by path, by path without extension and by name."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("k"))
+    n = pages.agg(F.count("*").alias("n"))
+    text = lambda name, x: F.concat(F.lit(name), x.cast("string"))
+    name = lambda k: text("p", k % 50)
+    path = lambda k: F.concat_ws("/", text("d", k % 7), text("e", F.floor(k / 350)), name(k))
+    k, n_ = F.col("k"), F.col("n")
+    links = F.array(F.concat(path(k * 3 % n_), F.lit(".md")), path((k * 5 + 1) % n_), name(k * 11 + 2), F.concat(name(k + 1), F.lit("#part")), F.lit("nowhere"))
+    return pages.join(F.broadcast(n)).select(F.concat(path(k), F.lit(".md")).alias("path"), links.alias("links"))
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document is a parsed file: of seven, one has no date, two an invalid one; every fifth has no file time, every eleventh no word."""
     from corpuslens.functions import timestamps as T

@@ -9,6 +9,7 @@ from corpuslens.operators import bodytext as B
 from corpuslens.operators import corpus as C
 from corpuslens.operators import entities as M
 from corpuslens.operators import examples as EX
+from corpuslens.operators import links as L
 from corpuslens.operators import readings as RD
 from corpuslens.operators import recommend as R
 from corpuslens.operators import rhythm as H
@@ -248,6 +249,14 @@ l AS (SELECT path AS src, unnest(links) AS dst FROM n), d AS (SELECT DISTINCT pa
 k AS (SELECT src, dst, 5.0 AS s, 1 AS kind FROM (SELECT DISTINCT src, dst FROM l) JOIN n ON n.path = dst UNION ALL SELECT x, p, 3.0, 2 FROM d JOIN n ON n.path = x UNION ALL SELECT a.path, b.path, 2.0, 3 FROM n a JOIN n b ON a.lang = b.lang UNION ALL SELECT src, p, 2.0, 4 FROM l JOIN d ON l.dst = d.x UNION ALL SELECT a.path, b.path, 1.0, 5 FROM n a JOIN n b ON a.lang = b.lang AND a.lang <> ''),
 g AS (SELECT src, dst, sum(s) AS score, list_sort(list(DISTINCT kind)) AS kinds FROM k WHERE src <> dst GROUP BY ALL), b AS (SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS INT) AS rank, dst, score, kinds FROM g QUALIFY rank <= 10)
 SELECT src, rank, dst, round(CAST(score AS DOUBLE), 6) AS score, array_to_string(list_transform(kinds, lambda x: CASE x WHEN 1 THEN 'It is directly linked from the current note.' WHEN 2 THEN 'It links back to the current note.' WHEN 3 THEN 'It shares tags with the current note.' WHEN 4 THEN 'It shares neighbouring notes with the current note.' ELSE 'It is in the same folder context.' END), ' ') AS explanation FROM b""")
+_PAGE = lambda k: f"'d' || ({k}) % 7 || '/e' || (({k}) // 350) || '/p' || ({k}) % 50"
+add("resolved_links", lambda spark, sf: L.resolve_links(X.named_pages(spark, sf)).select("path", F.posexplode("links").alias("place", "link")), f"""WITH n AS (SELECT page_id AS k, (SELECT count(*) FROM pages) AS n, page_id % 7 AS d, page_id // 350 AS e, 'p' || page_id % 50 AS base, {_PAGE('page_id')} || '.md' AS path FROM pages),
+l AS (SELECT *, unnest([{_PAGE('k * 3 % n')} || '.md', {_PAGE('(k * 5 + 1) % n')}, 'p' || (k * 11 + 2) % 50, 'p' || (k + 1) % 50 || '#part', 'nowhere']) AS link, unnest([0, 1, 2, 3, 4]) AS place FROM n),
+t AS (SELECT *, split_part(link, '#', 1) AS text FROM l),
+c AS (SELECT t.path, place, x.path AS found, 1 AS way, 0 AS steps FROM t JOIN n x ON x.path = text UNION ALL SELECT t.path, place, x.path, 2, 0 FROM t JOIN n x ON x.path = text || '.md'
+  UNION ALL SELECT t.path, place, x.path, 3, CASE WHEN t.d <> x.d THEN 4 WHEN t.e <> x.e THEN 2 ELSE 0 END FROM t JOIN n x ON x.base = text),
+b AS (SELECT path, place, found FROM c QUALIFY row_number() OVER (PARTITION BY path, place ORDER BY way, steps, found) = 1)
+SELECT t.path, CAST(t.place AS INT) AS place, coalesce(found, link) AS link FROM t LEFT JOIN b ON b.path = t.path AND b.place = t.place""")
 add("windowed_activity", lambda spark, sf: S.windowed_activity(X.table(spark, sf, "events")), "SELECT date_trunc('hour', ts) AS window_start, count(*) AS events FROM events GROUP BY 1")
 add("session_activity", lambda spark, sf: S.session_activity(X.table(spark, sf, "events")), "WITH l AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 DAY THEN 0 ELSE 1 END AS f FROM events), s AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 1 DAY AS session_end, count(*) AS events FROM s GROUP BY user_id, k")
 
