@@ -133,6 +133,7 @@ def surface_score_column(label: pd.Series) -> pd.Series:
     return label.map(surface_score).astype("int32")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def content_terms_column(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda ts: [k for k in map(content_key, ts) if k])
+@F.pandas_udf(StringType())
+def content_key_column(token: pd.Series) -> pd.Series:
+    """For tables of distinct tokens: Python sees each once, not once for each place that it stands in."""
+    return token.map(content_key)

@@ -91,11 +91,16 @@ def opening_signature(line: Column) -> Column:
     )
 
 
+def units(text: Column) -> Column:
+    """Q-14. The length in UTF-16 units: a character beyond the first plane counts twice."""
+    return F.when(F.octet_length(text) == F.length(text), F.length(text)).otherwise((F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int"))
+
+
 def phrases(toks: Column) -> Column:
     """The first 60 distinct useful phrases: all of four tokens, then all of three."""
 
     def grams(n):
-        useful = lambda g: F.exists(g, lambda x: F.length(x) >= 5) & ~F.forall(g, lambda x: x.rlike("^[0-9]+$")) & (F.aggregate(g, F.lit(0), lambda s, x: s + F.length(x)) >= 3 * n)
+        useful = lambda g: F.exists(g, lambda x: units(x) >= 5) & ~F.forall(g, lambda x: x.rlike("^[0-9]+$")) & (F.aggregate(g, F.lit(0), lambda s, x: s + units(x)) >= 3 * n)
         made = F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)), lambda i: F.slice(toks, i, n))
         return F.when(F.size(toks) >= n, F.transform(F.filter(made, useful), lambda g: F.array_join(g, " "))).otherwise(F.array().cast("array<string>"))
 

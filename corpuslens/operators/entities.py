@@ -13,7 +13,8 @@ from corpuslens.operators import bodytext as B
 
 def term_rows(rows: DataFrame) -> DataFrame:
     """X23, A43. year, term, n: content terms of the texts (see bodytext.texts)."""
-    return rows.select("year", F.explode(Z.content_terms_column("tokens")).alias("term")).groupBy("year", "term").agg(F.count("*").alias("n"))
+    words = B.year_words(rows).withColumn("term", Z.content_key_column("w")).where("term is not null")
+    return words.groupBy("year", "term").agg(F.sum("n").alias("n"))
 
 
 def deep_years(rows: DataFrame) -> DataFrame:

@@ -83,6 +83,13 @@ def parse(files: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> DataFr
     return rows.withColumn("word_count", F.size(X.words(F.col("text"))).cast("long")).withColumn("chronology_year", F.col("created.value.year"))
 
 
+def inspect(files: DataFrame, path: str, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
+    """X35. How the words of one note are counted: path, word_count, cleaned (the text that is counted), tokens."""
+    cleaned = X.clean_markdown(F.col("content"), config.exclude_fences, config.exclude_inline_code)
+    own = files.where(F.col("path") == path).select("path", cleaned.alias("cleaned")).withColumn("tokens", X.words(F.col("cleaned")))
+    return own.select("path", F.size("tokens").cast("long").alias("word_count"), "cleaned", "tokens")
+
+
 def plain_tags(content: Column) -> Column:
     """X28. The block's `tags` as they stand: items of a list (dashes or brackets), or one string; numbers, booleans and nulls are no tags."""
     block = F.regexp_extract(F.replace(F.coalesce(content, F.lit("")), F.lit("\r\n"), F.lit("\n")), r"(?s)\A---\n(.*?)\n---(?:\n|\z)", 1)

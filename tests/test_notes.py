@@ -84,6 +84,16 @@ def test_folder_store_and_export(spark, tmp_path):
     assert N.export_name("r", datetime.datetime(2024, 1, 2, 3, 4, 5), lambda n: n.endswith("05.md")) == "r-2024-01-02-030405-2.md"
 
 
+def test_inspect_and_units(spark):
+    files = spark.createDataFrame([("a.md", "# Head\n- one - two `code`"), ("b.md", "no")], "path string, content string")
+    row = N.inspect(files, "a.md").first()
+    assert (row.path, row.word_count, row.tokens) == ("a.md", 3, ["Head", "one", "two"]) and "code" not in row.cleaned
+    assert N.inspect(files, "c.md").count() == 0
+    texts = ["", "abc", "été", "𝒜b", "中文", "😀😀"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.units(F.col("t")).alias("n")).collect()
+    assert [r.n for r in got] == [len(t.encode("utf-16-le")) // 2 for t in texts]
+
+
 def test_note_index(spark):
     """S10, X28, X29: own scope with the file name and case, tags as written, preview of 600 characters."""
     head = lambda tags: f"---\ntags: {tags}\n---\nbody [[a/B]]"
