@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.functions.order import named
+
 
 def metric(value: Column) -> Column:
     """A whole number as it is, others with two decimals."""
@@ -72,7 +74,7 @@ def structural_readings(profiles: DataFrame, pairs: DataFrame, shifts: DataFrame
         ("Strongest recurring tag motif", _say(pair["left"], " + ", pair["right"]), _say("Lift ", metric(pair["lift"]), " across ", pair["support"].cast("string"), " entries.")),
     ]
     if texts is not None:
-        row = row.join(_leaders(texts, ["richness"])).join(_one(openings, "opening_moved", [F.desc("distance"), F.col("year")])).join(_one(phrases, "phrase_family", [F.desc("score"), F.desc("entries"), F.col("phrase")])).join(_one(tags.where("mean_lag is not null"), "revised_tag", [F.desc("mean_lag"), F.desc("entries"), F.desc_nulls_last("mean_richness"), F.col("tag")]))
+        row = row.join(_leaders(texts, ["richness"])).join(_one(openings, "opening_moved", [F.desc("distance"), F.col("year")])).join(_one(phrases, "phrase_family", [F.desc("score"), F.desc("entries"), *named("phrase")])).join(_one(tags.where("mean_lag is not null"), "revised_tag", [F.desc("mean_lag"), F.desc("entries"), F.desc_nulls_last("mean_richness"), *named("tag")]))
         rich, phrase, tag, moved = F.col("by_richness"), F.col("phrase_family"), F.col("revised_tag"), F.col("opening_moved")
         zero = F.lit(0.0)
         cards += [

@@ -317,8 +317,6 @@ def readings(spark, sf):
     return RD.structural_readings(**tables, phrases=B.recurring_phrases(texts), tags=B.tag_profiles(texts))
 
 
-add("headline_cards", headlines)
-add("structural_readings", readings)
 _M = lambda x: f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE printf('%.2f', {x}) END"
 add("headline_cards_plain", lambda spark, sf: RD.headlines(H.year_profiles(X.entries(spark, sf)), G.pair_lift(G.qualified(X.entries(spark, sf))), H.regime_shifts(X.entries(spark, sf))), f"""{_PROFILES}, pl AS (SELECT * FROM ({exact(SQL['tag_pair_lift'])}) LIMIT 1), sc AS (SELECT *, {_PLAIN} AS score FROM sh ORDER BY score DESC, to_year LIMIT 1),
 """ + ", ".join(f"k{k} AS (SELECT {k} AS place, '{label}' AS label, CAST(year AS VARCHAR) AS value, '{said} ' || {_M(c)} AS detail FROM md ORDER BY {c} DESC, year LIMIT 1)" for k, label, c, said in (
@@ -327,6 +325,45 @@ add("headline_cards_plain", lambda spark, sf: RD.headlines(H.year_profiles(X.ent
 )) + f""" SELECT * FROM (SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3 UNION ALL SELECT * FROM k4 UNION ALL SELECT * FROM k7 UNION ALL SELECT * FROM k8
 UNION ALL SELECT 5, 'Strongest recurring motif', "left" || ' + ' || "right", 'Lift ' || {_M('lift')} || ', support ' || support FROM pl UNION ALL SELECT 6, 'Sharpest regime shift year', CAST(to_year AS VARCHAR), 'From ' || from_year || ', score ' || {_M('score')} FROM sc)""")
 
+
+
+def _cards_sql() -> tuple[str, str]:
+    """SQL of the cards and readings over the documents."""
+    of = lambda name: f"({exact(SQL[name]).replace(E, E2)})"
+    tags = f"(SELECT * FROM {of('tag_distribution')} WHERE year IS NOT NULL)"
+    rows = []
+
+    def top(kind, place, label, source, value, detail, *order):
+        rows.append((kind, f"(SELECT {place} AS place, '{label}' AS label, CAST({value} AS VARCHAR) AS value, {detail} AS detail FROM {source} ORDER BY {', '.join(order)} LIMIT 1)"))
+
+    for place, label, source, column, said in (
+        (1, "Most bursty year", of("temporal_by_year"), "burstiness", "Burstiness"), (2, "Most revision-heavy year", of("revision_by_year"), "intensity_per_word", "Revision intensity"),
+        (3, "Most thematically concentrated year", tags, "concentration", "Tag concentration"), (4, "Most semantically diverse year", tags, "entropy", "Tag entropy"),
+        (7, "Most concentrated writing year", of("volume_by_year"), "concentration", "Concentration"), (8, "Most revisited year", of("revision_by_year"), "revisit_ratio", "Revisit ratio"),
+    ):
+        top("card", place, label, source, "year", f"'{said} ' || {_M(column)}", f"{column} DESC", "year")
+    pair, by_lift = "\"left\" || ' + ' || \"right\"", ("lift DESC", "support DESC", '"left"', '"right"')
+    shifts, profiles = f"({_TEXT_SHIFTS} SELECT * FROM ts)", f"({_TEXTS} SELECT * FROM ty)"
+    openings = of("opening_shift")
+    top("card", 5, "Strongest recurring motif", of("tag_pair_lift"), pair, f"'Lift ' || {_M('lift')} || ', support ' || support", *by_lift)
+    top("card", 6, "Sharpest regime shift year", shifts, "to_year", f"'From ' || from_year || ', score ' || {_M('score')}", "score DESC", "to_year")
+    top("card", 9, "Richest vocabulary year", profiles, "year", f"'Lexical richness ' || {_M('richness')}", "richness DESC NULLS LAST", "year")
+    top("card", 10, "Most repetitive phrasing year", profiles, "year", f"'Recurring phrase share ' || {_M('recurring_share')}", "recurring_share DESC NULLS LAST", "year")
+    top("card", 11, "Sharpest opening-style shift", openings, "year", f"'From ' || \"before\" || ', score ' || {_M('distance')}", "distance DESC", "year")
+    top("reading", 1, "Sharpest structural shift", shifts, "to_year", f"'From ' || from_year || '; combined score ' || {_M('score')} || '.'", "score DESC", "to_year")
+    top("reading", 2, "Most concentrated writing year", of("volume_by_year"), "year", f"'Writing concentration ' || {_M('concentration')} || '.'", "concentration DESC", "year")
+    top("reading", 3, "Strongest recurring tag motif", of("tag_pair_lift"), pair, f"'Lift ' || {_M('lift')} || ' across ' || support || ' entries.'", *by_lift)
+    top("reading", 4, "Richest vocabulary period", profiles, "year", f"'Lexical richness ' || {_M('richness')} || ' with novelty ' || {_M('coalesce(novelty, 0)')} || '.'", "richness DESC NULLS LAST", "year")
+    top("reading", 5, "Most persistent recurrent phrase", of("recurring_phrases"), "phrase", "entries || ' entries from ' || first_year || ' to ' || last_year || '.'", "score DESC", "entries DESC", "icu_sort_key(phrase, 'und')", "phrase")
+    top("reading", 6, "Most revision-heavy tag", f"(SELECT * FROM {of('tag_text_profiles')} WHERE mean_lag IS NOT NULL)", "tag", f"'Average revision lag ' || {_M('mean_lag')} || ' days.'", "mean_lag DESC", "entries DESC", "mean_richness DESC NULLS LAST", "tag")
+    top("reading", 7, "Sharpest opening-style drift", openings, "year", f"'Shift from ' || \"before\" || ' with score ' || {_M('distance')} || '.'", "distance DESC", "year")
+    both = (" UNION ALL ".join(f"SELECT * FROM {row}" for kind, row in rows if kind == wanted) for wanted in ("card", "reading"))
+    return tuple(both)
+
+
+_CARDS_SQL, _READINGS_SQL = _cards_sql()
+add("headline_cards", headlines, _CARDS_SQL)
+add("structural_readings", readings, _READINGS_SQL)
 # Files with missing and invalid dates, without words or tags.
 F0 = f"""{D}, f0 AS (SELECT *, CAST(regexp_extract(path, '/([0-9]+)[.]md$', 1) AS BIGINT) AS k FROM t),
 f1 AS (SELECT path, tags, CASE WHEN k % 11 = 0 THEN 0 ELSE token_count END AS word_count, CASE WHEN k % 7 = 0 THEN 'missing' WHEN k % 7 <= 2 THEN 'invalid' END AS ci, CASE WHEN k % 2 = 1 THEN 'missing' END AS ui,
