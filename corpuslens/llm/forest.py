@@ -10,7 +10,8 @@ The share is what recall needs where neighbours hardly stand out (random vectors
 
 Null, zero and non-finite vectors take no part, nor do vectors of another length than the query's. Equal
 vectors have equal strings, so ties are found together; rows with the query's own id are the query's own.
-Queries with fewer than k candidates return all; an empty table gives an empty result.
+Of a repeated query id the smallest vector counts; repeated candidates are each a candidate. Queries with fewer than
+k candidates return all; an empty table gives an empty result. Other columns are left aside, so their names cannot clash.
 """
 
 from __future__ import annotations

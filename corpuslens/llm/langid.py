@@ -8,7 +8,8 @@ Batches of texts are scored by matrix products: presence x landmarks, then x coe
 
 Learned in one task from a bounded sample (`MOST_ROWS` texts, alike for each language, of at most `MOST_BYTES`
 bytes; `LANDMARKS` of them landmarks). Null texts and texts without a letter give `und` and score 0. An empty
-training sample gives `und` throughout. Repeated rows are treated alike; texts of any length are read whole. Kept
+training sample gives `und` throughout. Of languages with equal scores the first by name is
+given. Repeated rows are treated alike; texts of any length are read whole. Kept
 columns with the names of the results give way to them; other columns cannot clash. An empty table gives an empty result.
 """
 

@@ -5,7 +5,8 @@ everything but letters a-z and digits turned into single spaces. Entire texts ar
 form with the digests of known licences; entire lines are compared with known one-line notices the same way.
 
 Null and empty texts have the digest of the empty form and no licence. Repeated rows are scanned each; known
-licences with equal forms give the smallest name. An empty table gives an empty result.
+licences with equal forms give the smallest name. Texts of any length are formed and hashed whole. Other columns are
+left aside, so their names cannot clash. An empty table gives an empty result.
 
 LICENSES are the texts that the SQL lists too; DIGESTS and NOTICES are known besides.
 """

@@ -9,7 +9,7 @@ smallest ids, of which a task needs k at most, so that it can cut them before an
 Rows with a null id or vector, or null or non-finite components take no part; the zero vector does. Every finite
 component takes part: products beyond 2**53 are made of Python's integers, and scores beyond a long's range stand at
 its ends, +-(2**63 - 1), where the smaller id comes first. Vectors of another length than the query's are no candidates.
-Rows with the query's own id are the query's own; of a repeated query id one vector counts. Repeated candidates are
+Rows with the query's own id are the query's own; of a repeated query id the smallest vector counts. Repeated candidates are
 each a candidate. Queries with fewer than k candidates return all. Other columns are left aside, so their names cannot
 clash; an empty table gives an empty result.
 """

@@ -53,12 +53,21 @@ def shards(batches, zero_too: bool, most: int = SHARD) -> Iterator[tuple[np.ndar
 
 
 def query_blocks(queries: DataFrame, zero_too: bool) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """The usable queries, at most QUERY_BLOCK at a time: by length of vector, ids and vectors. Repeated ids count once."""
+    """The usable queries, at most QUERY_BLOCK at a time: by length of vector, ids and vectors.
+
+    Of a repeated id the smallest usable vector counts, entry by entry from the first.
+    """
+    key, vector = queries.columns
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    usable = F.col(key).isNotNull() & F.col(vector).isNotNull() & ~bad
+    if not zero_too:
+        usable &= F.exists(vector, lambda x: x != 0)
+    queries = queries.where(usable).groupBy(key).agg(F.min(vector).alias(vector))
     n = queries.count()
     blocks = max(1, -(-n // (QUERY_BLOCK // 2)))
     for k in range(blocks):
-        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(queries.columns[0]), F.lit(blocks)) == k)
-        batch = own.dropDuplicates([queries.columns[0]]).toArrow()
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == k)
+        batch = own.toArrow()
         out: dict[int, list] = {}
         for part in batch.combine_chunks().to_batches():
             for ids, cells in vector_batches(part, zero_too):
