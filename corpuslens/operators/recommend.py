@@ -17,7 +17,7 @@ from corpuslens.functions.order import named
 
 
 #: Notes of a feature up to which its pairs are met, heavy classes of a note at most, and notes that may have more.
-LIGHT, MOST, WIDE = 256, 10, 64
+LIGHT, MOST, WIDE = 64, 10, 64
 
 
 def _links(notes: DataFrame, src: DataFrame) -> DataFrame:

@@ -36,22 +36,28 @@ def pair_counts(entries: DataFrame) -> DataFrame:
 
 
 def tag_grain(entries: DataFrame) -> DataFrame:
-    """left, right, support in one pass: pairs of tags, single tags (right null) and all entries (both null)."""
-    none = F.lit(None).cast("string")
-    one = lambda a: F.struct(a.alias("left"), none.alias("right"))
-    cells = F.concat(F.array(one(none)), F.transform("tags", one), _pairs(F.col("tags")))
-    return entries.select(F.explode(cells).alias("p")).groupBy("p.left", "p.right").agg(F.count("*").alias("support"))
+    """left, right, kind, support in one pass: all entries (kind 0, both empty), single tags (1, right empty), pairs of tags (2).
+
+    The kind is an aggregate and the names are never null, so that no filter goes below the exchange, which the branches
+    of a plan then share.
+    """
+    none = F.lit("")
+    cell = lambda a, b, kind: F.struct(F.coalesce(a, none).alias("left"), F.coalesce(b, none).alias("right"), F.lit(kind).alias("kind"))
+    pairs = F.transform(_pairs(F.col("tags")), lambda p: cell(p["left"], p["right"], 2))
+    cells = F.concat(F.array(cell(none, none, 0)), F.transform("tags", lambda a: cell(a, none, 1)), pairs)
+    rows = entries.select(F.explode(cells).alias("p")).groupBy("p.left", "p.right")
+    return rows.agg(F.count("*").alias("support"), F.max("p.kind").alias("kind"))
 
 
 def _single(grain: DataFrame) -> DataFrame:
-    return grain.where("left is not null and right is null").select(F.col("left").alias("tag"), F.col("support").alias("n"))
+    return grain.where("kind = 1").select(F.col("left").alias("tag"), F.col("support").alias("n"))
 
 
 def pair_lift(entries: DataFrame, top: int = TOP) -> DataFrame:
     """A29, J4. Lift of pairs with support of two or more."""
     grain = tag_grain(entries)
-    counts, n = _single(grain), grain.where("left is null").select(F.col("support").alias("entries"))
-    pairs = grain.where("right is not null and support >= 2")
+    counts, n = _single(grain), grain.where("kind = 0").select(F.col("support").alias("entries"))
+    pairs = grain.where("kind = 2 and support >= 2")
     both = pairs.join(counts.select(F.col("tag").alias("left"), F.col("n").alias("nl")), "left").join(counts.select(F.col("tag").alias("right"), F.col("n").alias("nr")), "right").join(F.broadcast(n))
     lift = (F.col("support") / F.col("entries")) / ((F.col("nl") / F.col("entries")) * (F.col("nr") / F.col("entries")))
     return both.select("left", "right", "support", lift.alias("lift")).orderBy(F.desc("lift"), F.desc("support"), *named("left", "right")).limit(top)
@@ -75,7 +81,7 @@ def triangles(edges: DataFrame) -> DataFrame:
 def bridge_tags(entries: DataFrame, top: int = TOP) -> DataFrame:
     """A30, J5, M11. Degree x (1 - clustering) x ln(1 + frequency)."""
     grain = tag_grain(entries)
-    pairs = grain.where("right is not null").select("left", "right")
+    pairs = grain.where("kind = 2").select("left", "right")
     degree = pairs.select(F.explode(F.array("left", "right")).alias("tag")).groupBy("tag").agg(F.count("*").alias("degree"))
     rows = _single(grain).join(degree, "tag", "left").join(triangles(pairs), "tag", "left").na.fill(0, ["degree", "closed"])
     cluster = F.when(F.col("degree") >= 2, F.col("closed") / (F.col("degree") * (F.col("degree") - 1) / 2)).otherwise(0.0)
