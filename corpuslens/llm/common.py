@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 import pickle
@@ -56,13 +57,32 @@ def discard(df: DataFrame) -> None:
         jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
-def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """mapInArrow with batches of bounded size: the session's bound on their bytes is lowered where it is higher."""
+def give_back() -> None:
+    """Hand freed memory back to the system: else a worker keeps the most that any of its tasks has needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema, release: bool = False) -> DataFrame:
+    """mapInArrow with batches of bounded size: the session's bound on their bytes is lowered where it is higher.
+
+    Workers serve the tasks of all stages: with `release` each task gives back the memory that it has freed. Steps
+    that keep their words for the next task and come last (packing) go without, as that costs them CPU time.
+    """
     conf = df.sparkSession.conf
     known = conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")
     if not known.isdigit() or not 0 < int(known) <= BATCH_BYTES:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task if release else run, schema)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -80,7 +100,7 @@ def fit_in_task(rows: DataFrame, fit: Callable[[list[tuple]], Any]) -> Any:
         found = {row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)}
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sorted(found)))], pa.binary())], ["model"])
 
-    made = map_arrow(rows.repartition(1), run, "model binary").first()
+    made = map_arrow(rows.repartition(1), run, "model binary", release=True).first()
     return pickle.loads(made[0]) if made else fit([])
 
 

@@ -141,4 +141,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
                 found = [x if ok else "und" for x, ok in zip(found, own.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(found, pa.string()), pa.array(np.where(own, share, 0.0))], [*names, *into])
 
-    return map_arrow(taken, run, T.StructType([*taken.schema.fields[: len(names)], T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())]))
+    return map_arrow(taken, run, T.StructType([*taken.schema.fields[: len(names)], T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())]), release=True)

@@ -123,7 +123,7 @@ def _records(docs: DataFrame, width: int, bands: int, key: str, text: str) -> Da
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(code.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n), pa.array(sig_a), pa.array(sig_b), rows], [key, "n", "sig_a", "sig_b", "bands"])
 
-    return map_arrow(docs.select(F.col(key).cast("long").alias(key), text), run, f"{key} long, n long, sig_a long, sig_b long, bands array<long>")
+    return map_arrow(docs.select(F.col(key).cast("long").alias(key), text), run, f"{key} long, n long, sig_a long, sig_b long, bands array<long>", release=True)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
@@ -154,7 +154,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, key: s
             found = pa.array(np.flatnonzero(ok))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(found), batch.column("b").take(found)], ["a", "b"])
 
-    return map_arrow(rows.repartition("a", "part").sortWithinPartitions("a", "part", "kind"), run, "a long, b long").distinct()
+    return map_arrow(rows.repartition("a", "part").sortWithinPartitions("a", "part", "kind"), run, "a long, b long", release=True).distinct()
 
 
 def _linked_in_blocks(members: DataFrame, width: int, percent: int) -> DataFrame:

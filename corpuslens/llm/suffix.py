@@ -277,7 +277,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
                 who = pa.array(row[a:b][text])
                 yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(stretch, pa.int64()), batch.column(0).take(who), batch.column(1).take(who), *(pa.array(x.astype(np.int32)) for x in (low, windows, at))], ["a", "e", "doc", "th", "low", "windows", "at"])
 
-    found = map_arrow(docs, find, f"a long, e long, {_PLACE}")
+    found = map_arrow(docs, find, f"a long, e long, {_PLACE}", release=True)
     # Written, so that the join has plain exchanges on both sides, whose hot anchors can be split.
     often = materialize(found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
     shared = materialize(found.join(often, "a"))
@@ -307,7 +307,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     read = docs.join(by_text.withColumnsRenamed({"doc": "doc_", "th": "th_"}), F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("th") == F.col("th_"))).select("doc", "th", "text", "own")
-    contents = materialize(map_arrow(read, cut, "a long, copies long, kinds long, doc long, th long, low int, at int, content binary"))
+    contents = materialize(map_arrow(read, cut, "a long, copies long, kinds long, doc long, th long, low int, at int, content binary", release=True))
 
     def search(batches):
         held, size, last = [], 0, None
@@ -346,7 +346,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
         docs_, hashes = group["doc"].combine_chunks().take(who), group["th"].combine_chunks().take(who)
         yield pa.RecordBatch.from_arrays([docs_, hashes, pa.array(first, pa.int32()), pa.array(final, pa.int32())], ["doc", "th", "low", "high"])
 
-    few = map_arrow(contents.where(f"kinds <= {MOST}").drop("kinds").repartition("a").sortWithinPartitions("a"), search, "doc long, th long, low int, high int")
+    few = map_arrow(contents.where(f"kinds <= {MOST}").drop("kinds").repartition("a").sortWithinPartitions("a"), search, "doc long, th long, low int, high int", release=True)
 
     def spell(batches):
         for batch in batches:
@@ -363,7 +363,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
                 who = pa.array(own)
                 yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), batch.column("doc").take(who), batch.column("th").take(who), pa.array((batch.column("low").to_numpy()[own] + start).astype(np.int32))], ["w", "doc", "th", "low"])
 
-    many = map_arrow(contents.where(f"kinds > {MOST}"), spell, "w long, doc long, th long, low int")
+    many = map_arrow(contents.where(f"kinds > {MOST}"), spell, "w long, doc long, th long, low int", release=True)
     twice = many.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
     hot = many.join(twice, "w").select("doc", "th", "low", F.col("low").alias("high"))
     spans = materialize(whole.unionByName(few).unionByName(hot).groupBy("doc", "th").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high")))
@@ -416,4 +416,4 @@ def strip_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text:
     if carry:
         fields.append(named.schema["carried"])
     wanted = ["doc", "text", "low", "high", *["carried"] * bool(carry)]
-    return map_arrow(_with_text(spans, named, "left").select(*wanted), run, T.StructType(fields))
+    return map_arrow(_with_text(spans, named, "left").select(*wanted), run, T.StructType(fields), release=True)

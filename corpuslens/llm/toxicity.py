@@ -32,6 +32,8 @@ MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 1000, 2000, 16_384
 HIDDEN, EMBED, WORD_ROWS, GRAM_ROWS = 6, 4, 1 << 13, 1 << 13
 BUCKETS = 1 << 18
 BATCH, STEPS = 128, 160
+#: Words whose grams or inputs, and windows whose ranks are made at once.
+WORDS_AT_ONCE, WINDOWS_AT_ONCE = 8192, 4096
 
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -89,6 +91,17 @@ def gram_codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, edges, mix(np.add.reduceat(scaled, begin[:-1]))
 
 
+def gram_codes_by_part(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """gram_codes() of many words, some at a time; of a gram's hash only the bits that tell buckets apart are kept."""
+    hashes, edges, own = [np.empty(0, np.uint32)], [np.zeros(1, np.int64)], [np.empty(0, np.uint64)]
+    for a in range(0, len(words), WORDS_AT_ONCE):
+        part, ends, codes = gram_codes(words[a : a + WORDS_AT_ONCE])
+        hashes.append((part % np.uint64(BUCKETS)).astype(np.uint32))
+        edges.append(ends[1:] + edges[-1][-1])
+        own.append(codes)
+    return np.concatenate(hashes), np.concatenate(edges), np.concatenate(own)
+
+
 def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> np.ndarray:
     """How much likelier toxic texts have it, in standard errors, within -2 and 2 after scaling."""
     odds = np.log((toxic + 0.5) / (n_toxic - toxic + 0.5)) - np.log((clean + 0.5) / (n_clean - clean + 0.5))
@@ -154,15 +167,17 @@ class Network:
         """The input vector of each distinct word."""
         hashes, edges, own = codes
         word_odds, gram_odds = tables
-        if not len(own):
-            return np.zeros((0, 5 + 2 * EMBED), np.float32)
-        odds = gram_odds[(hashes % np.uint64(BUCKETS)).astype(np.int64)]
-        at, size = edges[:-1], np.diff(edges).astype(np.float32)
-        grams = np.add.reduceat(self.p["gram"][(hashes % np.uint64(GRAM_ROWS)).astype(np.int64)], at, axis=0) / size[:, None]
-        return np.column_stack([
-            word_odds[(own % np.uint64(BUCKETS)).astype(np.int64)], np.maximum.reduceat(odds, at), np.add.reduceat(odds, at) / size, np.minimum.reduceat(odds, at),
-            np.log(size) / 3, self.p["word"][(own % np.uint64(WORD_ROWS)).astype(np.int64)], grams,
-        ]).astype(np.float32)
+        out = np.empty((len(own), 5 + 2 * EMBED), np.float32)
+        for a in range(0, len(own), WORDS_AT_ONCE):
+            ends, names = edges[a : a + WORDS_AT_ONCE + 1], own[a : a + WORDS_AT_ONCE]
+            part, at, size = hashes[ends[0] : ends[-1]], ends[:-1] - ends[0], np.diff(ends).astype(np.float32)
+            odds = gram_odds[(part % np.uint64(BUCKETS)).astype(np.int64)]
+            grams = np.add.reduceat(self.p["gram"][(part % np.uint64(GRAM_ROWS)).astype(np.int64)], at, axis=0) / size[:, None]
+            out[a : a + WORDS_AT_ONCE] = np.column_stack([
+                word_odds[(names % np.uint64(BUCKETS)).astype(np.int64)], np.maximum.reduceat(odds, at), np.add.reduceat(odds, at) / size, np.minimum.reduceat(odds, at),
+                np.log(size) / 3, self.p["word"][(names % np.uint64(WORD_ROWS)).astype(np.int64)], grams,
+            ])
+        return out
 
     def _scan(self, x, u, keep):
         """One direction: x [T, N, 3h] projected inputs, keep [T, N, 1] 1 inside the window."""
@@ -229,11 +244,12 @@ class Network:
             out[a : a + block] = ((states @ self.p["out"]) * weight).sum(axis=0) + self.p["bias"][0]
         return out
 
-    def project(self, inputs: np.ndarray) -> np.ndarray:
-        """Projected inputs of the distinct words, kept by direction for logits()."""
-        both = inputs @ self.p["wx"] + self.p["bx"]
-        self._sides = np.ascontiguousarray(both[:, : 3 * HIDDEN]), np.ascontiguousarray(both[:, 3 * HIDDEN :])
-        return both
+    def project(self, inputs: np.ndarray) -> None:
+        """Keep the projected inputs of the distinct words, by direction, for logits()."""
+        self._sides = tuple(np.empty((len(inputs), 3 * HIDDEN), np.float32) for _ in range(2))
+        for a in range(0, len(inputs), WORDS_AT_ONCE):
+            both = inputs[a : a + WORDS_AT_ONCE] @ self.p["wx"] + self.p["bx"]
+            self._sides[0][a : a + WORDS_AT_ONCE], self._sides[1][a : a + WORDS_AT_ONCE] = both[:, : 3 * HIDDEN], both[:, 3 * HIDDEN :]
 
     def _scan_back(self, grad_out, u, keep, trace):
         h = HIDDEN
@@ -321,15 +337,15 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
     words, number, by_text = read_words_by_slice(data, offsets)
     if not words:
         return Model(None, None)
-    codes = gram_codes(words)
+    codes = gram_codes_by_part(words)
     hashes, edges, own = codes
-    gram_bucket, word_bucket = (hashes % np.uint64(BUCKETS)).astype(np.int64), (own % np.uint64(BUCKETS)).astype(np.int64)
+    word_bucket = (own % np.uint64(BUCKETS)).astype(np.int64)
     evidence = Evidence()
     for k in range(len(texts)):
         mine = np.unique(number[by_text[k] : by_text[k + 1]])
         size = edges[mine + 1] - edges[mine]
         cells = np.arange(size.sum()) + np.repeat(edges[mine] - (np.cumsum(size) - size), size)
-        evidence.add(int(labels[k]), np.unique(word_bucket[mine]), np.unique(gram_bucket[cells]))
+        evidence.add(int(labels[k]), np.unique(word_bucket[mine]), np.unique(hashes[cells] % np.uint64(BUCKETS)).astype(np.int64))
     net, rng = Network(), np.random.default_rng(11)
     text, begin, count = windows(by_text, LEARN_STRIDE)
     numbers = window_numbers(number, begin, count)
@@ -341,7 +357,10 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
     both = lambda: np.concatenate([net.word_inputs(codes, own_tables[k]) for k in (0, 1)])
     inputs = both()
     strength = np.maximum(inputs[:, 0], inputs[:, 1])
-    rank = np.where(np.arange(WINDOW)[None, :] < count[:, None], strength[numbers], -9).max(axis=1) + np.where(np.arange(WINDOW)[None, :] < count[:, None], np.maximum(strength[numbers] - 1, 0), 0).sum(axis=1)
+    rank = np.empty(len(count), np.float32)
+    for a in range(0, len(count), WINDOWS_AT_ONCE):
+        inside, odds = np.arange(WINDOW)[None, :] < count[a : a + WINDOWS_AT_ONCE, None], strength[numbers[a : a + WINDOWS_AT_ONCE]]
+        rank[a : a + WINDOWS_AT_ONCE] = np.where(inside, odds, -9).max(axis=1) + np.where(inside, np.maximum(odds - 1, 0), 0).sum(axis=1)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     rounds = 4
     step = 0
@@ -350,6 +369,7 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
             inputs = both()
             net.project(inputs)
             rank = net.logits(numbers, count)
+            net._sides = ()  # of the sample's words; scoring projects its own
         order = np.lexsort((-rank, text))
         leaders = order[np.concatenate([[True], text[order][1:] != text[order][:-1]])]
         positive = leaders[window_label[leaders] == 1]
@@ -376,7 +396,6 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
                 m += 0.1 * (g[k] - m)
                 s += 0.01 * (g[k] ** 2 - s)
                 v -= (pace * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6) + rate * 1e-3 * v).astype(np.float32)
-    net._sides = ()  # of the sample's words; scoring projects its own
     return Model(net, evidence.tables())
 
 
@@ -415,4 +434,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
                 data, offsets = column_bytes(pc.utf8_lower(part.column(at)))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(model.score(data, offsets, 0, b - a))], [*names, into])
 
-    return map_arrow(taken, run, T.StructType([*taken.schema.fields[: len(names)], T.StructField(into, T.DoubleType())]))
+    return map_arrow(taken, run, T.StructType([*taken.schema.fields[: len(names)], T.StructField(into, T.DoubleType())]), release=True)
