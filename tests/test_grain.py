@@ -17,7 +17,7 @@ from corpuslens.operators import tagstructure as G
 from corpuslens.plans.queries import QUERIES
 
 
-@pytest.mark.parametrize("name", ["structural_readings"])
+@pytest.mark.parametrize("name", ["headline_cards", "structural_readings"])
 def test_three_scans(spark, name):
     """The plan that ran reads the documents for facts, words and phrases, once each."""
     df = QUERIES[name](spark, "/root/testdata/sf0.001")
